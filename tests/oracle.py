@@ -98,7 +98,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
             for c, u, v in zip(order, x, y):
                 if u == v:
                     continue
-                if isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 1e-6 * max(1, abs(v)):
+                if isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 1.5e-6 * max(1, abs(v)):
                     continue
                 bad += 1
                 if first is None:
