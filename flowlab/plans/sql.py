@@ -37,3 +37,13 @@ NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_totalprice
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+EVENT_FEATURES = """ef AS (
+SELECT event_id AS row_key, CASE WHEN ts < TIMESTAMP '2024-01-21 00:00:00' THEN 'train' ELSE 'test' END AS split,
+  event_type AS label,
+  CASE event_type WHEN 'view' THEN 'normal' WHEN 'click' THEN 'DoS' WHEN 'purchase' THEN 'Probe'
+       WHEN 'signup' THEN 'R2L' WHEN 'error' THEN 'U2R' END AS attack_family,
+  CAST(CASE WHEN event_type='view' THEN 0 ELSE 1 END AS INT) AS binary_label,
+  value, CAST(user_id AS DOUBLE) AS user_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k
+FROM events)"""
+EVENT_NUMERIC = ["value", "user_id", "k"]

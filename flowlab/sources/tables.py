@@ -104,3 +104,20 @@ def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     lab = table(spark, sf_dir, "labels")
     return lab.join(d, "doc_id")
+
+
+def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric view of ``events`` for outlier work: value, user_id and the JSON ``k``."""
+    ev = table(spark, sf_dir, "events")
+    label = F.col("event_type")
+    return ev.select(
+        F.col("event_id").alias("row_key"),
+        F.when(F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-21 00:00:00'"), "train")
+        .otherwise("test").alias("split"),
+        label.alias("label"), _case(label, EVENT_FAMILY).alias("attack_family"),
+        F.when(label == "view", 0).otherwise(1).cast("int").alias("binary_label"),
+        F.col("value"), F.col("user_id").cast("double").alias("user_id"),
+        F.get_json_object("props", "$.k").cast("double").alias("k"))
+
+
+EVENT_NUMERIC = ["value", "user_id", "k"]
