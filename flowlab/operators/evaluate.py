@@ -184,10 +184,15 @@ def curve_points(pred: DataFrame, score: str = "score", y: str = "y_true",
         _div(F.col("_pos"), F.col("_pos") + F.col("_neg")).alias("prevalence"))
 
 
-def binary_metrics(pred: DataFrame, y: str = "y_true", yhat: str = "y_pred") -> DataFrame:
-    """The binary metric row: confusion cells, rates, per-10k figures, MCC, F1s."""
+def binary_metrics(pred: DataFrame, y: str = "y_true", yhat: str = "y_pred",
+                   by: list[str] | None = None) -> DataFrame:
+    """The binary metric row: confusion cells, rates, per-10k figures, MCC, F1s.
+
+    With ``by`` one row per group, all from a single aggregation.
+    """
+    by = by or []
     yy, pp = F.col(y).cast("int"), F.col(yhat).cast("int")
-    c = pred.agg(
+    c = pred.groupBy(*by).agg(
         F.sum(F.when((yy == 0) & (pp == 0), 1).otherwise(0)).cast("long").alias("true_negative"),
         F.sum(F.when((yy == 0) & (pp == 1), 1).otherwise(0)).cast("long").alias("false_positive"),
         F.sum(F.when((yy == 1) & (pp == 0), 1).otherwise(0)).cast("long").alias("false_negative"),
@@ -205,6 +210,7 @@ def binary_metrics(pred: DataFrame, y: str = "y_true", yhat: str = "y_pred") ->
     has_att = F.when(tp + fn > 0, 1).otherwise(0)
     has_nor = F.when(tn + fp > 0, 1).otherwise(0)
     return c.select(
+        *by,
         _div(tp + tn, n).alias("accuracy"),
         _div(has_att * r_att + has_nor * r_nor, has_att + has_nor).alias("balanced_accuracy"),
         p_att.alias("precision_attack"),
