@@ -24,10 +24,16 @@ ROWS_PER_BUCKET = 500_000
 
 
 def row_hash(key: Column, seed: int = 0) -> Column:
-    """Seeded order value in [0, 2^31−1) for an integer key (seed 0 = plain Park–Miller)."""
+    """Seeded order value in [0, 2^31−1) for an integer key.
+
+    seed 0: PM(key); seed 1: PM(PM(key)); seed s ≥ 2: PM(PM(key) + 7919·s)
+    with PM the Park–Miller step — a shallow expression for any seed.
+    """
     h = park_miller(key)
-    for _ in range(seed):
+    if seed == 1:
         h = park_miller(h)
+    elif seed >= 2:
+        h = park_miller(h + F.lit(7919 * seed))
     return h
 
 
