@@ -23,7 +23,7 @@ _ORACLES: dict[str, str] = {}
 
 _MODULES = ("evaluate_q", "label_q", "quality_q", "drift_q", "relate_q", "outlier_q",
             "prep_q", "sample_q", "report_q", "functions_q", "neighbours_q", "models_q",
-            "sources_q", "streaming_q")
+            "sources_q", "streaming_q", "audit_q")
 
 
 def query(name: str, sql: str | None = None):
