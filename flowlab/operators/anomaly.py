@@ -143,7 +143,8 @@ def reconstruction_error(normal: DataFrame, df: DataFrame, k: int, features: str
 
 def normal_quantile_threshold(train_scores: DataFrame, q: float, score: str = "score") -> float:
     """Exact (linear-interpolation) quantile of the normal training scores."""
-    return float(train_scores.agg(F.percentile(F.col(score), q)).first()[0])
+    from flowlab.operators.ordered import exact_quantiles
+    return float(exact_quantiles(train_scores, [score], [q])[score][0])
 
 
 def threshold_policy(train_normal: DataFrame, test: DataFrame, quantiles: list[float],

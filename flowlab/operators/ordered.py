@@ -83,3 +83,105 @@ def attach_totals(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """
     return (df.withColumn("_one", F.lit(1))
             .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], limit: int = 200_000,
+                    accuracy: int = 2_000) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles (NumPy/DuckDB ``quantile_cont``) of many columns.
+
+    Per (column, probability) a ``percentile_approx`` sketch brackets the two
+    order statistics needed; one counting pass locates them: ranks inside the
+    tie block of a bracket end resolve to that end, the rest lie strictly
+    inside the bracket, whose values (≤ ``limit`` each) are collected in one
+    more pass.  A larger interior is narrowed again on its own rows, so the
+    driver never holds more than ``limit`` values per statistic.  Memory does
+    not grow with the number of distinct values, unlike ``percentile``.
+    """
+    import math
+    xs = {c: F.col(c).cast("double") for c in cols}
+    counts = df.agg(*[F.count(xs[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    n_of = {c: int(counts[f"n{i}"]) for i, c in enumerate(cols)}
+    targets, plan = [], {}
+    for c in cols:
+        plan[c] = []
+        for p in probs:
+            n = n_of[c]
+            if n == 0:
+                plan[c].append(None)
+                continue
+            h = (n - 1) * p
+            lo_r, hi_r = int(math.floor(h)), int(math.ceil(h))
+            plan[c].append((h, lo_r, hi_r))
+            targets.append((c, lo_r, hi_r))
+    values = _select_ranks(df, xs, sorted(set(targets)), n_of, limit, accuracy)
+    out = {}
+    for c in cols:
+        res = []
+        for item in plan[c]:
+            if item is None:
+                res.append(None)
+                continue
+            h, lo_r, hi_r = item
+            a, b = values[(c, lo_r)], values[(c, hi_r)]
+            res.append(a + (h - lo_r) * (b - a))
+        out[c] = res
+    return out
+
+
+def _select_ranks(df, xs, targets, n_of, limit, accuracy, depth=0):
+    """{(col, rank): value} for targets (col, r0, r1) with r1 ∈ {r0, r0+1} (0-based ranks
+    among the non-null values)."""
+    if not targets:
+        return {}
+    if depth > 12:
+        raise RuntimeError("exact quantile search did not converge")
+    margin = 3.0 / accuracy
+    sk = []
+    for j, (c, r0, r1) in enumerate(targets):
+        d = max(n_of[c] - 1, 1)
+        sk.append(F.percentile_approx(xs[c], F.array(F.lit(max(0.0, r0 / d - margin)),
+                                                      F.lit(min(1.0, r1 / d + margin))), accuracy).alias(f"a{j}"))
+    br = df.agg(*sk).first()
+    bounds = [(float(br[f"a{j}"][0]), float(br[f"a{j}"][1])) for j in range(len(targets))]
+    cnt = []
+    for j, (c, _, _) in enumerate(targets):
+        a, b = bounds[j]
+        x = xs[c]
+        cnt += [F.sum((x < F.lit(a)).cast("long")).alias(f"lt{j}"), F.sum((x <= F.lit(a)).cast("long")).alias(f"lea{j}"),
+                F.sum((x < F.lit(b)).cast("long")).alias(f"ltb{j}"), F.sum((x <= F.lit(b)).cast("long")).alias(f"le{j}")]
+    cr = df.agg(*cnt).first()
+    result, collect, deeper = {}, [], []
+    for j, (c, r0, r1) in enumerate(targets):
+        a, b = bounds[j]
+        lt, lea = int(cr[f"lt{j}"] or 0), int(cr[f"lea{j}"] or 0)
+        ltb, le = int(cr[f"ltb{j}"] or 0), int(cr[f"le{j}"] or 0)
+        for r in {r0, r1}:
+            if r < lt or r >= le:  # sketch missed: search this rank over everything
+                deeper.append((c, r, float("-inf"), float("inf"), 0))
+            elif r < lea:
+                result[(c, r)] = a
+            elif r >= ltb:
+                result[(c, r)] = b
+            elif ltb - lea <= limit:
+                collect.append((c, r, a, b, lea))
+            else:
+                deeper.append((c, r, a, b, lea))
+    if collect:
+        brackets = sorted({(c, a, b) for c, _, a, b, _ in collect})
+        parts = [F.when((xs[c] > F.lit(a)) & (xs[c] < F.lit(b)), F.struct(F.lit(k).alias("t"), xs[c].alias("v")))
+                 for k, (c, a, b) in enumerate(brackets)]
+        rows = df.select(F.explode(F.array_compact(F.array(*parts))).alias("s")).select("s.t", "s.v").collect()
+        per = {}
+        for t, v in rows:  # at most `limit` values per bracket
+            per.setdefault(t, []).append(v)
+        for k in per:
+            per[k].sort()
+        for c, r, a, b, below in collect:
+            result[(c, r)] = per[brackets.index((c, a, b))][r - below]
+    for c, r, a, b, below in deeper:
+        sub = df.where((xs[c] > F.lit(a)) & (xs[c] < F.lit(b))) if a != float("-inf") else df
+        rr = r - below
+        sub_n = {c: int(sub.agg(F.count(xs[c])).first()[0])}
+        result[(c, r)] = _select_ranks(sub, {c: xs[c]}, [(c, rr, rr)], sub_n, limit, accuracy,
+                                       depth + 1)[(c, rr)]
+    return result

@@ -1,7 +1,8 @@
 """Train-fitted IQR fences and row-level outlier scoring.
 
-Fitting is one aggregation (exact ``percentile`` with linear interpolation,
-or ``percentile_approx`` when ``accuracy`` is given).  The fitted fences are
+Fitting uses exact linear-interpolation quantiles (``ordered.exact_quantiles``:
+bounded memory, three scans for all features) or ``percentile_approx`` when
+``accuracy`` is given.  The fitted fences are
 F small rows; scoring inlines them as literals into higher-order array
 expressions, so scoring is a narrow projection: no UDF, no shuffle, no join.
 """
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 
 def _quantiles(df: DataFrame, features: list[str], probs: list[float],
                accuracy: int | None) -> dict[str, list[float]]:
+    if accuracy is None:
+        from flowlab.operators.ordered import exact_quantiles
+        return exact_quantiles(df, features, probs)
     exprs = []
     for i, c in enumerate(features):
         x = F.col(c).cast("double")
-        q = (F.percentile(x, F.array(*[F.lit(p) for p in probs])) if accuracy is None
-             else F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), accuracy))
+        q = F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), accuracy)
         exprs.append(q.alias(f"q{i}"))
     row = df.agg(*exprs).first()
     return {c: [None if v is None else float(v) for v in (row[f"q{i}"] or [None] * len(probs))]

@@ -76,8 +76,9 @@ def fit(train: DataFrame, categorical: list[str], numeric: list[str],
             raise ValueError(f"{c}: more than {max_vocab} categories; hash it instead")
         fp.vocab[c] = [r.v for r in vals]
     if impute_median and numeric:
-        med = src.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in numeric]).first()
-        fp.median = {c: (float(med[c]) if med[c] is not None else 0.0) for c in numeric}
+        from flowlab.operators.ordered import exact_quantiles
+        med = exact_quantiles(src, numeric, [0.5])
+        fp.median = {c: (float(med[c][0]) if med[c][0] is not None else 0.0) for c in numeric}
         src = src.select(*[F.coalesce(F.col(c).cast("double"), F.lit(fp.median[c])).alias(c)
                            for c in numeric])
     if numeric:

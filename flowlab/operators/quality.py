@@ -149,13 +149,17 @@ def phase1_summary(df: DataFrame, features: list[str], label: str = "label",
 def numeric_profile(df: DataFrame, features: list[str], accuracy: int | None = None) -> DataFrame:
     """Per feature: mean, sample std, min, median, max, missing rate.
 
-    The median is exact (``percentile``) unless ``accuracy`` is given, in which
-    case ``percentile_approx`` bounds memory on huge high-cardinality columns.
+    The median is exact (``ordered.exact_quantiles``: sketch, count, collect
+    only the bracketed values) unless ``accuracy`` asks for ``percentile_approx``.
     """
+    exact = {}
+    if accuracy is None:
+        from flowlab.operators.ordered import exact_quantiles
+        exact = exact_quantiles(df, features, [0.5])  # bounded-memory exact medians
     aggs = []
     for i, c in enumerate(features):
         x = F.col(c).cast("double")
-        med = F.percentile(x, 0.5) if accuracy is None else F.percentile_approx(x, 0.5, accuracy)
+        med = (F.lit(exact[c][0]) if accuracy is None else F.percentile_approx(x, 0.5, accuracy))
         aggs.append(F.struct(F.lit(c).alias("feature"), F.avg(x).alias("mean"),
                              F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
                              med.cast("double").alias("median"), F.max(x).alias("max"),
