@@ -8,6 +8,7 @@ from flowlab.operators import evaluate as E
 from flowlab.operators import neighbours as N
 from flowlab.operators import sample as S
 from flowlab.plans import finish, query, rounded
+from flowlab.plans.sql import BUNDLE_COLS, bundle_sql
 from flowlab.sources.tables import embeddings
 
 _PAIRS = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"""
@@ -46,7 +47,17 @@ def m08_knn_classifier(spark, sf):
     return N.knn_classify(train, val, 5, "vec_id", "vec_id", "embedding", "label")
 
 
-@query("m08_knn_metrics")
+_M08_SQL = f"""WITH {_PAIRS}, {_SPLIT},
+d AS (SELECT q.vec_id AS query_id, t.vec_id AS neighbor_id, t.label, list_distance(q.v, t.v) AS distance
+  FROM e q JOIN sp qs ON qs.vec_id = q.vec_id AND qs.role = 'validation',
+       e t JOIN sp ts ON ts.vec_id = t.vec_id AND ts.role = 'train'),
+nn AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) <= 5),
+v AS (SELECT query_id, label, count(*) AS n FROM nn GROUP BY ALL)
+SELECT query_id, label AS prediction FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, label) = 1"""
+
+
+@query("m08_knn_metrics", rounded("WITH pred AS (" + _M08_SQL + "), pairs AS (SELECT e.label AS y_true, p.prediction AS y_pred "
+                                  "FROM pred p JOIN embeddings e ON e.vec_id = p.query_id)" + bundle_sql(10), *BUNDLE_COLS))
 def m08_knn_metrics(spark, sf):
     e = embeddings(spark, sf)
     pred = m08_knn_classifier(spark, sf).join(e.select(F.col("vec_id").alias("query_id"), "label"), "query_id")

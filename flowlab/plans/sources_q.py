@@ -110,7 +110,7 @@ def s05_dual_label_parquet(spark, sf):
     return df.groupBy("attack_category", "binary_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s06_label_column")
+@query("s06_label_column", "SELECT 'Label' AS label_column, count(*) AS rows FROM events")
 def s06_label_column(spark, sf):
     root = _write_iot_csv(spark, sf, "s06")
     df = S.read_csv_tree(spark, root, _IOT_SCHEMA)

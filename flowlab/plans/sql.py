@@ -47,3 +47,26 @@ SELECT event_id AS row_key, CASE WHEN ts < TIMESTAMP '2024-01-21 00:00:00' THEN
   value, CAST(user_id AS DOUBLE) AS user_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k
 FROM events)"""
 EVENT_NUMERIC = ["value", "user_id", "k"]
+
+
+def bundle_sql(k: int) -> str:
+    """Metric-bundle SELECT over a CTE ``pairs(y_true, y_pred)`` with K declared classes."""
+    return f""", grid AS (SELECT CAST(a.range AS INT) AS y_true, CAST(b.range AS INT) AS y_pred FROM range({k}) a, range({k}) b),
+c AS (SELECT y_true, y_pred, count(*) AS n FROM pairs GROUP BY ALL),
+cm AS (SELECT g.y_true, g.y_pred, coalesce(c.n, 0) AS n FROM grid g LEFT JOIN c USING (y_true, y_pred)),
+st AS (SELECT t.y_true AS k, sum(CASE WHEN t.y_true = t.y_pred THEN t.n ELSE 0 END) AS tp, sum(t.n) AS support,
+  (SELECT sum(n) FROM cm p WHERE p.y_pred = t.y_true) AS predicted FROM cm t GROUP BY t.y_true),
+pc AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+  CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall,
+  CASE WHEN support + predicted = 0 THEN 0.0 ELSE 2 * tp / (support + predicted) END AS f1 FROM st)
+SELECT sum(tp) / sum(support) AS accuracy, avg(precision) AS macro_precision, avg(recall) AS macro_recall,
+  avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1,
+  avg(CASE WHEN support > 0 THEN recall END) AS balanced_accuracy,
+  CASE WHEN (sum(support)::DOUBLE ^ 2 - sum(predicted::DOUBLE ^ 2)) * (sum(support)::DOUBLE ^ 2 - sum(support::DOUBLE ^ 2)) = 0 THEN 0.0
+  ELSE (sum(tp) * sum(support)::DOUBLE - sum(support::DOUBLE * predicted))
+    / sqrt((sum(support)::DOUBLE ^ 2 - sum(predicted::DOUBLE ^ 2)) * (sum(support)::DOUBLE ^ 2 - sum(support::DOUBLE ^ 2))) END AS mcc
+FROM pc"""
+
+
+BUNDLE_COLS = ("accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1",
+               "balanced_accuracy", "mcc")
