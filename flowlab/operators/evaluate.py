@@ -137,16 +137,24 @@ def rare_recall_mean(row: DataFrame, rare_classes: list[str]) -> DataFrame:
     return row.select((total / F.lit(float(len(rare_classes)))).alias("rare_recall_mean"))
 
 
-def score_table(pred: DataFrame, score: str = "score", y: str = "y_true") -> DataFrame:
-    """(score, p, n): positives/negatives per distinct score — one aggregation."""
+def score_table(pred: DataFrame, score: str = "score", y: str = "y_true",
+                bins: int | None = None) -> DataFrame:
+    """(score, p, n): positives/negatives per distinct score — one aggregation.
+
+    ``bins`` (optional, approximate) floors scores in [0, 1] to a grid of that
+    many cells first, bounding the table when nearly every score is distinct.
+    """
     yy = F.col(y).cast("int")
-    return pred.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
+    s = F.col(score).cast("double")
+    if bins:
+        s = F.floor(s * F.lit(bins)) / F.lit(float(bins))
+    return pred.where(F.col(score).isNotNull()).groupBy(s.alias("score")).agg(
         F.sum(F.when(yy == 1, 1).otherwise(0)).cast("long").alias("p"),
         F.sum(F.when(yy == 1, 0).otherwise(1)).cast("long").alias("n"))
 
 
 def binary_auc(pred: DataFrame, score: str = "score", y: str = "y_true",
-               buckets: int | None = None) -> DataFrame:
+               buckets: int | None = None, bins: int | None = None) -> DataFrame:
     """Exact ROC-AUC (ties count half) and average precision (step, not trapezoid).
 
     With p, n the positives/negatives at one score and tp/fp the totals at
@@ -156,7 +164,7 @@ def binary_auc(pred: DataFrame, score: str = "score", y: str = "y_true",
     bad = distinct.where(~F.col("_y").isin(0, 1)).limit(1).collect()
     if bad:
         raise ValueError("AUC needs a binary 0/1 truth column")
-    st = running_totals(score_table(pred, score, y), "score", ["p", "n"], True, buckets)
+    st = running_totals(score_table(pred, score, y, bins), "score", ["p", "n"], True, buckets)
     tot = st.agg(F.sum("p").alias("_pos"), F.sum("n").alias("_neg"),
                  F.sum(F.col("n") * (F.col("cum_p") - F.col("p") / 2.0)).alias("_auc"),
                  F.sum(F.when(F.col("p") > 0, F.col("p") * F.col("cum_p")
@@ -169,10 +177,10 @@ def binary_auc(pred: DataFrame, score: str = "score", y: str = "y_true",
 
 
 def curve_points(pred: DataFrame, score: str = "score", y: str = "y_true",
-                 buckets: int | None = None) -> DataFrame:
+                 buckets: int | None = None, bins: int | None = None) -> DataFrame:
     """ROC / PR points at every distinct score threshold (score >= t is positive)
     with the prevalence baseline of the PR plot."""
-    st = running_totals(score_table(pred, score, y), "score", ["p", "n"], True, buckets)
+    st = running_totals(score_table(pred, score, y, bins), "score", ["p", "n"], True, buckets)
     totals = st.agg(F.sum("p").alias("_pos"), F.sum("n").alias("_neg"))
     j = attach_totals(st, totals)
     return j.select(

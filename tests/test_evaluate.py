@@ -102,3 +102,14 @@ def test_bootstrap_ci_shape(spark):
     ci = {r.metric: r for r in E.bootstrap_ci(p, 50, 7).collect()}
     assert set(ci) == {"macro_f1", "attack_recall"}
     assert all(r.ci_low <= r.mean <= r.ci_high and r.n_bootstrap == 50 for r in ci.values())
+
+
+def test_auc_binned_close_to_exact(spark):
+    import numpy as np
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 2000)
+    s = np.clip(rng.normal(0.4 + 0.2 * y, 0.15), 0, 1)
+    p = spark.createDataFrame([(int(a), 0, float(b)) for a, b in zip(y, s)], "y_true int, y_pred int, score double")
+    exact = E.binary_auc(p, "score", "y_true").first().roc_auc
+    binned = E.binary_auc(p, "score", "y_true", bins=1000).first().roc_auc
+    assert abs(exact - binned) < 2e-3
