@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowlab.llm.chat import chat_windows, digest_conversations
 from flowlab.llm.decontaminate import mark_contaminated
+from flowlab.llm.lines import BOILERPLATE, NAVIGATION, PUNCTUATED, clean_lines
+from flowlab.llm.url_rules import BAD_HOST_WORDS, PATTERNS, HostRule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +51,82 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = mark_contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_ESCAPED = "replace(replace(replace(replace({}, '\\', '\\e'), '<', '\\l'), '[', '\\b'), ']', '\\c')"
+
+
+@query("op5_chat_windows", rf"""
+WITH raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, len(regexp_extract_all(text, '{_SPACED}')) + 1 AS tokens,
+        11 + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) AS chars,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS number FROM raw),
+s AS (SELECT *, number = 1 AND role = 'system' AS is_system,
+        coalesce(max(CASE WHEN number = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id), 0) AS own,
+        max(CASE WHEN number = 1 AND role = 'system' THEN chars END) OVER (PARTITION BY conv_id) AS own_chars,
+        sum(tokens) OVER (PARTITION BY conv_id ORDER BY number) AS total FROM n),
+p AS (SELECT *, CASE WHEN is_system THEN 0 ELSE total - own - tokens END AS start, CASE WHEN is_system THEN 0 ELSE total - own END AS stop FROM s),
+w AS (SELECT *, start // greatest(1, 192 - own) AS win FROM p),
+e AS (SELECT *, max(stop) OVER (PARTITION BY conv_id, win) AS span_stop, max(win) OVER (PARTITION BY conv_id) AS last_win FROM w),
+f AS (SELECT conv_id, sum(chars) + sum(CASE WHEN span_stop - start <= 64 AND win < last_win AND NOT is_system THEN chars ELSE 0 END)
+             + coalesce(max(own_chars), 0) * (count(DISTINCT win) - 1) AS formatted_chars FROM e GROUP BY conv_id),
+t AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY number) AS said,
+        coalesce(string_agg(text, '' ORDER BY number) FILTER (WHERE role = 'assistant'), '') AS learnt FROM n GROUP BY conv_id)
+SELECT t.conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt)::BIGINT AS loss_chars, sha256(learnt) AS loss_sha256,
+       formatted_chars::BIGINT AS formatted_chars
+FROM t JOIN f ON t.conv_id IS NOT DISTINCT FROM f.conv_id
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
+                                    "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted)
+    return digest_conversations(chat_windows(turns))
+
+
+def _line_rules_sql() -> str:
+    phrases = " OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE)
+    return f"NOT ({phrases} OR regexp_matches(l, '{NAVIGATION}') OR s > 0.5 * n OR (n >= 30 AND NOT regexp_matches(l, '{PUNCTUATED.replace(chr(39), chr(39) * 2)}')))"
+
+
+@query("op6_clean_lines", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+rep AS (SELECT r, count(DISTINCT i + k)::BIGINT AS n FROM (SELECT r, i, unnest(range(5)) AS k FROM
+        (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM g) WHERE c >= 2) GROUP BY r),
+l AS (SELECT r, l, len(regexp_extract_all(l, '{_SPACED}')) AS n, length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g')) AS s
+      FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d)),
+k AS (SELECT r, count(*) - count(DISTINCT l) AS dup, sum(CASE WHEN {_line_rules_sql()} THEN 0 ELSE n END) AS lost FROM l WHERE n > 0 GROUP BY r),
+a AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+        coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost, 0) AS lost FROM d LEFT JOIN rep USING (r) LEFT JOIN k USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost <= 0.5 * n_words AS kept
+FROM a
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The rules of the contract.
+URL_RULES = [HostRule("com", "/", "allow"), HostRule("example.com", "/en/", "block"), HostRule("www.example.com", "/en/", "allow"),
+             HostRule("net", "/es/", "block"), HostRule("net", "/fr/", "block")]
+_RULE_ROWS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
+
+
+@query("op9_url_rules", rf"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id,
+             translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+v(rh, rp, verdict) AS (VALUES {_RULE_ROWS}),
+b AS (SELECT r, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+      FROM p, v WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r)
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[^0-9a-z])({"|".join(BAD_HOST_WORDS)})([^0-9a-z]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN b USING (r)
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES + PATTERNS)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
