@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from flowlab.llm.bpe import read_ranks, round_trip
 from flowlab.llm.chat import chat_windows, digest_conversations
 from flowlab.llm.decontaminate import mark_contaminated
 from flowlab.llm.lines import BOILERPLATE, NAVIGATION, PUNCTUATED, clean_lines
+from flowlab.llm.secrets import digest_secrets, scan_secrets
 from flowlab.llm.url_rules import BAD_HOST_WORDS, PATTERNS, HostRule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +133,14 @@ FROM p LEFT JOIN b USING (r)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES + PATTERNS)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_byte_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query("op4_secrets")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_secrets(scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
