@@ -11,6 +11,7 @@ from flowlab.llm.bpe import read_ranks, round_trip
 from flowlab.llm.chat import chat_windows, digest_conversations
 from flowlab.llm.decontaminate import mark_contaminated
 from flowlab.llm.lines import BOILERPLATE, NAVIGATION, PUNCTUATED, clean_lines
+from flowlab.llm.near_dup import link_documents
 from flowlab.llm.secrets import digest_secrets, scan_secrets
 from flowlab.llm.url_rules import BAD_HOST_WORDS, PATTERNS, HostRule, judge_urls
 
@@ -144,3 +145,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_secrets")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_secrets(scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op3_ngram_jaccard")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"), size=4, percent=85)
