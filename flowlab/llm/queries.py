@@ -13,6 +13,7 @@ from flowlab.llm.decontaminate import mark_contaminated
 from flowlab.llm.lines import BOILERPLATE, NAVIGATION, PUNCTUATED, clean_lines
 from flowlab.llm.near_dup import link_documents
 from flowlab.llm.secrets import digest_secrets, scan_secrets
+from flowlab.llm.toxicity import fit, held_out, sample_labelled, score_toxicity
 from flowlab.llm.url_rules import BAD_HOST_WORDS, PATTERNS, HostRule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +151,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_ngram_jaccard")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(sample_labelled(docs, table(spark, sf_dir, "labels")))
+    return score_toxicity(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
