@@ -13,13 +13,14 @@ the Nyström features on which a linear support vector machine is trained.
 It is trained on sentences of labelled texts, each with the label of its
 text; the texts are a sample of bounded size, the same at every run.
 Sentences are cut at 40 spans for the sample only.  Landmarks are the spans
-that mark toxic texts best (log-likelihood ratio).  A text's score is the logistic of its
-highest sentence margin: 0.5 is the machine's boundary.
+that mark toxic texts best (log-likelihood ratio), and others that are most
+like them.  A text's score is a logistic regression, fitted on the sample's
+texts, over its two highest sentence margins, the number of its sentences
+above the machine's boundary and its length.
 
 Defined results: null and empty texts have no sentence and get the score of
 a sentence without any similar span; null labels and labels of missing
-documents are not used; with no usable label of both classes every score is
-0; repeated rows each get their row.
+documents are not used; without labels of both classes every score is near 0; repeated rows each get their row.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ from pyspark.sql import types as T
 
 from flowlab.llm.text import slices
 
-ORDER, DECAY, SCREEN = 3, 0.8, 0.6
+ORDER, DECAY, SCREEN = 3, 0.9, 0.8
+#: Power of the normalised kernel: higher powers tell similar words apart, lower ones bear more inserted characters.
+POWER = 1.5
 #: Longest landmark, and longest span compared at once; longer spans are compared in windows that overlap by half.
 LANDMARK, SPAN = 16, 32
 MEMO = 400_000
@@ -43,7 +46,7 @@ RESULT = ["score", "predicted"]
 
 _TOKEN = re.compile(r"[^\W_](?:[ .*_-][^\W_](?![^\W_])){2,}|[^\W_]+(?:[^\w\s][^\W_]+)*|[.!?\n]+")
 _STOP = frozenset(".!?\n")
-_APART = re.compile(r"[ ._*-]")
+_APART = re.compile(r"[^\w]|_")
 
 
 def tokens(text: str) -> list[str]:
@@ -65,6 +68,11 @@ def _bins(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _masks(bins: np.ndarray) -> np.ndarray:
+    """The classes of characters that occur, a bit each."""
+    return ((bins > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
 def string_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """Subsequence kernel of each pair of rows; rows are code points, padded with 0."""
     n, width = t.shape
@@ -103,7 +111,10 @@ class Similarity:
     def _start(self) -> None:
         self.codes, sizes = _codes(self.landmarks, LANDMARK)
         self.bins = _bins(self.codes)
+        self.masks = _masks(self.bins)
         self.least = np.maximum(ORDER, np.ceil(SCREEN * sizes - 1e-9)).astype(np.int64)
+        #: A span that lacks so many of a landmark's characters fails the screen.
+        self.kinds = np.bitwise_count(self.masks).astype(np.int64) - (sizes - self.least)
         self.norm = np.sqrt(string_kernel(self.codes, self.codes)) if self.landmarks else np.zeros(0)
         self._forget()
 
@@ -115,24 +126,25 @@ class Similarity:
     def compare(self, spans: list[str]) -> np.ndarray:
         """Similarities (span, landmark) of short spans."""
         out = np.zeros((len(spans), len(self.landmarks)), dtype=np.float32)
-        for at in range(0, len(spans), 20_000):
-            codes, _ = _codes(spans[at:at + 20_000], SPAN)
+        for at in range(0, len(spans), 10_000):
+            codes, _ = _codes(spans[at:at + 10_000], SPAN)
             bins = _bins(codes)
+            masks = _masks(bins)
+            rows, cols = [], []
             for j in range(len(self.landmarks)):
-                shared = np.minimum(bins, self.bins[j]).sum(axis=1, dtype=np.int64)
-                some = np.flatnonzero(shared >= self.least[j])
-                if len(some):
-                    width = int((codes[some] != 0).any(axis=0).sum())
-                    s = codes[some][:, :width]
-                    t = np.broadcast_to(self.codes[j], (len(some), LANDMARK))
-                    own = np.sqrt(self._own(s))
-                    out[at + some, j] = string_kernel(s, t) / np.maximum(own * self.norm[j], 1e-30)
+                some = np.flatnonzero(np.bitwise_count(masks & self.masks[j]) >= self.kinds[j])
+                some = some[np.minimum(bins[some], self.bins[j]).sum(axis=1, dtype=np.int64) >= self.least[j]]
+                rows.append(some)
+                cols.append(np.full(len(some), j))
+            rows, cols = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*cols, np.zeros(0, np.int64)])
+            own = np.ones(len(codes), dtype=np.float32)
+            touched = np.unique(rows)
+            own[touched] = np.sqrt(string_kernel(codes[touched], codes[touched]))
+            for k in range(0, len(rows), 20_000):
+                r, c = rows[k:k + 20_000], cols[k:k + 20_000]
+                out[at + r, c] = (string_kernel(codes[r], self.codes[c]) / np.maximum(own[r] * self.norm[c], 1e-30)) ** POWER
         return out
 
-    @staticmethod
-    def _own(s: np.ndarray) -> np.ndarray:
-        return string_kernel(s, s)
-
     def index(self, spans: list[str]) -> np.ndarray:
         """Row of each span in ``rows``; 0 if it is similar to no landmark."""
         if len(self.memo) > MEMO:
@@ -180,25 +192,38 @@ class Similarity:
 
 
 class Model:
-    """Similarities, the Nyström map folded into one weight vector, bias and slope."""
+    """Landmarks, the Nyström map folded into one weight vector, bias, and the logistic over a text's sentences."""
 
-    def __init__(self, landmarks: list[str], weight: np.ndarray, bias: float, slope: float):
+    def __init__(self, landmarks: list[str], weight: np.ndarray, bias: float, logistic: np.ndarray):
         self.similarity = Similarity(landmarks)
-        self.weight, self.bias, self.slope = weight, bias, slope
+        self.weight, self.bias, self.logistic = weight, bias, logistic
 
-    def margins(self, texts: list[str | None]) -> np.ndarray:
+    def facts(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text: highest and second highest sentence margin, log of its sentences above the boundary and of its spans, 1."""
         spans: list[str] = []
         first = [0]
         for text in texts:
             spans += tokens(text or "")
             first.append(len(spans))
         text, x = self.similarity.sentences(spans, np.array(first[:-1], dtype=np.int64))
-        best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, text, x @ self.weight + self.bias)
-        return np.where(np.isfinite(best), best, self.bias)
+        return _facts(text, x @ self.weight + self.bias, np.diff(first), self.bias)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts), -60, 60)))
+        return 1 / (1 + np.exp(-np.clip(self.facts(texts) @ self.logistic, -60, 60)))
+
+
+def _facts(text: np.ndarray, margin: np.ndarray, sizes: np.ndarray, bias: float) -> np.ndarray:
+    margin = np.clip(margin, -2, 2)
+    order = np.lexsort((-margin, text))
+    text, margin = text[order], margin[order]
+    rank = np.arange(len(text)) - np.searchsorted(text, text)
+    out = np.full((len(sizes), 5), max(bias, -2.0))
+    for k in range(2):
+        out[text[rank == k], k] = np.maximum(margin[rank == k], out[0, k] if len(out) else 0)
+    out[:, 2] = np.log1p(np.bincount(text[margin > 0], minlength=len(sizes)))
+    out[:, 3] = np.log1p(sizes)
+    out[:, 4] = 1
+    return out
 
 
 def _cut(text: str) -> list[list[str]]:
@@ -214,41 +239,44 @@ def _cut(text: str) -> list[list[str]]:
     return out
 
 
-def choose_landmarks(documents: list[list[list[str]]], toxic: list[int], count: int, least: int = 4) -> list[str]:
-    """Spans with the highest log-likelihood ratio for toxic documents, no two of them alike."""
+def choose_landmarks(documents: list[list[list[str]]], toxic: list[int], count: int, least: int = 3) -> list[str]:
+    """Spans with the highest log-likelihood ratio for toxic texts, and half as many others that are most like them."""
     seen: dict[str, list[int]] = {}
     for sentences, label in zip(documents, toxic, strict=True):
         for s in {s for x in sentences for s in x}:
             if ORDER <= len(s) <= LANDMARK:
                 seen.setdefault(s, [0, 0])[label] += 1
     share = sum(toxic) / len(toxic)
-    scored = []
+    scored, others = [], []
     for s, (clean, bad) in seen.items():
         n = clean + bad
         if bad >= least and bad / n > (1 + share) / 2:
             ratio = bad * math.log(bad / (n * share)) + (clean * math.log(clean / (n * (1 - share))) if clean else 0)
             scored.append((-ratio, s))
-    ranked = [s for _, s in sorted(scored)[:8 * count]]
-    chosen: list[str] = []
-    for s in ranked:
-        if len(chosen) < count and not (chosen and Similarity(chosen).compare([s]).max() > 0.5):
-            chosen.append(s)
+        elif clean >= least:
+            others.append(s)
+    chosen = [s for _, s in sorted(scored)[:count]]
+    if chosen and others:
+        alike = Similarity(chosen).compare(others).max(axis=1)
+        closest = sorted((-a, s) for a, s in zip(alike.tolist(), others, strict=True) if a > 0.2)[:count // 2]
+        chosen += [s for _, s in closest]
     return chosen
 
 
-def train_machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 50) -> tuple[np.ndarray, float]:
+def train_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 50) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss by Newton steps on the points inside the margin; y is -1 or 1."""
     x1 = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
     ridge = penalty * np.append(np.ones(x.shape[1]), 0)
+    weight = weight / weight.sum()
     w = np.zeros(x1.shape[1])
 
     def loss(v):
-        return (np.maximum(0, 1 - y * (x1 @ v)) ** 2).mean() + ridge @ (v * v)
+        return weight @ (np.maximum(0, 1 - y * (x1 @ v)) ** 2) + ridge @ (v * v)
 
     for _ in range(rounds):
         inside = y * (x1 @ w) < 1
-        a = x1[inside]
-        new = np.linalg.lstsq(a.T @ a / len(y) + np.diag(ridge), a.T @ y[inside] / len(y), rcond=None)[0]
+        a = x1[inside] * weight[inside, None]
+        new = np.linalg.lstsq(a.T @ x1[inside] + np.diag(ridge), a.T @ y[inside], rcond=None)[0]
         step = 1.0
         while step > 1e-3 and loss(w + step * (new - w)) > loss(w):
             step /= 2
@@ -258,7 +286,20 @@ def train_machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: i
     return w[:-1], float(w[-1])
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, max_chars: int = 8_000_000) -> DataFrame:
+def train_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Logistic regression by Newton steps; y is 0 or 1."""
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - y) + penalty * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w)), grad)
+        w -= step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def sample_labelled(docs: DataFrame, labels: DataFrame, max_chars: int = 16_000_000) -> DataFrame:
     """text and toxic of labelled documents that are not held out: about ``max_chars`` characters of them, by the hash of
     the text.  Texts longer than a hundredth of that are not sampled."""
     known = (docs.select("doc_id", F.length("text").alias("n"), F.pmod(F.xxhash64("text"), F.lit(1 << 20)).alias("draw"))
@@ -270,34 +311,35 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, max_chars: int = 8_000_0
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("length(text) > 0").select("text", "toxic")
 
 
-def fit(sample: DataFrame, landmarks: int = 32) -> Model:
+def fit(sample: DataFrame, landmarks: int = 128) -> Model:
     """Train on the rows of ``sample`` (text, toxic 0 or 1), which the driver reads: see sample_labelled for their bound."""
-    rows = sample.select("text", F.col("toxic").cast("int").alias("toxic")).filter("text is not null and toxic in (0, 1)").distinct().collect()
-    documents = [_cut(r.text) for r in sorted(rows)]
-    labels = [r.toxic for r in sorted(rows)]
-    chosen = choose_landmarks(documents, labels, landmarks) if 0 < sum(labels) < len(labels) else []
+    rows = sorted(sample.select("text", F.col("toxic").cast("int").alias("toxic")).filter("text is not null and toxic in (0, 1)").distinct().collect())
+    known: dict[str, str] = {}
+    documents = [[[known.setdefault(s, s) for s in x] for x in _cut(r.text)] for r in rows]
+    labels = np.array([r.toxic for r in rows], dtype=np.int64)
+    del rows
+    chosen = choose_landmarks(documents, labels.tolist(), landmarks) if 0 < labels.sum() < len(labels) else []
     if not chosen:
-        return Model([], np.zeros(0), -1.0, 60.0)
-    sentences = [x for d in documents for x in d]
-    toxic = np.repeat(labels, [len(d) for d in documents])
+        return Model([], np.zeros(0), -1.0, np.array([60.0, 0, 0, 0, 0]))
     similarity = Similarity(chosen)
+    sentences = [x for d in documents for x in d]
+    counts = np.array([len(d) for d in documents])
+    owner = np.repeat(np.arange(len(documents)), counts)
     first = np.cumsum([0] + [len(x) for x in sentences])[:-1]
     index, similar = similarity.sentences([s for x in sentences for s in x], first)
-    x = np.zeros((len(sentences), len(chosen)), dtype=np.float32)
-    x[index] = similar
     kernel = similarity.compare(chosen).astype(np.float64)
     value, vector = np.linalg.eigh((kernel + kernel.T) / 2)
     root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    weight, bias = train_machine(x @ root, 2.0 * toxic - 1)
-    return Model(chosen, root @ weight, bias, _slope(x @ root @ weight + bias, toxic))
-
-
-def _slope(margin: np.ndarray, toxic: np.ndarray) -> float:
-    """The logistic slope, through 0.5 at the boundary, that fits the labels best."""
-    tried = np.geomspace(0.25, 16, 40)
-    y = 2.0 * toxic - 1
-    loss = [np.logaddexp(0, -y * s * margin).mean() for s in tried]
-    return float(tried[int(np.argmin(loss))])
+    # Sentences without any similar span are all alike: two weighted rows stand for them.
+    y = 2.0 * labels[owner] - 1
+    rest = np.ones(len(sentences), dtype=bool)
+    rest[index] = False
+    x = np.vstack([similar @ root, np.zeros((2, len(chosen)))])
+    weight, bias = train_machine(x, np.append(y[index], [-1, 1]), np.append(np.ones(len(index)), [(y[rest] < 0).sum(), (y[rest] > 0).sum()]))
+    weight = root @ weight
+    sizes = np.bincount(owner, weights=[len(x) for x in sentences], minlength=len(documents))
+    facts = _facts(owner[index], similar @ weight + bias, sizes, bias)
+    return Model(chosen, weight, bias, train_logistic(facts, labels))
 
 
 def _score(model, columns):
