@@ -11,7 +11,10 @@ from flowlab.llm.bpe import read_ranks, round_trip
 from flowlab.llm.chat import chat_windows, digest_conversations
 from flowlab.llm.decontaminate import mark_contaminated
 from flowlab.llm.lines import BOILERPLATE, NAVIGATION, PUNCTUATED, clean_lines
+from flowlab.llm import lm_score
+from flowlab.llm.lm_score import score_texts
 from flowlab.llm.near_dup import link_documents
+from flowlab.llm.passages import shared_passages
 from flowlab.llm.secrets import digest_secrets, scan_secrets
 from flowlab.llm.toxicity import fit, held_out, sample_labelled, score_toxicity
 from flowlab.llm.url_rules import BAD_HOST_WORDS, PATTERNS, HostRule, judge_urls
@@ -158,3 +161,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(sample_labelled(docs, table(spark, sf_dir, "labels")))
     return score_toxicity(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query("op10_context_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), lm_score.held_out("doc_id"))
+
+
+@query("op8_shared_passages")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(table(spark, sf_dir, "documents"))
