@@ -14,11 +14,18 @@ signature, both would be of this kind, and their smallest elements meet.  So
 no link is lost, at any size.
 
 Rows of one signature are gathered per batch before the shuffle, so copies
-and common passages do not make hot keys.  A signature's members are first
-compared with its smallest member only, one such comparison per document;
-links found so are contracted, and then just the pairs that share a
-signature across different components are compared.  Every comparison is
-exact on the sets of 64-bit shingle hashes.
+and common passages do not make hot keys; copies of one set are one member,
+told by a 64-bit hash of the set there and by 128 bits and its size
+afterwards.  A signature's members are first compared with the one of them
+that is in most signatures, one such comparison per document; links found so
+are contracted.  The same is done once more with such a member of another
+component, and then the pairs that share a signature across different
+components are compared.  Pairs whose sizes or parity sketches (which differ
+in no more bits than the sets in elements) rule a link out are dropped, by a
+short sketch inside the join and by a long one after it; the others are
+compared exactly, on the sets of 64-bit shingle hashes.  Long sketches and
+sets are made from the texts of the documents concerned, which a task tells
+by a bit table of bounded size, so texts are never shuffled.
 
 Defined results: null and empty texts (n = 0) are linked with nothing; a
 null doc_id is in no link and has a null component; documents of one set are
@@ -34,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlab.llm.bits import BitTable
 from flowlab.llm.graph import components
 from flowlab.llm.text import NON_SPACE, U, Words, expand, mix, shingle_hashes, slices
 from flowlab.session import cut_lineage
@@ -41,6 +49,9 @@ from flowlab.session import cut_lineage
 #: Bands of sets up to this size choose partitions; larger ones have k2 = 0.
 FINE_BELOW = 256
 _N2 = 4
+#: Bits of a long parity sketch, a power of two, and 64-bit words of a short one.
+SKETCH, SHORT = 2048, 4
+_SHORT = [f"p{i}" for i in range(SHORT)]
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,28 +195,47 @@ def signatures(keys: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.nd
     return np.concatenate(out_set), np.concatenate(out_sig)
 
 
+def set_hashes(keys: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each set."""
+    made = []
+    for seed in (0x27D4EB2F, 0x165667B1):
+        sums = np.concatenate([[U(0)], np.cumsum(mix(keys ^ U(seed)), dtype=np.uint64)])
+        made.append((sums[first[1:]] - sums[first[:-1]]).astype(np.int64))
+    return made
+
+
+def short_sketches(keys: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The parity of the number of elements in each of 64 * SHORT classes, 64 classes a word."""
+    bit = U(1) << ((keys >> U(16)) & U(63))
+    word = (keys >> U(8)) % U(SHORT)
+    out = []
+    for i in range(SHORT):
+        folded = np.concatenate([[U(0)], np.bitwise_xor.accumulate(np.where(word == i, bit, U(0)))]) if len(keys) else np.zeros(1, dtype=np.uint64)
+        out.append((folded[first[1:]] ^ folded[first[:-1]]).astype(np.int64))
+    return out
+
+
 def _describe(size):
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 keys, first = shingle_sets(part.column("text"), size)
-                made = []
-                for seed in (0x27D4EB2F, 0x165667B1):
-                    sums = np.concatenate([[U(0)], np.cumsum(mix(keys ^ U(seed)), dtype=np.uint64)])
-                    made.append((sums[first[1:]] - sums[first[:-1]]).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first), pa.int64()), *map(pa.array, made)], ["doc_id", "n", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(np.diff(first), pa.int64()), *map(pa.array, set_hashes(keys, first)), *map(pa.array, short_sketches(keys, first))],
+                    ["doc_id", "n", "h1", "h2", *_SHORT])
     return run
 
 
 def _sign(size, percent):
+    """Signatures with the sets (by their hash, in order) that have them in a batch."""
     def run(batches):
         bands = Bands(percent)
         for batch in batches:
             ids, sigs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
-            for part in slices(batch.filter(batch.column("doc_id").is_valid())):
+            for part in slices(batch):
                 keys, first = shingle_sets(part.column("text"), size)
                 row, sig = signatures(keys, first, bands)
-                ids.append(np.array(part.column("doc_id"), dtype=np.int64)[row])
+                ids.append(set_hashes(keys, first)[0][row])
                 sigs.append(sig)
             ids, sigs = np.concatenate(ids), np.concatenate(sigs)
             order = np.lexsort((ids, sigs))
@@ -218,16 +248,35 @@ def _sign(size, percent):
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(others, pa.int64()))
             for at in range(0, len(begin), 1 << 18):
                 end = min(len(begin), at + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(sigs[begin[at:end]].astype(np.int64)), pa.array(ids[begin[at:end]], pa.int64()), lists.slice(at, end - at)], ["sig", "id", "others"])
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[begin[at:end]].astype(np.int64)), pa.array(ids[begin[at:end]]), lists.slice(at, end - at)], ["sig", "h1", "others"])
     return run
 
 
-def _sets(size):
+def _sets(size, table, made):
+    """``made`` (bytes of a set) for the documents in the bit table."""
     def run(batches):
         for batch in batches:
+            batch = batch.filter(table.value.among(batch.column("doc_id")))
             for part in slices(batch):
                 keys, first = shingle_sets(part.column("text"), size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([keys[a:b].tobytes() for a, b in pairwise(first.tolist())], pa.binary())], ["id", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array([made(keys[a:b]) for a, b in pairwise(first.tolist())], pa.binary())], ["id", "n", "made"])
+    return run
+
+
+def _sketch(keys: np.ndarray) -> bytes:
+    """The parity of the number of elements in each of SKETCH classes."""
+    return np.packbits(np.bincount((keys & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
+def _possible(percent):
+    """Pairs that sizes and sketches do not rule out."""
+    def run(batches):
+        for batch in batches:
+            n, m = np.array(batch.column("n_a"), dtype=np.int64), np.array(batch.column("n_b"), dtype=np.int64)
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH // 8) for c in ("made_a", "made_b"))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            fits = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (differ <= (100 - percent) * (n + m) // (100 + percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(fits))
     return run
 
 
@@ -235,7 +284,7 @@ def _similar(percent):
     def run(batches):
         for batch in batches:
             links = []
-            for x, y in zip(batch.column("keys_a").to_pylist(), batch.column("keys_b").to_pylist(), strict=True):
+            for x, y in zip(batch.column("made_a").to_pylist(), batch.column("made_b").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
@@ -247,45 +296,78 @@ def _similar(percent):
 
 def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id: long, text)."""
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    described = docs.mapInArrow(_describe(size), "doc_id long, n long, h1 long, h2 long")
-    described = cut_lineage(described)
-    same = described.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    sets = cut_lineage(described.filter("n > 0").join(same, ["h1", "h2", "n"]).select("doc_id", "n", "rep"))
-    rep_of = sets.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "rep", "n")
+    described = cut_lineage(docs.mapInArrow(_describe(size), f"doc_id long, n long, h1 long, h2 long, {', '.join(f'{p} long' for p in _SHORT)}"))
+    same = cut_lineage(described.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), *(F.max(p).alias(p) for p in _SHORT)))
 
-    rows = docs.mapInArrow(_sign(size, percent), "sig long, id long, others array<long>")
+    rows = docs.mapInArrow(_sign(size, percent), "sig long, h1 long, others array<long>")
     by_sig = Window.partitionBy("sig")
-    rows = rows.withColumns({"members": F.sum(F.size("others") + 1).over(by_sig)}).filter("members > 1")
-    members = rows.select("sig", F.explode(F.concat(F.array("id"), "others")).alias("id")).join(rep_of, "id").select("sig", F.col("rep").alias("id"), "n").distinct()
+    rows = rows.withColumns({"low": F.min("h1").over(by_sig), "high": F.max(F.coalesce(F.get("others", F.size("others") - 1), "h1")).over(by_sig)}).filter("low <> high")
+    members = (rows.select("sig", F.explode(F.concat(F.array("h1"), "others")).alias("h1")).distinct()
+               .join(same.select("h1", F.col("rep").alias("id"), "n", *_SHORT), "h1").select("sig", "id", "n", *_SHORT))
     members = cut_lineage(members)
+    degree = members.groupBy("id").agg(F.count("*").alias("degree"))
+    ranked = members.select("sig", "id").join(degree, "id").select("sig", "id", F.struct("degree", (-F.col("id")).alias("minus")).alias("rank"))
+
+    def made_for(ids: DataFrame, made) -> DataFrame:
+        table = spark.sparkContext.broadcast(BitTable(ids))
+        return docs.mapInArrow(_sets(size, table, made), "id long, n long, made binary").dropDuplicates(["id"])
 
-    centre = members.groupBy("sig").agg(F.min("id").alias("centre"), F.count("*").alias("m")).filter("m > 1").select("sig", "centre")
-    star = (members.join(centre, "sig").filter("id <> centre").groupBy("id", "centre").agg(F.count("*").alias("shared"))
-            .groupBy("id").agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("centre")))
-    first = cut_lineage(star.select(F.col("centre").alias("a"), F.col("id").alias("b")))
-    needed = members.join(centre, "sig", "left_semi").select("id").distinct()
-    keys = cut_lineage(docs.join(needed, docs["doc_id"] == needed["id"], "left_semi").mapInArrow(_sets(size), "id long, keys binary").dropDuplicates(["id"]))
+    def both(pairs: DataFrame, made: DataFrame) -> DataFrame:
+        a, b = (made.withColumnsRenamed({"id": x, "n": f"n_{x}", "made": f"made_{x}"}) for x in "ab")
+        return pairs.join(a, "a").join(b, "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = keys.withColumnsRenamed({"id": "a", "keys": "keys_a"})
-        b = keys.withColumnsRenamed({"id": "b", "keys": "keys_b"})
-        return cut_lineage(pairs.join(a, "a").join(b, "b").mapInArrow(_similar(percent), "a long, b long"))
-
-    links = verify(first)
-    found = components(links)
-    named = members.join(found, members["id"] == found["node"], "left").select("sig", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("sig")
-    named = cut_lineage(named.join(mixed, "sig", "left_semi"))
-    main = named.groupBy("sig", "component").count().groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    x = named.join(main, "sig").filter("component <> main").select("sig", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    y = named.join(main, "sig").select("sig", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("in_main"))
-    across = (x.join(y, "sig").filter("cx <> cy and (in_main or x < y)")
-              .filter(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    links = links.union(verify(across))
-    found = components(links)
+        """The pairs (a, b) that are links."""
+        ids = lambda p: p.select(F.col("a").alias("id")).union(p.select("b")).distinct()
+        possible = cut_lineage(both(pairs, made_for(ids(pairs), _sketch)).mapInArrow(_possible(percent), "a long, b long"))
+        return cut_lineage(both(possible, made_for(ids(possible), np.ndarray.tobytes)).mapInArrow(_similar(percent), "a long, b long"))
+
+    def one_each(met: DataFrame) -> DataFrame:
+        """Of the members that each document met, the one it met in most signatures."""
+        best = (met.groupBy("id", "other").agg(F.count("*").alias("shared")).groupBy("id")
+                .agg(F.max_by("other", F.struct("shared", -F.col("other"))).alias("other")))
+        return cut_lineage(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+
+    short = [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in _SHORT]
+
+    def could(n, m, differ):
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ * (100 + percent) <= (100 - percent) * (n + m))
+
+    centre = ranked.groupBy("sig").agg((-F.max("rank")["minus"]).alias("other"))
+    tried = one_each(ranked.select("sig", "id").join(centre, "sig").filter("id <> other"))
+    links = verify(tried)
+
+    def named() -> DataFrame:
+        """Members of signatures that reach over components, with these."""
+        found = components(links)
+        out = members.join(found, members["id"] == found["node"], "left").select("sig", "id", "n", *_SHORT, F.coalesce("component", "id").alias("component"))
+        mixed = out.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("sig")
+        return cut_lineage(out.join(mixed, "sig", "left_semi"))
+
+    now = named()
+    tops = (now.select("sig", "id", "component").join(degree, "id")
+            .groupBy("sig", "component").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top")))
+    first = tops.groupBy("sig").agg(F.max(F.struct("top", "component")).alias("t")).select("sig", F.col("t.component").alias("c1"), (-F.col("t.top.minus")).alias("o1"))
+    second = tops.join(first, "sig").filter("component <> c1").groupBy("sig").agg((-F.max("top")["minus"]).alias("o2"))
+    met = now.select("sig", "id", "component").join(first, "sig").join(second, "sig")
+    again = one_each(met.select("sig", "id", F.when(F.col("component") == F.col("c1"), F.col("o2")).otherwise(F.col("o1")).alias("other"))).join(tried, ["a", "b"], "left_anti")
+    links = cut_lineage(links.union(verify(again)))
+
+    now = named()
+    main = now.groupBy("sig", "component").count().groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    sides = now.join(main, "sig").withColumn("minor", F.col("component") != F.col("main"))
+    x, y = sides.filter("minor").alias("x"), sides.alias("y")
+    differ = short[0]
+    for s in short[1:]:
+        differ = differ + s
+    apart = (F.col("x.component") != F.col("y.component")) & (~F.col("y.minor") | (F.col("x.id") < F.col("y.id")))
+    across = (x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & could(F.col("x.n"), F.col("y.n"), differ))
+              .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+              .join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"))
+    found = components(links.union(verify(cut_lineage(across))))
     return (described.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2")
-            .join(same.withColumnRenamed("n", "n_shingles"), ["h1", "h2", "n_shingles"], "left")
+            .join(same.select("h1", "h2", F.col("n").alias("n_shingles"), "rep"), ["h1", "h2", "n_shingles"], "left")
             .join(found, F.col("rep") == F.col("node"), "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")))
