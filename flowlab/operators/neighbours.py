@@ -1,11 +1,14 @@
 """Exact k-nearest neighbours, a k-NN classifier and local outlier factor.
 
-No pair table is ever materialised.  The reference set is cut into blocks
-of at most ``block_rows`` rows (size checked before anything is shipped);
-each block is broadcast once and a vectorised ``mapInPandas`` keeps, per
-query row, only the k nearest reference rows of that block.  The per-block
-candidates (≤ k per query and block) are merged by a per-query top-k.  Cost
-is O(|queries|·|reference|) arithmetic but only O(|queries|·k·blocks) rows.
+The reference rows are dealt to cells, by the nearest of at most ``SAMPLE``
+of its own rows; a cell has a radius and is cut into blocks of about
+``block_rows`` rows, each one packed row.  A query's distance to its k-th
+nearest sampled row bounds its k-th neighbour's distance from above, so it
+visits just the cells that may hold a row as near (distance to the centre
+less the radius), ties included.  Queries that visit a cell travel packed,
+meet its blocks in an equi-join, and keep their k nearest rows of each block;
+a per-query top-k merges these.  No task holds more than a block and a batch
+of queries; the driver holds the sample and one row per cell.
 """
 
 from __future__ import annotations
@@ -15,28 +18,37 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 5_000
+SAMPLE = 1024
 LOF_EPS = 1e-10
 
 
-def _blocks(ref: DataFrame, rid: str, vec: str, block_rows: int):
-    """Yield (ids, matrix) blocks of the reference set, each ≤ block_rows rows."""
-    n = ref.count()
-    nb = max(1, -(-n // block_rows))
-    keyed = ref.select(F.col(rid).alias("_rid"), F.col(vec).cast("array<double>").alias("_v"))
-    if nb == 1:
-        parts = [keyed]
-    else:
-        keyed = keyed.withColumn("_blk", F.pmod(F.xxhash64("_rid"), F.lit(nb)))
-        parts = [keyed.where(F.col("_blk") == b).drop("_blk") for b in range(nb)]
-    for p in parts:
-        rows = p.collect()
-        if len(rows) > 2 * block_rows:
-            raise ValueError("reference block exceeds its size bound")
-        if rows:
-            ids = np.array([r[0] for r in rows], dtype=np.int64)
-            mat = np.array([r[1] for r in rows], dtype=np.float64)
-            yield ids, mat
+def _distances(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows, to rounding errors of the squares."""
+    square = (x * x).sum(axis=1)[:, None] + (m * m).sum(axis=1)[None, :] - 2.0 * x @ m.T
+    return np.sqrt(np.maximum(square, 0))
+
+
+def _slack(x: np.ndarray, m: np.ndarray) -> float:
+    """More than _distances can be off by."""
+    return 1e-6 * (1 + float(np.sqrt(max((x * x).sum(axis=1).max(initial=0), (m * m).sum(axis=1).max(initial=0)))))
+
+
+def _nearest(x: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of each query's k nearest rows, ties by id, with distances summed in full."""
+    off = _distances(x, m)
+    kth = np.partition(off, k - 1, axis=1)[:, k - 1] if k < len(ids) else off.max(axis=1)
+    q, r = np.nonzero(off <= kth[:, None] + 2 * _slack(x, m))
+    diff = x[q] - m[r]
+    d = np.sqrt((diff * diff).sum(axis=1))
+    order = np.lexsort((ids[r], d, q))
+    q, r, d = q[order], r[order], d[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], ids[r[keep]], d[keep]
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.vstack(column.to_numpy()).astype(np.float64)
 
 
 def knn(queries: DataFrame, reference: DataFrame, k: int, qid: str = "id", rid: str = "id",
@@ -45,42 +57,70 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, qid: str = "id", rid:
     query row by Euclidean distance, ties broken by neighbour id.
 
     ``exclude_self`` drops the reference row whose id equals the query id
-    (neighbours of the reference set within itself).
+    (neighbours of the reference set within itself).  Rows with a null id or
+    vector are left out.
     """
-    spark = queries.sparkSession
-    q = queries.select(F.col(qid).cast("long").alias("query_id"),
-                       F.col(vec).cast("array<double>").alias("_v"))
+    def ready(df, key):
+        return df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("id is not null and v is not null")
+
+    q, ref = ready(queries, qid), ready(reference, rid)
+    sample = ref.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    none = "query_id long, neighbor_id long, distance double, rank int"
+    if not sample:
+        return queries.sparkSession.createDataFrame([], none)
+    sample_ids = np.array([r.id for r in sample], dtype=np.int64)
+    centres = np.array([r.v for r in sample], dtype=np.float64)
     extra = 1 if exclude_self else 0
-    parts = []
-    for ids, mat in _blocks(reference, rid, vec, block_rows):
-        b_ids = spark.sparkContext.broadcast(ids)
-        b_mat = spark.sparkContext.broadcast(mat)
-        keep = min(len(ids), k + extra + 8)
-
-        def per_block(it, b_ids=b_ids, b_mat=b_mat, keep=keep):
-            ids_, m = b_ids.value, b_mat.value
-            m2 = (m * m).sum(axis=1)
-            for pdf in it:
-                if pdf.empty:
+
+    def deal(it):
+        for pdf in it:
+            if len(pdf):
+                d = _distances(_matrix(pdf["v"]), centres)
+                cell = d.argmin(axis=1)
+                yield pd.DataFrame({"cell": cell, "far": d[np.arange(len(cell)), cell], "id": pdf["id"], "v": pdf["v"]})
+
+    dealt = ref.mapInPandas(deal, "cell int, far double, id long, v array<double>")
+    cells = {r.cell: (r.n, r.far) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
+    blocks = np.array([max(1, -(-cells.get(c, (0, 0))[0] // block_rows)) for c in range(len(centres))])
+    radius = np.array([cells.get(c, (0, -np.inf))[1] for c in range(len(centres))])
+    parts = F.array(*[F.lit(int(b)) for b in blocks])
+    packed = (dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.get(parts, F.col("cell"))).cast("int"))
+              .groupBy("cell", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+              .select("cell", "block", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat")))
+
+    def visit(it):
+        for pdf in it:
+            for at in range(0, len(pdf), 2000):
+                some = pdf.iloc[at:at + 2000]
+                if not len(some):
                     continue
-                x = np.vstack(pdf["_v"].to_numpy())
-                approx = (x * x).sum(axis=1)[:, None] + m2[None, :] - 2.0 * x @ m.T
-                cand = np.argpartition(approx, keep - 1, axis=1)[:, :keep]
-                # exact distances for the candidates only
-                diff = x[:, None, :] - m[cand]
-                d = np.sqrt((diff * diff).sum(axis=2))
-                qids = np.repeat(pdf["query_id"].to_numpy(), keep)
-                yield pd.DataFrame({"query_id": qids, "neighbor_id": ids_[cand].ravel(),
-                                    "distance": d.ravel()})
-
-        parts.append(q.mapInPandas(per_block, "query_id long, neighbor_id long, distance double"))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+                x, own = _matrix(some["v"]), some["id"].to_numpy()
+                d = _distances(x, centres)
+                slack = _slack(x, centres)
+                near = np.where(sample_ids[None, :] == own[:, None], np.inf, d) if exclude_self else d
+                bound = np.partition(near, k - 1, axis=1)[:, k - 1] if k <= len(sample_ids) else np.full(len(x), np.inf)
+                fits = d - radius[None, :] <= bound[:, None] + 4 * slack
+                for c in np.flatnonzero(fits.any(axis=0)):
+                    if c in cells:
+                        rows = np.flatnonzero(fits[:, c])
+                        n = int(blocks[c])
+                        yield pd.DataFrame({"cell": [int(c)] * n, "block": list(range(n)), "own": [own[rows]] * n, "x": [x[rows].ravel()] * n})
+
+    def meet(it):
+        for pdf in it:
+            for own, x, ids, flat in zip(pdf["own"], pdf["x"], pdf["ids"], pdf["flat"], strict=True):
+                own, ids = np.asarray(own), np.asarray(ids)
+                x, m = np.asarray(x).reshape(len(own), -1), np.asarray(flat).reshape(len(ids), -1)
+                for at in range(0, len(own), 500):
+                    a, b, d = _nearest(x[at:at + 500], ids, m, k + extra)
+                    yield pd.DataFrame({"query_id": own[at:at + 500][a], "neighbor_id": b, "distance": d})
+
+    met = (q.mapInPandas(visit, "cell int, block int, own array<long>, x array<double>").join(packed, ["cell", "block"])
+           .select("own", "x", "ids", "flat").mapInPandas(meet, "query_id long, neighbor_id long, distance double"))
     if exclude_self:
-        cand = cand.where(F.col("query_id") != F.col("neighbor_id"))
+        met = met.where(F.col("query_id") != F.col("neighbor_id"))
     w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def knn_classify(train: DataFrame, queries: DataFrame, k: int = 5, qid: str = "id", rid: str = "id",
