@@ -55,13 +55,13 @@ def isolation_forest(normal: DataFrame, df: DataFrame, key: str, trees: int = 15
     """Isolation-forest anomaly score 2^(−E[h(x)]/c(ψ)) (higher = more anomalous)."""
     spark = df.sparkSession
     n = normal.count()
-    psi = int(min(max_samples, n))
+    psi = int(min(max_samples, n))  # the method's own sample size for a tree
     p = min(1.0, psi / max(n, 1))
     height = int(math.ceil(math.log2(max(psi, 2))))
     # each row joins tree t when hash(key, t) < p: ≈ ψ rows per tree
     member = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                      lambda t: (F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1 << 30))
-                                 < F.lit(int(p * (1 << 30)))))
+                      lambda t: (F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1 << 62))
+                                 < F.lit(int(p * (1 << 62)))))
     samples = normal.select(F.explode(member).alias("tree"), vector_to_array(features).alias("x"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -98,7 +98,8 @@ def isolation_forest(normal: DataFrame, df: DataFrame, key: str, trees: int = 15
     nodes = samples.groupBy("tree").applyInPandas(
         grow, "tree int, node int, feature int, threshold double, left int, right int, size int")
     table = nodes.orderBy("tree", "node").toPandas()  # ≤ trees·2ψ rows, independent of n
-    forest = [g.sort_values("node")[["feature", "threshold", "left", "right", "size"]].to_numpy()
+    table["rest"] = table["size"].map(_c)  # mean path length below a leaf
+    forest = [g.sort_values("node")[["feature", "threshold", "left", "right", "rest"]].to_numpy()
               for _, g in table.groupby("tree")]
     b = spark.sparkContext.broadcast(forest)
     cpsi = _c(psi)
@@ -110,7 +111,7 @@ def isolation_forest(normal: DataFrame, df: DataFrame, key: str, trees: int = 15
             total = np.zeros(len(pdf))
             for tr in fs:
                 feat, thr = tr[:, 0].astype(int), tr[:, 1].astype(float)
-                left, right, size = tr[:, 2].astype(int), tr[:, 3].astype(int), tr[:, 4].astype(float)
+                left, right, rest = tr[:, 2].astype(int), tr[:, 3].astype(int), tr[:, 4].astype(float)
                 node = np.zeros(len(pdf), dtype=int)
                 depth = np.zeros(len(pdf))
                 active = feat[node] >= 0
@@ -120,7 +121,7 @@ def isolation_forest(normal: DataFrame, df: DataFrame, key: str, trees: int = 15
                     node[i] = np.where(go_left, left[node[i]], right[node[i]])
                     depth[i] += 1
                     active = feat[node] >= 0
-                total += depth + np.array([_c(s) for s in size[node]])
+                total += depth + rest[node]
             pdf = pdf.drop(columns=["_x"])
             pdf[out] = np.power(2.0, -(total / max(len(fs), 1)) / cpsi) if cpsi > 0 else 0.5
             yield pdf

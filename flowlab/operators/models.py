@@ -43,10 +43,14 @@ class Data:
         return self.df.where(F.col("split") == "test")
 
 
-def with_weights(df: DataFrame, k: int, label: str = "label", out: str = "weight") -> DataFrame:
-    """Attach balanced class weights n/(K·n_c) (a K-row broadcast join)."""
-    w = balanced_weights(df, label, None).select(F.col(label).alias("_l"), F.col("weight").alias(out))
-    return df.join(F.broadcast(w), F.col(label) == F.col("_l"), "left").drop("_l")
+def with_weights(df: DataFrame, label: str = "label", out: str = "weight", fitted: DataFrame | None = None) -> DataFrame:
+    """Attach balanced class weights n/(K·n_c), counted over the rows that are fitted (``fitted``, default ``df``).
+
+    A K-row broadcast join; a class without a fitted row gets weight 1.
+    """
+    w = balanced_weights(df if fitted is None else fitted, label, None).select(F.col(label).alias("_l"), F.col("weight").alias("_w"))
+    joined = df.drop(out).join(F.broadcast(w), F.col(label) == F.col("_l"), "left").drop("_l")
+    return joined.withColumn(out, F.coalesce("_w", F.lit(1.0))).drop("_w")
 
 
 def _reg(c: float, train: DataFrame, weight: str | None) -> float:
@@ -157,7 +161,6 @@ def evaluate_row(pred: DataFrame, classes: list[str], **tags) -> DataFrame:
 def zoo(data: Data, specs: list[tuple[str, str, object]]) -> DataFrame:
     """Model-zoo benchmark: one metric row per (method, variant) estimator."""
     train, test = data.train, data.test
-    train.cache()
     rows = None
     for method, variant, est in specs:
         pred, secs = fit_predict(est, train, test)
@@ -258,12 +261,18 @@ def self_training(data: Data, make, labelled: DataFrame, threshold: float = 0.8,
                   max_rounds: int = 10) -> tuple[DataFrame, int]:
     """Self-training: fit on labelled rows, promote unlabelled rows whose top class
     probability ≥ threshold, refit; stop when nothing is promoted or after
-    ``max_rounds``.  Each round's labelled set is cut with a reliable checkpoint."""
+    ``max_rounds``.  Each round's labelled set is cut with a reliable checkpoint,
+    and its class weights are counted over that set alone."""
     key = data.key
     lab = labelled.select(key, "features", "label")
     pool = data.train.join(lab.select(key), key, "left_anti").select(key, "features")
     rounds = 0
-    model = make(lab).fit(lab)
+
+    def refit(rows: DataFrame):
+        rows = with_weights(rows)
+        return make(rows).fit(rows)
+
+    model = refit(lab)
     while rounds < max_rounds:
         scored = model.transform(pool).withColumn("_pmax", F.array_max(vector_to_array("probability")))
         new = scored.where(F.col("_pmax") >= threshold).select(key, "features", F.col("prediction").alias("label"))
@@ -273,7 +282,7 @@ def self_training(data: Data, make, labelled: DataFrame, threshold: float = 0.8,
         lab = cut_lineage(lab.unionByName(new))
         pool = cut_lineage(pool.join(new.select(key), key, "left_anti"))
         rounds += 1
-        model = make(lab).fit(lab)
+        model = refit(lab)
     pred = model.transform(data.test)
     return pred, rounds
 

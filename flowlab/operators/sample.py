@@ -43,7 +43,7 @@ def _class_counts(df: DataFrame, by: str) -> dict:
 
 
 def _buckets_for(max_rows_in_group: int) -> int:
-    return int(min(1 << 20, max(1, math.ceil(max_rows_in_group / ROWS_PER_BUCKET))))
+    return max(1, math.ceil(max_rows_in_group / ROWS_PER_BUCKET))
 
 
 def ranked_within(df: DataFrame, by: str, key: str, seed: int = 0, quotas: dict | None = None,

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from flowlab.operators import drift as D
 from flowlab.plans import finish, query, rounded
-from flowlab.plans.sql import FLOWS, NUMERIC, with_
-from flowlab.sources.tables import FAMILIES, FLOW_CATEGORICAL, FLOW_NUMERIC, flows
+from flowlab.plans.sql import FLOWS, NUMERIC, SCORED, with_
+from flowlab.sources.tables import FAMILIES, FLOW_CATEGORICAL, FLOW_NUMERIC, flows, scored
 
 
 def _drift_sql() -> str:
@@ -66,12 +66,15 @@ def a18_class_mix_shift(spark, sf):
     return finish(D.class_mix_shift(flows(spark, sf), "attack_family", FAMILIES))
 
 
-@query("j03_unseen_labels", with_(FLOWS, "a AS (SELECT DISTINCT label FROM flows WHERE split='train')",
-                                  "b AS (SELECT DISTINCT label FROM flows WHERE split='test')") + """
+# The splits are cut by time, so the labels that a tenth of the users get, with the day in them, are in one split only.
+@query("j03_unseen_labels", with_(SCORED, """d AS (SELECT split, CASE WHEN user_id % 10 = 0 THEN label || strftime(ts, '@%d') ELSE label END AS label FROM scored)""",
+                                  "a AS (SELECT DISTINCT label FROM d WHERE split='train')",
+                                  "b AS (SELECT DISTINCT label FROM d WHERE split='test')") + """
 SELECT 'test_only' AS direction, label FROM b WHERE label NOT IN (SELECT label FROM a)
 UNION ALL SELECT 'train_only' AS direction, label FROM a WHERE label NOT IN (SELECT label FROM b)""")
 def j03_unseen_labels(spark, sf):
-    return D.unseen_labels(flows(spark, sf))
+    dated = F.concat("label", F.date_format("ts", "'@'dd"))
+    return D.unseen_labels(scored(spark, sf).withColumn("label", F.when(F.col("user_id") % 10 == 0, dated).otherwise(F.col("label"))))
 
 
 @query("j04_unseen_categories", _shares_sql(FLOW_CATEGORICAL) + """

@@ -97,14 +97,15 @@ def f08_stable_id(spark, sf):
 
 
 @query("f09_half_even", rounded(with_(SCORED) + """
-SELECT label, count(*) AS n, round_even(1234 * count(*) / sum(count(*)) OVER (), 0) AS quota
-FROM scored GROUP BY label""", "quota"))
+SELECT user_id, label, count(*) AS n, round_even(1234 * count(*) / sum(count(*)) OVER (), 0) AS quota, round_even(count(*) / 2.0, 0)::DOUBLE AS half
+FROM scored GROUP BY user_id, label""", "quota", "half"))
 def f09_half_even(spark, sf):
-    c = scored(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    c = scored(spark, sf).groupBy("user_id", "label").agg(F.count(F.lit(1)).alias("n"))  # many odd counts: halves end in .5
     tot = c.agg(F.sum("n").alias("_t"))
     from flowlab.operators.ordered import attach_totals
     j = attach_totals(c, tot)
-    return finish(j.select("label", "n", C.half_even(F.lit(1234) * F.col("n") / F.col("_t")).alias("quota")))
+    return finish(j.select("user_id", "label", "n", C.half_even(F.lit(1234) * F.col("n") / F.col("_t")).alias("quota"),
+                           C.half_even(F.col("n") / 2).alias("half")))
 
 
 @query("f10_strings_safe_division", rounded(with_(SCORED) + """

@@ -69,7 +69,7 @@ m AS (SELECT label, CASE WHEN k IN ('benign','benigntraffic','normal') THEN 'Ben
   WHEN starts_with(k, 'ddos') THEN 'DDoS' WHEN starts_with(k, 'dos') THEN 'DoS'
   WHEN starts_with(k, 'recon') OR k IN ('vulnerabilityscan','vulnerability_scan','portsweep','pingsweep','osscan','hostdiscovery') THEN 'Recon'
   WHEN starts_with(k, 'mirai') THEN 'Mirai' WHEN contains(k, 'spoof') THEN 'Spoofing'
-  WHEN contains(k, 'bruteforce') OR contains(k, 'dictionarybruteforce') THEN 'Brute Force'
+  WHEN contains(k, 'bruteforce') THEN 'Brute Force'
   WHEN k IN ('sqlinjection','commandinjection','backdoormalware','uploadingattack','uploading_attack','xss','browserhijacking') THEN 'Web-based'
   END AS attack_category FROM c)
 """
@@ -89,12 +89,10 @@ def p05_add_label_columns(spark, sf):
 
 
 @query("p06_feature_columns", """
-SELECT CAST(row_number() OVER () - 1 AS INT) AS position, column_name AS feature
-FROM (DESCRIBE SELECT event_id, ts, user_id, event_type AS label, value, props FROM events)
-WHERE column_name NOT IN ('label', 'Label', 'attack_category', 'binary_label', 'attack_family', 'difficulty', 'source_file')""")
+SELECT event_id, user_id, value, props FROM events""")
 def p06_feature_columns(spark, sf):
     ev = spark.read.parquet(f"{sf}/events.parquet").withColumnRenamed("event_type", "label")
-    return spark.createDataFrame(list(enumerate(L.feature_columns(ev))), "position int, feature string")
+    return ev.select(*L.feature_columns(ev, L.NON_FEATURE_COLUMNS | {"ts"}))
 
 
 _ATTRS = FLOW_CATEGORICAL + FLOW_NUMERIC
@@ -102,13 +100,13 @@ _ATTRS = FLOW_CATEGORICAL + FLOW_NUMERIC
 
 @query("p07_attribute_type", with_(FLOWS) + """
 SELECT a AS attribute, CASE WHEN a IN ('protocol_type','service','flag') THEN 'categorical'
-  WHEN a IN ('is_large') THEN 'binary_numeric' ELSE 'numeric' END AS raw_type
-FROM (SELECT unnest(""" + _sql_list(_ATTRS) + """) AS a)""")
+  WHEN a IN ('is_large') THEN 'binary_numeric' ELSE 'numeric' END AS raw_type, n AS filled
+FROM (UNPIVOT (SELECT """ + ", ".join(f"count({a}) AS {a}" for a in _ATTRS) + """ FROM flows) ON COLUMNS(*) INTO NAME a VALUE n)""")
 def p07_attribute_type(spark, sf):
     f = flows(spark, sf)
-    names = spark.createDataFrame([(c,) for c in f.columns if c in _ATTRS], "attribute string")
-    return names.select("attribute", L.raw_type(F.col("attribute"), FLOW_CATEGORICAL, ["is_large"])
-                        .alias("raw_type"))
+    attrs = [c for c in f.columns if c in _ATTRS]
+    filled = f.agg(*[F.count(c).alias(c) for c in attrs]).unpivot([], attrs, "attribute", "filled")
+    return filled.select("attribute", L.raw_type(F.col("attribute"), FLOW_CATEGORICAL, ["is_large"]).alias("raw_type"), "filled")
 
 
 _NAMES_SQL = _VOCAB + """, names AS (

@@ -34,7 +34,7 @@ def embed_data(spark, sf, binary: bool = False) -> M.Data:
                    lab.alias("label"), "split")
     # every model reads this table many times: materialise it once (reliable
     # checkpoint in the shared folder), which also keeps the later plans short
-    df = cut_lineage(M.with_weights(df, 2 if binary else 10))
+    df = cut_lineage(M.with_weights(df, fitted=df.where(F.col("split") == "train")))
     return M.Data(df, BIN if binary else CLASSES10, "id")
 
 
@@ -346,10 +346,10 @@ def m24_representations(spark, sf):
 @query("m25_self_training")
 def m25_self_training(spark, sf):
     d = embed_data(spark, sf, binary=True)
-    make = lambda tr: M.logistic(tr, 1.0, "weight" in tr.columns)
+    make = lambda tr: M.logistic(tr, 1.0, True)
     rows = []
-    for budget in (0.05, 0.25):
-        lab = label_budget(d.train, "label", "id", budget)
+    for budget in (0.01, 0.05, 0.1, 0.25):
+        lab = M.with_weights(label_budget(d.train, "label", "id", budget))
         pred, _ = M.fit_predict(make(lab), lab, d.test)
         r1 = M.evaluate_row(pred, BIN, method="labelled_only_logreg", variant=str(budget))
         pred2, rounds = M.self_training(d, make, lab, 0.8, 10)

@@ -31,7 +31,8 @@ def a02_phase1_summary(spark, sf):
 
 # Defects are injected deterministically into the whole events table (a
 # null every 97th key, +Inf every 101st, a near-constant and a constant
-# column, and every 50th row repeated) so each audit counter is non-zero.
+# column, a wrong binary label every 89th, and every 50th row repeated) so
+# each audit counter is non-zero.
 AUDIT_COLS = ["value", "f_null", "f_inf", "f_near", "f_const"]
 
 
@@ -45,8 +46,8 @@ def audited(spark, sf):
         F.when(k % 101 == 0, F.lit(float("inf"))).otherwise(F.col("score")).alias("f_inf"),
         F.when(k % 5000 == 0, 1.0).otherwise(0.0).alias("f_near"),
         F.lit(0.0).alias("f_const"))
-    base = base.withColumn("binary_label", F.when(F.col("attack_category") == "normal", 0)
-                           .otherwise(F.col("y")).cast("int")).drop("y")
+    right = F.when(F.col("attack_category") == "normal", 0).otherwise(F.col("y"))
+    base = base.withColumn("binary_label", F.when(k % 89 == 0, 1 - right).otherwise(right).cast("int")).drop("y")
     return base.unionByName(base.where(k % 50 == 0))
 
 
@@ -56,7 +57,7 @@ base AS (SELECT row_key, label, attack_family AS attack_category, score AS value
   CASE WHEN row_key % 101 = 0 THEN 'Infinity'::DOUBLE ELSE score END AS f_inf,
   CASE WHEN row_key % 5000 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f_near,
   0.0::DOUBLE AS f_const,
-  CAST(CASE WHEN attack_family = 'normal' THEN 0 ELSE y END AS INT) AS binary_label FROM scored),
+  CAST(abs((row_key % 89 = 0)::INT - CASE WHEN attack_family = 'normal' THEN 0 ELSE y END) AS INT) AS binary_label FROM scored),
 audited AS (SELECT * FROM base UNION ALL SELECT * FROM base WHERE row_key % 50 = 0)"""
 
 
@@ -88,10 +89,10 @@ SELECT (SELECT count(*) FROM audited) AS rows, {len(AUDIT_COLS)} AS features,
   (SELECT sum(c - 1) FROM d) * 100.0 / (SELECT count(*) FROM audited) AS duplicate_pct,
   (SELECT CAST(sum(is_constant::INT) AS BIGINT) FROM cq) AS constant_features,
   (SELECT CAST(sum(is_near_constant::INT) AS BIGINT) FROM cq) AS near_constant_features,
-  (SELECT CAST(sum(((attack_category = 'Benign') != (binary_label = 0))::INT) AS BIGINT) FROM audited) AS consistency_mismatches""",
+  (SELECT CAST(sum(((attack_category = 'normal') != (binary_label = 0))::INT) AS BIGINT) FROM audited) AS consistency_mismatches""",
                                   "duplicate_pct"))
 def a13_quality_audit(spark, sf):
-    return finish(Q.quality_audit(audited(spark, sf), AUDIT_COLS, "attack_category", "binary_label"))
+    return finish(Q.quality_audit(audited(spark, sf), AUDIT_COLS, "attack_category", "binary_label", benign="normal"))
 
 
 def _profile_sql() -> str:

@@ -95,8 +95,8 @@ def a23_correlation_pairs(spark, sf):
     return finish(R.correlation_pairs(flows(spark, sf), FLOW_NUMERIC, 0.95))
 
 
-@query("o04_order_by_abs", rounded(_pairs_sql(0.0) + " ORDER BY abs(corr) DESC, feature_a, feature_b LIMIT 10",
+@query("o04_order_by_abs", rounded(_pairs_sql(0.9) + " AND abs(corr) > 0.9 ORDER BY abs(corr) DESC, feature_a, feature_b",
                                    "corr", "abs_corr"))
 def o04_order_by_abs(spark, sf):
-    pairs = R.correlation_pairs(flows(spark, sf), FLOW_NUMERIC, 0.0)
-    return finish(pairs.orderBy(F.abs("corr").desc(), "feature_a", "feature_b").limit(10))
+    pairs = R.correlation_pairs(flows(spark, sf), FLOW_NUMERIC, 0.9).where(F.abs("corr") > 0.9)
+    return finish(pairs.orderBy(F.abs("corr").desc(), "feature_a", "feature_b"))

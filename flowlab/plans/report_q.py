@@ -9,6 +9,7 @@ from flowlab.operators import outlier as O
 from flowlab.operators import report as RP
 from flowlab.plans import finish, query, rounded
 from flowlab.plans.evaluate_q import scored5
+from flowlab.plans.outlier_q import _LONG
 from flowlab.plans.sql import EVENT_FEATURES, SCORED, SCORED5, with_
 from flowlab.sources.tables import FAMILIES, EVENT_NUMERIC, event_features, scored
 
@@ -146,10 +147,12 @@ def j06_family_lookup(spark, sf):
     return top.join(F.broadcast(fam), "label")
 
 
-@query("u03_union_scored", with_(EVENT_FEATURES) + "SELECT split, count(*) AS rows FROM ef GROUP BY split")
+@query("u03_union_scored", rounded(_LONG + """SELECT split, outlier_feature_count, max(max_abs_robust_z) AS max_abs_robust_z, count(*) AS rows
+FROM rows_ GROUP BY split, outlier_feature_count""", "max_abs_robust_z"))
 def u03_union_scored(spark, sf):
     ef = event_features(spark, sf)
     ref = O.iqr_reference(ef.where(F.col("split") == "train"), EVENT_NUMERIC)
     tr = O.score_rows(ef.where(F.col("split") == "train"), ref, EVENT_NUMERIC)
     te = O.score_rows(ef.where(F.col("split") == "test"), ref, EVENT_NUMERIC)
-    return tr.unionByName(te).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    return finish(tr.unionByName(te).groupBy("split", "outlier_feature_count").agg(
+        F.max("max_abs_robust_z").alias("max_abs_robust_z"), F.count(F.lit(1)).alias("rows")))

@@ -63,6 +63,7 @@ def _write_iot_csv(spark, sf, name):
     ev = table(spark, sf, "events")
     out = s.join(ev.select(F.col("event_id").alias("row_key"), "value", "event_type"), "row_key") \
         .select("row_key", "value", lab.alias(" Label"), "event_type")
+    # the manifest queries count one file a type, so the rows of a type meet in one writer
     out.repartition("event_type").write.partitionBy("event_type").option("header", "true").csv(root)
     return root
 
@@ -144,12 +145,13 @@ def s09_assign_roles(spark, sf):
     return S.assign_roles(m, expected).select("role", "rows")
 
 
-@query("s10_file_digests")
+@query("s10_file_digests", """
+SELECT count(DISTINCT event_type) AS files, count(DISTINCT event_type) AS digests, count(DISTINCT event_type) AS distinct_digests FROM events""")
 def s10_file_digests(spark, sf):
     root = _write_iot_csv(spark, sf, "s10")
     d = S.file_digests(spark, root, "*.csv")
-    return d.agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"),
-                 F.count("sha256").alias("digests"))
+    return d.agg(F.count(F.lit(1)).alias("files"), F.count("sha256").alias("digests"),
+                 F.count_distinct("sha256").alias("distinct_digests"))
 
 
 @query("s11_result_sink", rounded(with_(SCORED) + """
@@ -185,10 +187,19 @@ def s12_run_log(spark, sf):
     return finish(back.select("experiment_id", "run_name", F.explode("metrics").alias("metric", "value")))
 
 
-@query("s13_read_runs_empty", "SELECT count(*) AS runs FROM events WHERE false")
-def s13_read_runs_empty(spark, sf):
+@query("s13_read_runs", """
+SELECT 'absent' AS log, NULL AS run_name, CAST(0 AS BIGINT) AS seeds
+UNION ALL SELECT 'written' AS log, event_type AS run_name, CAST(count(DISTINCT user_id) AS BIGINT) AS seeds FROM events GROUP BY event_type""")
+def s13_read_runs(spark, sf):
+    """A run for every (event type, user) is written and read again, after the log was found absent."""
     path = S.scratch_path(spark, "s13")
-    return RS.read_runs(spark, path).agg(F.count(F.lit(1)).alias("runs"))
+    absent = RS.read_runs(spark, path).agg(F.count(F.lit(1)).alias("seeds")).select(
+        F.lit("absent").alias("log"), F.lit(None).cast("string").alias("run_name"), "seeds")
+    absent = spark.createDataFrame(absent.collect(), absent.schema)  # one row, before the log is written
+    ev = table(spark, sf, "events").select(F.col("event_type").alias("run_name"), F.col("user_id").cast("int").alias("seed")).distinct()
+    RS.append_runs(ev, path)
+    back = RS.read_runs(spark, path).groupBy("run_name").agg(F.count_distinct("seed").alias("seeds"))
+    return absent.unionByName(back.select(F.lit("written").alias("log"), "run_name", "seeds"))
 
 
 @query("s14_pipe_tables", rounded(_MT + """

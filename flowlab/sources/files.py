@@ -137,8 +137,8 @@ def load_csv_sample(spark: SparkSession, root: str, max_rows_per_file: int, key:
     df = read_csv_tree(spark, root, schema)
     k = key or "_row_hash"
     if key is None:
-        df = df.withColumn("_row_hash", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]),
-                                               F.lit(2147483647)))
+        # 62 bits: rows that tie are equal rows, so the sample does not vary
+        df = df.withColumn("_row_hash", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(1 << 62)))
     counts = {r[0]: min(int(r[1]), max_rows_per_file)
               for r in df.groupBy("source_path").count().collect()}  # one row per file
     out = ranked_within(df, "source_path", k, 0, counts).drop("rank_in_class", "source_path")
@@ -183,19 +183,24 @@ def text_manifest(spark: SparkSession, root: str, sep: str = ",", header: bool =
                   glob: str = "*") -> DataFrame:
     """(file_name, rows, columns) for delimited text files under ``root``.
 
-    Rows are non-blank data lines (the header excluded); columns = separators
-    in the first line + 1.  One scan, aggregated per file.
+    Rows are non-blank data lines (the header, the first non-blank line, excluded);
+    columns = separators in that line + 1.  An empty file has 0 rows and 0 columns.
+    One scan, aggregated per file, and a listing for the files without a line.
     """
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+              .load(root).select(F.col("path").alias("file_path")))
     lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
              .text(root).select(F.col("_metadata.file_path").alias("file_path"),
                                 F.col("_metadata.file_block_start").alias("_blk"),
                                 F.monotonically_increasing_id().alias("_id"), "value"))
-    first = lines.groupBy("file_path").agg(
-        F.min_by("value", F.struct("_blk", "_id")).alias("_first"),
-        F.sum((F.trim("value") != "").cast("long")).alias("_nonblank"))
-    return first.select("file_path", F.element_at(F.split("file_path", "/"), -1).alias("file_name"),
-                        (F.col("_nonblank") - (1 if header else 0)).cast("long").alias("rows"),
-                        F.size(F.split(F.col("_first"), _regex_quote(sep))).cast("int").alias("columns"))
+    first = lines.where(F.trim("value") != "").groupBy("file_path").agg(
+        F.min_by("value", F.struct("_blk", "_id")).alias("_first"), F.count(F.lit(1)).alias("_nonblank"))
+    rows = F.coalesce(F.col("_nonblank") - (1 if header else 0), F.lit(0)).cast("long")
+    columns = F.when(F.col("_first").isNull(), 0).otherwise(F.size(F.split(F.col("_first"), _regex_quote(sep))))
+    path = F.regexp_replace("file_path", "^file:/+", "file:/")
+    return (listed.select(path.alias("file_path")).join(first.withColumn("file_path", path), "file_path", "left")
+            .select("file_path", F.element_at(F.split("file_path", "/"), -1).alias("file_name"), rows.alias("rows"),
+                    columns.cast("int").alias("columns")))
 
 
 def _regex_quote(s: str) -> str:
@@ -205,13 +210,18 @@ def _regex_quote(s: str) -> str:
 
 def file_digests(spark: SparkSession, root: str, glob: str = "*",
                  max_bytes: int = 2_000_000_000) -> DataFrame:
-    """(file_name, bytes, sha256) for files under ``root``; files over ``max_bytes``
-    get a null digest (``binaryFile`` loads a whole file into one row)."""
+    """(file_name, bytes, sha256) for files under ``root``.
+
+    ``binaryFile`` loads a whole file into one row, so a file over ``max_bytes``
+    raises, by name, before anything is read.
+    """
     b = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
          .option("pathGlobFilter", glob).load(root))
     name = F.element_at(F.split(F.col("path"), "/"), -1)
-    return b.select(name.alias("file_name"), F.col("length").alias("bytes"),
-                    F.when(F.col("length") <= max_bytes, F.sha2(F.col("content"), 256)).alias("sha256"))
+    large = b.where(F.col("length") > max_bytes).select("path")
+    if n := large.count():
+        raise ValueError(f"{n} files over {max_bytes} bytes have no digest, first {large.orderBy('path').first()[0]}")
+    return b.select(name.alias("file_name"), F.col("length").alias("bytes"), F.sha2(F.col("content"), 256).alias("sha256"))
 
 
 def verify_manifest(manifest: DataFrame, expected: DataFrame) -> DataFrame:
@@ -245,7 +255,3 @@ def column_count_consistency(manifest: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location (never a machine-local tmp)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/flowlab-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def col_or(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c

@@ -65,9 +65,10 @@ def markdown_lines(df: DataFrame, section: str, columns: list[str], fmt: dict[st
 def read_pipe_tables(spark: SparkSession, path: str, n_cells: int | None = None) -> DataFrame:
     """Pipe-delimited tables under ``path`` → (source_file, section, cells array).
 
-    Lines are read in file order (file, block, position); each line takes the
+    With ``n_cells``, a column ``odd`` marks the rows that have another number
+    of cells.  Lines are read in file order (file, block, position); each line takes the
     nearest preceding ``## `` heading of its file as ``section``; header and
-    rule lines are skipped.  The heading lookup is a window per file — report
+    rule lines (bars, dashes, colons and blanks only) are skipped.  The heading lookup is a window per file — report
     files are small by construction.
     """
     lines = spark.read.text(path).select(
@@ -78,7 +79,7 @@ def read_pipe_tables(spark: SparkSession, path: str, n_cells: int | None = None)
     heading = F.when(F.col("line").startswith("## "), F.trim(F.substring("line", 4, 1 << 20)))
     x = lines.withColumn("section", F.last(heading, ignorenulls=True).over(
         order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = x.where(F.col("line").startswith("|") & ~F.col("line").contains("---")
+    rows = x.where(F.col("line").startswith("|") & ~F.col("line").rlike(r"^[|:\s-]*-[|:\s-]*$")
                    & F.col("section").isNotNull())
     # the first pipe line after each heading is the table header
     rows = rows.withColumn("_r", F.row_number().over(
@@ -87,5 +88,5 @@ def read_pipe_tables(spark: SparkSession, path: str, n_cells: int | None = None)
                         lambda c: F.trim(c))
     out = rows.select("source_file", "section", cells.alias("cells"))
     if n_cells is not None:
-        out = out.where(F.size("cells") == n_cells)
+        out = out.withColumn("odd", F.size("cells") != n_cells)
     return out

@@ -20,7 +20,7 @@ def blobs(spark):
         rows.append((i, [float(v) for v in x], float(y), "test" if i % 5 == 0 else "train"))
     df = spark.createDataFrame(rows, "id long, x array<double>, label double, split string")
     df = df.withColumn("features", array_to_vector("x"))
-    return M.Data(M.with_weights(df, 2), ["normal", "attack"], "id")
+    return M.Data(M.with_weights(df, fitted=df.where("split = 'train'") if "split" in df.columns else None), ["normal", "attack"], "id")
 
 
 @pytest.mark.parametrize("make", [
