@@ -89,99 +89,87 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], limit: i
                     accuracy: int = 2_000) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles (NumPy/DuckDB ``quantile_cont``) of many columns.
 
-    Per (column, probability) a ``percentile_approx`` sketch brackets the two
-    order statistics needed; one counting pass locates them: ranks inside the
-    tie block of a bracket end resolve to that end, the rest lie strictly
-    inside the bracket, whose values (≤ ``limit`` each) are collected in one
-    more pass.  A larger interior is narrowed again on its own rows, so the
-    driver never holds more than ``limit`` values per statistic.  Memory does
-    not grow with the number of distinct values, unlike ``percentile``.
+    The order statistics of all columns are searched together.  A round
+    brackets every one that is not yet found by a ``percentile_approx`` sketch
+    of the rows still in question (one job), and counts the rows below and at
+    the bracket's ends (one job); ranks in the tie block of an end resolve to
+    that end.  Brackets of at most ``limit`` values are collected at the end
+    (one job); larger ones go into the next round, which leaves about
+    6 / accuracy of their rows.  The number of jobs depends on the number of
+    rows only, memory on neither.  The columns are read once and persisted.
     """
     import math
-    xs = {c: F.col(c).cast("double") for c in cols}
-    counts = df.agg(*[F.count(xs[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    n_of = {c: int(counts[f"n{i}"]) for i, c in enumerate(cols)}
-    targets, plan = [], {}
-    for c in cols:
-        plan[c] = []
-        for p in probs:
-            n = n_of[c]
-            if n == 0:
-                plan[c].append(None)
-                continue
-            h = (n - 1) * p
-            lo_r, hi_r = int(math.floor(h)), int(math.ceil(h))
-            plan[c].append((h, lo_r, hi_r))
-            targets.append((c, lo_r, hi_r))
-    values = _select_ranks(df, xs, sorted(set(targets)), n_of, limit, accuracy)
-    out = {}
-    for c in cols:
-        res = []
-        for item in plan[c]:
-            if item is None:
-                res.append(None)
-                continue
-            h, lo_r, hi_r = item
-            a, b = values[(c, lo_r)], values[(c, hi_r)]
-            res.append(a + (h - lo_r) * (b - a))
-        out[c] = res
-    return out
-
 
-def _select_ranks(df, xs, targets, n_of, limit, accuracy, depth=0):
-    """{(col, rank): value} for targets (col, r0, r1) with r1 ∈ {r0, r0+1} (0-based ranks
-    among the non-null values)."""
-    if not targets:
-        return {}
-    if depth > 12:
-        raise RuntimeError("exact quantile search did not converge")
-    margin = 3.0 / accuracy
-    sk = []
-    for j, (c, r0, r1) in enumerate(targets):
-        d = max(n_of[c] - 1, 1)
-        sk.append(F.percentile_approx(xs[c], F.array(F.lit(max(0.0, r0 / d - margin)),
-                                                      F.lit(min(1.0, r1 / d + margin))), accuracy).alias(f"a{j}"))
-    br = df.agg(*sk).first()
-    bounds = [(float(br[f"a{j}"][0]), float(br[f"a{j}"][1])) for j in range(len(targets))]
-    cnt = []
-    for j, (c, _, _) in enumerate(targets):
-        a, b = bounds[j]
-        x = xs[c]
-        cnt += [F.sum((x < F.lit(a)).cast("long")).alias(f"lt{j}"), F.sum((x <= F.lit(a)).cast("long")).alias(f"lea{j}"),
-                F.sum((x < F.lit(b)).cast("long")).alias(f"ltb{j}"), F.sum((x <= F.lit(b)).cast("long")).alias(f"le{j}")]
-    cr = df.agg(*cnt).first()
-    result, collect, deeper = {}, [], []
-    for j, (c, r0, r1) in enumerate(targets):
-        a, b = bounds[j]
-        lt, lea = int(cr[f"lt{j}"] or 0), int(cr[f"lea{j}"] or 0)
-        ltb, le = int(cr[f"ltb{j}"] or 0), int(cr[f"le{j}"] or 0)
-        for r in {r0, r1}:
-            if r < lt or r >= le:  # sketch missed: search this rank over everything
-                deeper.append((c, r, float("-inf"), float("inf"), 0))
-            elif r < lea:
-                result[(c, r)] = a
-            elif r >= ltb:
-                result[(c, r)] = b
-            elif ltb - lea <= limit:
-                collect.append((c, r, a, b, lea))
+    x = df.select(*[F.col(c).cast("double").alias(f"q{i}") for i, c in enumerate(cols)]).persist()
+    try:
+        counts = x.agg(*[F.count(f"q{i}").alias(f"n{i}") for i in range(len(cols))]).first()
+        plan = {(i, p): (counts[f"n{i}"] - 1) * p for i in range(len(cols)) for p in probs if counts[f"n{i}"]}
+        ranks = {(i, r) for (i, _), h in plan.items() for r in (math.floor(h), math.ceil(h))}
+        values = _select_ranks(x, sorted(ranks), {i: counts[f"n{i}"] for i in range(len(cols))}, limit, accuracy)
+    finally:
+        x.unpersist()
+
+    def at(i: int, p: float) -> float | None:
+        if (i, p) not in plan:
+            return None
+        h = plan[(i, p)]
+        low, high = values[(i, math.floor(h))], values[(i, math.ceil(h))]
+        return low + (h - math.floor(h)) * (high - low)
+
+    return {c: [at(i, p) for p in probs] for i, c in enumerate(cols)}
+
+
+def _select_ranks(x: DataFrame, ranks: list[tuple[int, int]], sizes: dict[int, int], limit: int, accuracy: int) -> dict[tuple[int, int], float]:
+    """{(column, rank): value} for 0-based ranks among the non-null values of the columns q0, q1, …"""
+    found: dict[tuple[int, int], float] = {}
+    small: dict[tuple[int, float, float], list[tuple[int, int]]] = {}
+    # rank → open bracket (None: no bound), rows below it, rows in it, margin of the sketch
+    open_: dict[tuple[int, int], tuple] = {t: (None, None, 0, sizes[t[0]], 3.0 / accuracy) for t in ranks}
+    while open_:
+        tasks = sorted(open_)
+
+        def inside(t):
+            a, b, *_ = open_[t]
+            col = F.col(f"q{t[0]}")
+            return col if a is None else F.when((col > F.lit(a)) & (col < F.lit(b)), col)
+
+        sketch = []
+        for j, t in enumerate(tasks):
+            _, _, below, n, margin = open_[t]
+            share = (t[1] - below) / max(n - 1, 1)
+            ends = F.array(F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin)))
+            sketch.append(F.percentile_approx(inside(t), ends, accuracy).alias(f"a{j}"))
+        got = x.agg(*sketch).first()
+        ends = [(float(got[f"a{j}"][0]), float(got[f"a{j}"][1])) for j in range(len(tasks))]
+        tally = []
+        for j, (t, (a, b)) in enumerate(zip(tasks, ends, strict=True)):
+            col = F.col(f"q{t[0]}")
+            for k, hit in enumerate((col < a, col <= a, col < b, col <= b)):
+                tally.append(F.sum(hit.cast("long")).alias(f"c{j}_{k}"))
+        got = x.agg(*tally).first()
+        following = {}
+        for j, (t, (a, b)) in enumerate(zip(tasks, ends, strict=True)):
+            under_a, upto_a, under_b, upto_b = (int(got[f"c{j}_{k}"]) for k in range(4))
+            if not under_a <= t[1] < upto_b:  # beyond the sketch's error: again, with a wider margin
+                following[t] = (*open_[t][:4], open_[t][4] * 4)
+            elif t[1] < upto_a:
+                found[t] = a
+            elif t[1] >= under_b:
+                found[t] = b
+            elif under_b - upto_a <= limit:
+                small.setdefault((t[0], a, b), []).append((t[1], upto_a))
             else:
-                deeper.append((c, r, a, b, lea))
-    if collect:
-        brackets = sorted({(c, a, b) for c, _, a, b, _ in collect})
-        parts = [F.when((xs[c] > F.lit(a)) & (xs[c] < F.lit(b)), F.struct(F.lit(k).alias("t"), xs[c].alias("v")))
-                 for k, (c, a, b) in enumerate(brackets)]
-        rows = df.select(F.explode(F.array_compact(F.array(*parts))).alias("s")).select("s.t", "s.v").collect()
-        per = {}
-        for t, v in rows:  # at most `limit` values per bracket
-            per.setdefault(t, []).append(v)
-        for k in per:
-            per[k].sort()
-        for c, r, a, b, below in collect:
-            result[(c, r)] = per[brackets.index((c, a, b))][r - below]
-    for c, r, a, b, below in deeper:
-        sub = df.where((xs[c] > F.lit(a)) & (xs[c] < F.lit(b))) if a != float("-inf") else df
-        rr = r - below
-        sub_n = {c: int(sub.agg(F.count(xs[c])).first()[0])}
-        result[(c, r)] = _select_ranks(sub, {c: xs[c]}, [(c, rr, rr)], sub_n, limit, accuracy,
-                                       depth + 1)[(c, rr)]
-    return result
+                following[t] = (a, b, upto_a, under_b - upto_a, 3.0 / accuracy)
+        open_ = following
+    if small:
+        brackets = sorted(small)
+        parts = [F.when((F.col(f"q{i}") > F.lit(a)) & (F.col(f"q{i}") < F.lit(b)), F.struct(F.lit(k).alias("t"), F.col(f"q{i}").alias("v")))
+                 for k, (i, a, b) in enumerate(brackets)]
+        held: dict[int, list[float]] = {}
+        for t, v in x.select(F.explode(F.array_compact(F.array(*parts))).alias("s")).select("s.t", "s.v").collect():  # at most `limit` values a bracket
+            held.setdefault(t, []).append(v)
+        for k, bracket in enumerate(brackets):
+            ordered = sorted(held[k])
+            for rank, below in small[bracket]:
+                found[(bracket[0], rank)] = ordered[rank - below]
+    return found

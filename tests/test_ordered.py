@@ -41,3 +41,14 @@ def test_global_row_number_and_running_totals(spark):
     rt = OR.running_totals(df, "s", ["p"], descending=True, buckets=5).collect()
     order = sorted(rt, key=lambda r: -r.s)
     assert [r.cum_p for r in order] == list(np.cumsum([r.p for r in order]))
+
+
+def test_quantile_jobs_do_not_grow_with_columns(spark):
+    df = spark.range(20_000).selectExpr(*[f"pmod(xxhash64(id, {i}), 1000003) / 7.0 AS c{i}" for i in range(6)]).repartition(4)
+
+    def jobs(cols, group):
+        spark.sparkContext.setJobGroup(group, group)
+        OR.exact_quantiles(df, cols, [0.25, 0.5, 0.75], limit=20, accuracy=50)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    one, six = jobs(["c0"], "one"), jobs([f"c{i}" for i in range(6)], "six")
+    assert six <= one + 4
