@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from flowlab.session import cut_lineage
 
 
+ROWS = 200_000
+
+
+def compact(df: DataFrame, rows: int = ROWS) -> DataFrame:
+    """``df`` cut from its lineage, in as many partitions as its number of rows calls for."""
+    df = cut_lineage(df)
+    return df.coalesce(1 + df.count() // rows)
+
+
 def _forest(batches):
     """Links each node of a batch of edges to the smallest node it reaches in the batch."""
     for batch in batches:
@@ -38,16 +47,16 @@ def components(edges: DataFrame) -> DataFrame:
     counts reaches the driver.  Loops, repeated and reversed edges are fine;
     edges with a null end are left out.
     """
-    edges = edges.select("a", "b").filter("a <> b").mapInArrow(_forest, "a long, b long").distinct()
-    edges = cut_lineage(edges)
+    edges = compact(edges.select("a", "b").filter("a <> b").mapInArrow(_forest, "a long, b long").distinct())
     while True:
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        parts = 1 + edges.count() // ROWS
+        both = edges.union(edges.select("b", "a")).coalesce(2 * parts if parts > 1 else 1)
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")).coalesce(parts)
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).coalesce(parts)
+        low = large.groupBy("a").agg(F.min("b").alias("low")).coalesce(parts)
         small = (large.join(low, "a").filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-                 .union(low.select("a", F.col("low").alias("b"))).distinct())
-        edges = cut_lineage(small)
+                 .union(low.select("a", F.col("low").alias("b"))).coalesce(parts).distinct())
+        edges = compact(small)
         inner = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
         twice = edges.groupBy("a").count().filter("count > 1").limit(1).count()
         if not inner and not twice:

@@ -42,9 +42,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.llm.bits import BitTable
-from flowlab.llm.graph import components
+from flowlab.llm.graph import compact, components
 from flowlab.llm.text import NON_SPACE, U, Words, expand, mix, shingle_hashes, slices
-from flowlab.session import cut_lineage
 
 #: Bands of sets up to this size choose partitions; larger ones have k2 = 0.
 FINE_BELOW = 256
@@ -298,15 +297,15 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id: long, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    described = cut_lineage(docs.mapInArrow(_describe(size), f"doc_id long, n long, h1 long, h2 long, {', '.join(f'{p} long' for p in _SHORT)}"))
-    same = cut_lineage(described.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), *(F.max(p).alias(p) for p in _SHORT)))
+    described = compact(docs.mapInArrow(_describe(size), f"doc_id long, n long, h1 long, h2 long, {', '.join(f'{p} long' for p in _SHORT)}"))
+    same = compact(described.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), *(F.max(p).alias(p) for p in _SHORT)))
 
     rows = docs.mapInArrow(_sign(size, percent), "sig long, h1 long, others array<long>")
     by_sig = Window.partitionBy("sig")
     rows = rows.withColumns({"low": F.min("h1").over(by_sig), "high": F.max(F.coalesce(F.get("others", F.size("others") - 1), "h1")).over(by_sig)}).filter("low <> high")
     members = (rows.select("sig", F.explode(F.concat(F.array("h1"), "others")).alias("h1")).distinct()
                .join(same.select("h1", F.col("rep").alias("id"), "n", *_SHORT), "h1").select("sig", "id", "n", *_SHORT))
-    members = cut_lineage(members)
+    members = compact(members)
     degree = members.groupBy("id").agg(F.count("*").alias("degree"))
     ranked = members.select("sig", "id").join(degree, "id").select("sig", "id", F.struct("degree", (-F.col("id")).alias("minus")).alias("rank"))
 
@@ -321,14 +320,14 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links."""
         ids = lambda p: p.select(F.col("a").alias("id")).union(p.select("b")).distinct()
-        possible = cut_lineage(both(pairs, made_for(ids(pairs), _sketch)).mapInArrow(_possible(percent), "a long, b long"))
-        return cut_lineage(both(possible, made_for(ids(possible), np.ndarray.tobytes)).mapInArrow(_similar(percent), "a long, b long"))
+        possible = compact(both(pairs, made_for(ids(pairs), _sketch)).mapInArrow(_possible(percent), "a long, b long"))
+        return compact(both(possible, made_for(ids(possible), np.ndarray.tobytes)).mapInArrow(_similar(percent), "a long, b long"))
 
     def one_each(met: DataFrame) -> DataFrame:
         """Of the members that each document met, the one it met in most signatures."""
         best = (met.groupBy("id", "other").agg(F.count("*").alias("shared")).groupBy("id")
                 .agg(F.max_by("other", F.struct("shared", -F.col("other"))).alias("other")))
-        return cut_lineage(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+        return compact(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
 
     short = [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in _SHORT]
 
@@ -344,7 +343,7 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         found = components(links)
         out = members.join(found, members["id"] == found["node"], "left").select("sig", "id", "n", *_SHORT, F.coalesce("component", "id").alias("component"))
         mixed = out.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("sig")
-        return cut_lineage(out.join(mixed, "sig", "left_semi"))
+        return compact(out.join(mixed, "sig", "left_semi"))
 
     now = named()
     tops = (now.select("sig", "id", "component").join(degree, "id")
@@ -353,7 +352,7 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     second = tops.join(first, "sig").filter("component <> c1").groupBy("sig").agg((-F.max("top")["minus"]).alias("o2"))
     met = now.select("sig", "id", "component").join(first, "sig").join(second, "sig")
     again = one_each(met.select("sig", "id", F.when(F.col("component") == F.col("c1"), F.col("o2")).otherwise(F.col("o1")).alias("other"))).join(tried, ["a", "b"], "left_anti")
-    links = cut_lineage(links.union(verify(again)))
+    links = links.union(verify(again))
 
     now = named()
     main = now.groupBy("sig", "component").count().groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
@@ -366,7 +365,7 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     across = (x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & could(F.col("x.n"), F.col("y.n"), differ))
               .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
               .join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"))
-    found = components(links.union(verify(cut_lineage(across))))
+    found = components(links.union(verify(compact(across))))
     return (described.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2")
             .join(same.select("h1", "h2", F.col("n").alias("n_shingles"), "rep"), ["h1", "h2", "n_shingles"], "left")
             .join(found, F.col("rep") == F.col("node"), "left")
