@@ -8,8 +8,6 @@ near-duplicate group; null texts pass every stage and have no tokens.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +18,8 @@ from flowlab.llm.decontaminate import mark_contaminated
 from flowlab.llm.near_dup import link_documents
 from flowlab.llm.queries import table
 from flowlab.llm.secrets import scan_secrets
+from flowlab.llm.tables import Tables
 from flowlab.llm.toxicity import fit, sample_labelled, score_toxicity
-from flowlab.session import checkpoint_dir, cut_lineage
 
 SECRET_MARK = "[SECRET]"
 
@@ -34,7 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id stays of those linked by five-word shingles with a similarity of 0.8 or more."""
     linked = link_documents(docs, size=5, percent=80)
-    return without(docs, cut_lineage(linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()))
+    with Tables(spark) as tables:
+        return without(docs, tables.keep(tables.store(linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct())))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,10 +69,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``; each but the last is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        if k:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    with Tables(spark) as tables:
+        for _, stage in STAGES[:-1]:
+            docs = tables.store(stage(spark, docs, sf_dir), rows=None)
+        return STAGES[-1][1](spark, tables.keep(docs), sf_dir)

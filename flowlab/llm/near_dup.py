@@ -42,8 +42,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.llm.bits import BitTable
-from flowlab.llm.graph import compact, components
-from flowlab.llm.text import NON_SPACE, U, Words, expand, mix, shingle_hashes, slices
+from flowlab.llm.graph import components
+from flowlab.llm.tables import Tables
+from flowlab.llm.text import NON_SPACE, U, Words, expand, groups, mix, shingle_hashes, slices
 
 #: Bands of sets up to this size choose partitions; larger ones have k2 = 0.
 FINE_BELOW = 256
@@ -226,12 +227,12 @@ def _describe(size):
 
 
 def _sign(size, percent):
-    """Signatures with the sets (by their hash, in order) that have them in a batch."""
+    """Signatures with the sets (by their hash, in order) that have them in a group of slices."""
     def run(batches):
         bands = Bands(percent)
-        for batch in batches:
-            ids, sigs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
-            for part in slices(batch):
+        for parts in (g for batch in batches for g in groups(batch)):
+            ids, sigs = [], []
+            for part in parts:
                 keys, first = shingle_sets(part.column("text"), size)
                 row, sig = signatures(keys, first, bands)
                 ids.append(set_hashes(keys, first)[0][row])
@@ -245,9 +246,7 @@ def _sign(size, percent):
             begin, counts = run_[:-1], np.diff(run_) - 1
             others = ids[expand(begin + 1, counts)]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(others, pa.int64()))
-            for at in range(0, len(begin), 1 << 18):
-                end = min(len(begin), at + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(sigs[begin[at:end]].astype(np.int64)), pa.array(ids[begin[at:end]]), lists.slice(at, end - at)], ["sig", "h1", "others"])
+            yield pa.RecordBatch.from_arrays([pa.array(sigs[begin].astype(np.int64)), pa.array(ids[begin]), lists], ["sig", "h1", "others"])
     return run
 
 
@@ -295,17 +294,21 @@ def _similar(percent):
 
 def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id: long, text)."""
+    with Tables(docs.sparkSession) as tables:
+        return _linked(docs.select("doc_id", "text"), size, percent, tables)
+
+
+def _linked(docs: DataFrame, size: int, percent: int, tables: Tables) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    described = compact(docs.mapInArrow(_describe(size), f"doc_id long, n long, h1 long, h2 long, {', '.join(f'{p} long' for p in _SHORT)}"))
-    same = compact(described.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), *(F.max(p).alias(p) for p in _SHORT)))
+    described = tables.keep(tables.store(docs.mapInArrow(_describe(size), f"doc_id long, n long, h1 long, h2 long, {', '.join(f'{p} long' for p in _SHORT)}")))
+    same = tables.keep(tables.store(described.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), *(F.max(p).alias(p) for p in _SHORT))))
 
     rows = docs.mapInArrow(_sign(size, percent), "sig long, h1 long, others array<long>")
     by_sig = Window.partitionBy("sig")
     rows = rows.withColumns({"low": F.min("h1").over(by_sig), "high": F.max(F.coalesce(F.get("others", F.size("others") - 1), "h1")).over(by_sig)}).filter("low <> high")
     members = (rows.select("sig", F.explode(F.concat(F.array("h1"), "others")).alias("h1")).distinct()
                .join(same.select("h1", F.col("rep").alias("id"), "n", *_SHORT), "h1").select("sig", "id", "n", *_SHORT))
-    members = compact(members)
+    members = tables.store(members)
     degree = members.groupBy("id").agg(F.count("*").alias("degree"))
     ranked = members.select("sig", "id").join(degree, "id").select("sig", "id", F.struct("degree", (-F.col("id")).alias("minus")).alias("rank"))
 
@@ -320,14 +323,14 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links."""
         ids = lambda p: p.select(F.col("a").alias("id")).union(p.select("b")).distinct()
-        possible = compact(both(pairs, made_for(ids(pairs), _sketch)).mapInArrow(_possible(percent), "a long, b long"))
-        return compact(both(possible, made_for(ids(possible), np.ndarray.tobytes)).mapInArrow(_similar(percent), "a long, b long"))
+        possible = tables.store(both(pairs, made_for(ids(pairs), _sketch)).mapInArrow(_possible(percent), "a long, b long"))
+        return tables.store(both(possible, made_for(ids(possible), np.ndarray.tobytes)).mapInArrow(_similar(percent), "a long, b long"))
 
     def one_each(met: DataFrame) -> DataFrame:
         """Of the members that each document met, the one it met in most signatures."""
         best = (met.groupBy("id", "other").agg(F.count("*").alias("shared")).groupBy("id")
                 .agg(F.max_by("other", F.struct("shared", -F.col("other"))).alias("other")))
-        return compact(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+        return tables.store(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
 
     short = [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in _SHORT]
 
@@ -340,10 +343,10 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
 
     def named() -> DataFrame:
         """Members of signatures that reach over components, with these."""
-        found = components(links)
+        found = components(links, tables)
         out = members.join(found, members["id"] == found["node"], "left").select("sig", "id", "n", *_SHORT, F.coalesce("component", "id").alias("component"))
         mixed = out.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("sig")
-        return compact(out.join(mixed, "sig", "left_semi"))
+        return tables.store(out.join(mixed, "sig", "left_semi"))
 
     now = named()
     tops = (now.select("sig", "id", "component").join(degree, "id")
@@ -365,7 +368,7 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     across = (x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & could(F.col("x.n"), F.col("y.n"), differ))
               .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
               .join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"))
-    found = components(links.union(verify(compact(across))))
+    found = tables.keep(components(links.union(verify(tables.store(across))), tables))
     return (described.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2")
             .join(same.select("h1", "h2", F.col("n").alias("n_shingles"), "rep"), ["h1", "h2", "n_shingles"], "left")
             .join(found, F.col("rep") == F.col("node"), "left")

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
+#: What a kernel gathers before it writes rows, where it gathers over slices.
+GROUP_BYTES = 1 << 23
 
 U = np.uint64
 _M1, _M2, _GOLD = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -127,6 +129,19 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         at = to
 
 
+def groups(batch: pa.RecordBatch, column: str = "text") -> Iterator[list[pa.RecordBatch]]:
+    """Slices of a batch in groups of about GROUP_BYTES of text."""
+    now, size = [], 0
+    for part in slices(batch, column):
+        now.append(part)
+        size += part.column(column).nbytes
+        if size >= GROUP_BYTES:
+            yield now
+            now, size = [], 0
+    if now:
+        yield now
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, lengthened until no column is called so."""
     taken = {c.lower() for c in columns}

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from flowlab.llm.graph import components
+from flowlab.llm.tables import Tables
 from flowlab.llm.near_dup import Bands, link_documents, set_hashes, short_sketches, shingle_sets, signatures
 
 
@@ -119,6 +120,7 @@ def test_components(spark):
         if a != b:
             x, y = find(a), find(b)
             up[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
-    assert got == {x: find(x) for x in up}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with Tables(spark) as tables:
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7), tables).collect()}
+        assert got == {x: find(x) for x in up}
+        assert components(spark.createDataFrame([], "a long, b long"), tables).count() == 0
