@@ -3,7 +3,7 @@
 Each plan module registers ``(spark, sf_dir) -> DataFrame`` callables with
 ``@query(name, sql)``.  ``sql`` is an independent DuckDB statement over the
 raw tables (or ``None`` when the operator is not SQL-expressible).  Double
-columns are rounded to 6 decimals on both sides so that the order in which
+columns are rounded to 9 decimals on both sides so that the order in which
 floating sums were added cannot change the value hash.
 """
 
@@ -56,7 +56,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(sorted(_ORACLES.items()))
 
 
-def finish(df: DataFrame, digits: int = 6) -> DataFrame:
+def finish(df: DataFrame, digits: int = 9) -> DataFrame:
     """Round every double column (and fold -0.0 into 0.0) for stable hashing."""
     cols = []
     for f in df.schema.fields:
@@ -67,7 +67,7 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(cols)
 
 
-def rounded(sql: str, *double_cols: str, digits: int = 6) -> str:
+def rounded(sql: str, *double_cols: str, digits: int = 9) -> str:
     """Wrap a DuckDB statement so the named double columns are rounded like ``finish``."""
     if not double_cols:
         return sql

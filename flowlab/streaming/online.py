@@ -8,7 +8,7 @@ turns each batch into distributed work:
 * passive-aggressive (PA-I): every partition runs the sequential PA update
   over its rows in ``mapInPandas`` starting from the current weights; the
   partition results are averaged weighted by row count (iterative parameter
-  mixing).  This is a different algorithm from one sequential pass over all
+  mixing), so the result depends on how a batch is partitioned.  This is a different algorithm from one sequential pass over all
   rows; it is the standard distributed form of PA.
 
 The weights and the last processed ``batchId`` are stored together in the
@@ -22,6 +22,7 @@ import json
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,12 @@ from flowlab.session import checkpoint_dir
 
 
 class ModelState:
-    """Weights + last batch id, persisted through Spark (works on HDFS/S3 too)."""
+    """Weights + last batch id, persisted through Spark (works on HDFS/S3 too).
+
+    Every batch writes a version of its own (``v=<batch id>``), so a crash
+    while writing leaves the version before it whole; the newest one is read.
+    Only a missing path counts as no state; any other error is raised.
+    """
 
     def __init__(self, spark: SparkSession, path: str, dim: int):
         self.spark, self.path = spark, path
@@ -38,17 +44,20 @@ class ModelState:
         self.batches = 0
         self.rows = 0
         try:
-            r = spark.read.json(path).first()
-            if r is not None:
-                self.w = np.array(json.loads(r["w"]))
-                self.last_batch, self.batches, self.rows = int(r["last_batch"]), int(r["batches"]), int(r["rows"])
-        except Exception:  # noqa: BLE001 - no state yet
-            pass
+            r = spark.read.schema(f"{self.FIELDS}, v long").json(path).orderBy(F.col("last_batch").desc()).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            r = None
+        if r is not None:
+            self.w = np.array(json.loads(r["w"]))
+            self.last_batch, self.batches, self.rows = r["last_batch"], r["batches"], r["rows"]
+
+    FIELDS = "w string, last_batch long, batches long, rows long"
 
     def save(self) -> None:
         rec = [(json.dumps(self.w.tolist()), self.last_batch, self.batches, self.rows)]
-        (self.spark.createDataFrame(rec, "w string, last_batch long, batches long, rows long")
-         .coalesce(1).write.mode("overwrite").json(self.path))
+        self.spark.createDataFrame(rec, self.FIELDS).coalesce(1).write.mode("overwrite").json(f"{self.path}/v={self.last_batch}")
 
 
 def _xy(df: DataFrame, features: list[str], y: str) -> DataFrame:
@@ -144,8 +153,17 @@ def predict(df: DataFrame, w: np.ndarray, features: list[str], out: str = "predi
 
 
 def write_chunks(df: DataFrame, chunk_col: str, root: str) -> int:
-    """Write each chunk as its own parquet folder, in chunk order (a replayable file stream)."""
-    ids = [r[0] for r in df.select(chunk_col).distinct().orderBy(chunk_col).collect()]  # chunk ids only
-    for i in ids:
-        df.where(F.col(chunk_col) == i).drop(chunk_col).coalesce(1).write.parquet(f"{root}/chunk_{i:08d}")
-    return len(ids)
+    """Write each chunk as its own parquet folder, in chunk order (a replayable file stream).
+
+    One partitioned write deals the rows to their chunks; then every chunk's
+    folder alone is read and written again in order, because a file stream
+    takes files by their time.  ``df`` is read once.
+    """
+    dealt = f"{root}_dealt"
+    df.repartition(chunk_col).write.partitionBy(chunk_col).parquet(dealt)
+    spark = df.sparkSession
+    schema = df.drop(chunk_col).schema
+    n = int(spark.read.parquet(dealt).agg(F.max(chunk_col)).first()[0]) + 1
+    for i in range(n):  # chunk ids are 0 … n − 1
+        spark.read.schema(schema).parquet(f"{dealt}/{chunk_col}={i}").coalesce(1).write.parquet(f"{root}/chunk_{i:08d}")
+    return n

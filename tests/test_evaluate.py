@@ -11,17 +11,18 @@ def _pred(spark, rows, cols="y_true int, y_pred int, score double"):
 
 
 def test_binary_bundle(spark):
-    p = _pred(spark, [(0, 0, 0.1), (0, 1, 0.6), (1, 1, 0.8), (1, 1, 0.9)])
+    # 3 true negatives, 1 false positive, 2 false negatives, 4 true positives
+    rows = [(0, 0, 0.2)] * 3 + [(0, 1, 0.55)] + [(1, 0, 0.45), (1, 0, 0.1)] + [(1, 1, 0.9)] * 4
+    p = _pred(spark, rows)
     m = E.metric_bundle(p, ["normal", "attack"]).first()
-    assert m.accuracy == pytest.approx(0.75)
-    assert m.macro_f1 == pytest.approx((0.8 + 2 / 3) / 2)
+    assert m.accuracy == pytest.approx(0.7)
+    assert m.macro_f1 == pytest.approx((2 * 3 / 9 + 2 * 4 / 11) / 2)
     st = {r.class_name: r for r in E.class_stats(p, ["normal", "attack"]).collect()}
-    assert st["attack"].precision == pytest.approx(2 / 3)
-    assert st["attack"].recall == pytest.approx(1.0)
-    assert st["normal"].recall == pytest.approx(0.5)
+    assert (st["attack"].precision, st["attack"].recall) == (pytest.approx(4 / 5), pytest.approx(4 / 6))
+    assert (st["normal"].precision, st["normal"].recall) == (pytest.approx(3 / 5), pytest.approx(3 / 4))
     auc = E.binary_auc(p, "score", "y_true").first()
-    assert auc.roc_auc == pytest.approx(1.0)
-    assert auc.pr_auc == pytest.approx(1.0)
+    pos, neg = [s for y, _, s in rows if y], [s for y, _, s in rows if not y]
+    assert auc.roc_auc == pytest.approx(sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / 24)
 
 
 def test_auc_with_ties_and_step_ap(spark):

@@ -1,5 +1,6 @@
-"""Quality, relation and outlier operators on small literal matrices (FIXTURES §1.5)."""
+"""Quality, relation and outlier operators against numpy and worked-out values."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,45 +11,54 @@ from flowlab.operators import quality as Q
 from flowlab.operators import relate as R
 
 
-def test_target_correlation_constant_is_zero(spark):
-    df = spark.createDataFrame([(0.0, 1.0, 5.0, 0), (0.0, 2.0, 5.0, 0), (1.0, 2.0, 5.0, 1), (1.0, 1.0, 5.0, 1)],
-                               "signal double, noise double, const double, y int")
-    got = {r.feature: r.target_corr for r in R.target_correlation(df, ["signal", "noise", "const"], "y").collect()}
-    assert got["signal"] == pytest.approx(1.0)
-    assert got["noise"] == pytest.approx(0.0)
-    assert got["const"] == 0.0
-
-
-def test_correlation_pairs(spark):
-    df = spark.createDataFrame([(1.0, 1.0, 0.0), (2.0, 2.0, 1.0), (3.0, 3.0, 0.0), (4.0, 4.0, 1.0)],
-                               "a double, b double, c double")
-    pairs = R.correlation_pairs(df, ["a", "b", "c"], 0.99).collect()
-    assert [(p.feature_a, p.feature_b) for p in pairs] == [("a", "b")]
-
-
-def test_iqr_rates(spark):
-    df = spark.createDataFrame([(1.0, 0.0), (1.0, 0.0), (1.0, 0.0), (100.0, 0.0)], "x double, const double")
-    got = {r.feature: r.outlier_rate_iqr for r in O.outlier_rates(df, ["x", "const"]).collect()}
-    assert got["const"] == 0.0
-    # np.quantile([1,1,1,100], [.25,.75]) = 1, 25.75 -> upper fence 62.875 -> one hit
-    assert got["x"] == pytest.approx(0.25)
-
-
-def test_row_scoring_zero_iqr(spark):
-    train = spark.createDataFrame([(0.0,)] * 4, "duration double")
-    ref = O.iqr_reference(train, ["duration"])
-    test = spark.createDataFrame([(0, 0.0), (1, 10.0)], "k int, duration double")
-    rows = {r.k: r for r in O.score_rows(test, ref, ["duration"]).collect()}
-    assert rows[0].outlier_feature_count == 0 and rows[0].max_abs_robust_z == 0.0
-    assert rows[1].outlier_feature_count == 1 and rows[1].max_abs_robust_z == pytest.approx(10.0)
-    assert rows[1].top_outlier_features == "duration"
-
-
-def test_feature_frequency(spark):
-    long = spark.createDataFrame([("test", 0, "duration", 2.0), ("test", 1, "duration", 3.0),
-                                  ("test", 1, "src_bytes", 4.0)], "split string, k int, feature string, abs_robust_z double")
-    got = {r.feature: (r.outlier_rows, r.mean_abs_robust_z) for r in O.feature_frequency(long).collect()}
-    assert got["duration"] == (2, pytest.approx(2.5))
+def test_target_correlation_equals_numpy(spark):
+    rng = np.random.default_rng(11)
+    y = rng.integers(0, 2, 400)
+    x = np.column_stack([y + rng.normal(size=400), rng.normal(size=400), -2.0 * y, np.full(400, 3.5)])
+    df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y, strict=True)], "near double, none double, minus double, flat double, y int")
+    got = {r.feature: r.target_corr for r in R.target_correlation(df, ["near", "none", "minus", "flat"], "y").collect()}
+    for i, c in enumerate(["near", "none", "minus"]):
+        assert got[c] == pytest.approx(np.corrcoef(x[:, i], y)[0, 1])
+    assert got["flat"] == 0.0
+
+
+def test_correlation_pairs_equal_numpy(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(300, 3))
+    x = np.column_stack([base, base[:, 0] * -3 + 1, base[:, 1] + 0.4 * rng.normal(size=300)])
+    names = list("pqrst")
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in names))
+    c = np.corrcoef(x.T)
+    want = {(names[i], names[j]): c[i, j] for i in range(5) for j in range(i + 1, 5) if abs(c[i, j]) >= 0.9}
+    got = {(p.feature_a, p.feature_b): p.corr for p in R.correlation_pairs(df, names, 0.9).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_iqr_rates_equal_numpy(spark):
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(size=500), [9.0, -8.0, 30.0]])
+    df = spark.createDataFrame([(float(v), 7.0) for v in x], "x double, flat double")
+    q1, q3 = np.quantile(x, [0.25, 0.75])
+    rate = ((x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1))).mean()
+    got = {r.feature: r.outlier_rate_iqr for r in O.outlier_rates(df, ["x", "flat"]).collect()}
+    assert got == {"x": pytest.approx(rate), "flat": 0.0}
+
+
+def test_row_scores(spark):
+    train = spark.createDataFrame([(2.0, float(v)) for v in (1, 2, 3, 4, 5)], "flat double, x double")
+    ref = O.iqr_reference(train, ["flat", "x"])  # x: quartiles 2 and 4, fences -1 and 7
+    test = spark.createDataFrame([("in", 2.0, 7.0), ("one", 2.0, 11.0), ("two", 5.0, -3.0), ("null", None, None)], "k string, flat double, x double")
+    rows = {r.k: r for r in O.score_rows(test, ref, ["flat", "x"]).collect()}
+    assert {k: r.outlier_feature_count for k, r in rows.items()} == {"in": 0, "one": 1, "two": 2, "null": 0}
+    assert rows["one"].max_abs_robust_z == pytest.approx(4.0) and rows["one"].top_outlier_features == "x"
+    assert rows["two"].top_outlier_features == "x, flat" and rows["two"].outlier_feature_fraction == 1.0  # equal z: the later feature first
+
+
+def test_feature_frequency_by_split(spark):
+    long = spark.createDataFrame([(s, k, f, float(z)) for s, k, f, z in [("a", 1, "u", 1), ("a", 2, "u", 4), ("a", 2, "v", 6), ("b", 1, "u", 9)]],
+                                 "split string, k int, feature string, abs_robust_z double")
+    got = {(r.split, r.feature): (r.outlier_rows, r.mean_abs_robust_z) for r in O.feature_frequency(long).collect()}
+    assert got == {("a", "u"): (2, 2.5), ("a", "v"): (1, 6.0), ("b", "u"): (1, 9.0)}
 
 
 def test_column_quality_and_duplicates(spark):
@@ -73,10 +83,9 @@ def test_zscore_uses_train_statistics(spark):
 
 
 def test_balanced_weights(spark):
-    df = spark.createDataFrame([(0,)] * 80 + [(1,)] * 15 + [(2,)] * 5, "y int")
-    w = {r.y: r.weight for r in C.balanced_weights(df, "y", 4).collect()}
-    assert w[0] == pytest.approx(100 / (4 * 80)) and w[2] == pytest.approx(100 / (4 * 5))
-    assert w[3] == pytest.approx(100 / 4)  # absent class stays finite
+    df = spark.createDataFrame([(0,)] * 6 + [(2,)] * 2, "y int")
+    w = {r.y: r.weight for r in C.balanced_weights(df, "y", 3).collect()}
+    assert w == {0: pytest.approx(8 / 18), 1: pytest.approx(8 / 3), 2: pytest.approx(8 / 6)}  # class 1 is absent: finite
 
 
 def test_activations_and_softmax(spark):
