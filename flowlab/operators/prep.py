@@ -12,11 +12,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.operators.ordered import attach_totals
 from flowlab.operators.quality import nan_to_null
+from flowlab.session import cut_lineage
 
 
 @dataclass
@@ -73,7 +74,7 @@ def fit(train: DataFrame, categorical: list[str], numeric: list[str],
         vals = (src.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct()
                 .orderBy("v").limit(max_vocab + 1).collect())
         if len(vals) > max_vocab:
-            raise ValueError(f"{c}: more than {max_vocab} categories; hash it instead")
+            raise ValueError(f"{c}: more than {max_vocab} categories make no dense block; use vocabulary and one_hot_sparse")
         fp.vocab[c] = [r.v for r in vals]
     if impute_median and numeric:
         from flowlab.operators.ordered import exact_quantiles
@@ -83,14 +84,43 @@ def fit(train: DataFrame, categorical: list[str], numeric: list[str],
                            for c in numeric])
     if numeric:
         st = src.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(numeric)],
-                     *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{i}")
-                       for i, c in enumerate(numeric)]).first()
+                     # a constant column has deviation 0, whatever rounding makes of its sums
+                     *[F.when(F.min(F.col(c).cast("double")) == F.max(F.col(c).cast("double")), 0.0)
+                       .otherwise(F.stddev_pop(F.col(c).cast("double"))).alias(f"s_{i}") for i, c in enumerate(numeric)]).first()
         for i, c in enumerate(numeric):
             fp.mean[c] = float(st[f"m_{i}"]) if st[f"m_{i}"] is not None else 0.0
             fp.std[c] = float(st[f"s_{i}"]) if st[f"s_{i}"] is not None else 0.0
     return fp
 
 
+def vocabulary(train: DataFrame, categorical: list[str]) -> DataFrame:
+    """(column, value, position) of the sorted distinct train values: positions count on over the columns, in their order.
+
+    Of any size: values are sorted by range, and numbered by the sizes of the
+    ranges before theirs.
+    """
+    order = F.create_map(*[F.lit(x) for i, c in enumerate(categorical) for x in (c, i)])
+    values = (train.select(*[F.col(c).cast("string").alias(c) for c in categorical]).unpivot([], categorical, "column", "value")
+              .where("value IS NOT NULL").distinct())
+    dealt = values.withColumn("_c", order["column"]).repartitionByRange("_c", "value").withColumn("_p", F.spark_partition_id())
+    dealt = cut_lineage(dealt)  # the ranges must not be drawn anew between the two uses
+    sizes = dealt.groupBy("_p").count()
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = sizes.select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_c", "value"))
+    return dealt.join(F.broadcast(offsets), "_p").select("column", "value", (F.col("_o") + rank - 1).alias("position"))
+
+
+def one_hot_sparse(df: DataFrame, key: str, categorical: list[str], vocab: DataFrame) -> DataFrame:
+    """(key, positions): the sorted positions of a row's ones; values outside the vocabulary have none.
+
+    ``key`` is unique.  The sparse form of the one-hot blocks, by a join, for vocabularies of any size.
+    """
+    cells = (df.select(key, *[F.col(c).cast("string").alias(c) for c in categorical]).unpivot([key], categorical, "column", "value")
+             .join(vocab, ["column", "value"], "left"))
+    return cells.groupBy(key).agg(F.sort_array(F.collect_list("position")).alias("positions"))
+
+
 def zscore_stats(train: DataFrame, numeric: list[str]) -> DataFrame:
     """Train mean and population std per numeric feature (the scaler's fitted state)."""
     structs = [F.struct(F.lit(c).alias("feature"), F.avg(F.col(c).cast("double")).alias("mean"),

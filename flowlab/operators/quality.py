@@ -31,14 +31,12 @@ def _isinf(c: Column) -> Column:
     return c.isin(float("inf"), float("-inf"))
 
 
-def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """NaN and ±Inf → NULL in floating columns (run *after* auditing them)."""
-    cols = cols or [f.name for f in df.schema.fields
-                    if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    out = df
-    for c in cols:
-        out = out.withColumn(c, F.when(F.isnan(c) | _isinf(F.col(c)), None).otherwise(F.col(c)))
-    return out
+def nan_to_null(df: DataFrame, cols: list[str] | None = None, infinite: bool = True) -> DataFrame:
+    """NaN and, with ``infinite``, ±Inf → NULL in floating columns (run *after* auditing them)."""
+    if cols is None:
+        cols = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    bad = {c: F.isnan(c) | _isinf(F.col(c)) if infinite else F.isnan(c) for c in cols}
+    return df.withColumns({c: F.when(bad[c], None).otherwise(F.col(c)) for c in cols}) if cols else df
 
 
 def column_quality(df: DataFrame, features: list[str]) -> DataFrame:
@@ -48,17 +46,24 @@ def column_quality(df: DataFrame, features: list[str]) -> DataFrame:
     dominant_share — the exact share of the top value when one value holds
     more than 99.9 % of the non-null rows (constant columns included), else null.
     """
+    df = nan_to_null(df, [c for c in features if _is_numeric(df, c)], infinite=False)  # NaN is missing in every figure
+    texts = [c for c in features if not _is_numeric(df, c)]
+    top = {}
+    if texts:  # the most frequent string of each column (ties: the least)
+        counts = unpivot_strings(df, texts, []).where(F.col("value").isNotNull()).groupBy("feature", "value").count()
+        top = {r.feature: r.value for r in counts.groupBy("feature").agg(
+            F.min(F.struct(-F.col("count"), "value"))["value"].alias("value")).collect()}
     aggs = []
     for i, c in enumerate(features):
         col = F.col(c)
-        null = col.isNull() | (F.isnan(col) if _is_numeric(df, c) else F.lit(False))
+        null = col.isNull()
         aggs += [F.sum(null.cast("long")).alias(f"m{i}"),
                  (F.sum(_isinf(col).cast("long")) if _is_numeric(df, c) else F.lit(0).cast("long"))
                  .alias(f"i{i}"),
                  F.min(col).cast("string").alias(f"lo{i}"), F.max(col).cast("string").alias(f"hi{i}"),
                  F.count(col).alias(f"n{i}"),
                  (F.percentile_approx(col, 0.5, 10000) if _is_numeric(df, c)
-                  else F.mode(col)).cast("string").alias(f"v{i}")]
+                  else F.lit(top.get(c))).cast("string").alias(f"v{i}")]
     first = df.agg(*aggs).first()
     # pass two: exact share of each candidate value (one more wide aggregation)
     shares = []

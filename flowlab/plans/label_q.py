@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from flowlab.functions.columns import coerce_double, first_float
 from flowlab.operators import label as L
+from flowlab.operators import prep as P
 from flowlab.plans import query
 from flowlab.plans.prep_q import _VOCAB, _fitted
 from flowlab.plans.sql import FLOWS, SCORED, SCORED5, with_
-from flowlab.sources.tables import FAMILIES, FLOW_CATEGORICAL, FLOW_NUMERIC, flows, park_miller, scored
+from flowlab.sources import files as S
+from flowlab.sources.tables import FAMILIES, FLOW_CATEGORICAL, FLOW_NUMERIC, flows, nsl_rows, nsl_sql, park_miller, scored
 
 NSL_LABELS = sorted(L.ATTACK_FAMILY_MAP)
 
@@ -124,17 +126,26 @@ def p08_encoded_to_attribute(spark, sf):
     return names.select("name", L.encoded_to_attribute(F.col("name"), FLOW_CATEGORICAL).alias("attribute"))
 
 
-@query("p15_feature_groups", _NAMES_SQL + """,
+_P15_SQL = f"""WITH n AS ({nsl_sql()}),
+names AS (SELECT DISTINCT 'protocol_type' AS attr, 'protocol_type_' || protocol_type AS name FROM n UNION SELECT DISTINCT 'service', 'service_' || service FROM n
+  UNION SELECT DISTINCT 'flag', 'flag_' || flag FROM n UNION SELECT x, x FROM (SELECT unnest({_sql_list([c for c in S.NSL_FEATURES if c not in S.NSL_CATEGORICAL])}) AS x)),
 g AS (SELECT 'all_features' AS grp, name FROM names
-  UNION ALL SELECT 'categorical_one_hot', name FROM names WHERE name NOT IN (SELECT unnest(""" + _sql_list(FLOW_NUMERIC) + """))
-  UNION ALL SELECT 'numeric_only', name FROM names WHERE name IN (SELECT unnest(""" + _sql_list(FLOW_NUMERIC) + """))
-  UNION ALL SELECT 'protocol_service_flag', name FROM names WHERE name NOT IN (SELECT unnest(""" + _sql_list(FLOW_NUMERIC) + """)))
-SELECT grp AS "group", count(*) AS size FROM g GROUP BY grp""")
+  UNION ALL SELECT 'categorical_one_hot', name FROM names WHERE attr != name UNION ALL SELECT 'numeric_only', name FROM names WHERE attr = name
+  UNION ALL SELECT 'protocol_service_flag', name FROM names WHERE attr != name
+  UNION ALL SELECT 'byte_volume', name FROM names WHERE attr IN {tuple(L.BYTE_FEATURES)}
+  UNION ALL SELECT 'connection_count_rates', name FROM names WHERE attr IN {tuple(L.CONNECTION_FEATURES)}
+  UNION ALL SELECT 'dst_host_behavior', name FROM names WHERE starts_with(attr, 'dst_host')
+  UNION ALL SELECT 'content_login_shell', name FROM names WHERE attr IN {tuple(L.CONTENT_FEATURES)})
+SELECT grp AS "group", count(*) AS size, string_agg(name, ',' ORDER BY name) AS members FROM g GROUP BY grp"""
+
+
+@query("p15_feature_groups", _P15_SQL)
 def p15_feature_groups(spark, sf):
-    _, fp = _fitted(spark, sf)
+    """All eight named groups, over the encoded columns of the 43-column rows."""
+    fp = P.fit(nsl_rows(spark, sf), S.NSL_CATEGORICAL, [c for c in S.NSL_FEATURES if c not in S.NSL_CATEGORICAL])
     names = spark.createDataFrame(list(enumerate(fp.feature_names())), "position int, name string")
-    m = L.feature_group_members(names, categorical=FLOW_CATEGORICAL)
-    return m.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    m = L.feature_group_members(names, categorical=S.NSL_CATEGORICAL)
+    return m.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("members"))
 
 
 @query("p09_label_encoding", with_(SCORED5) + """

@@ -16,13 +16,28 @@ from flowlab.plans.report_q import _MT, method_table
 from flowlab.plans.sql import FLOWS, SCORED, with_
 from flowlab.sources import files as S
 from flowlab.sources import results as RS
-from flowlab.sources.tables import flows, park_miller, scored, table
+from flowlab.sources.tables import flows, nsl_rows, nsl_sql, park_miller, scored, table
 
 LI_SCHEMA = T.StructType([T.StructField("l_orderkey", T.LongType()), T.StructField("l_quantity", T.DoubleType()),
                           T.StructField("l_extendedprice", T.DoubleType()),
                           T.StructField("l_returnflag", T.StringType())])
 
 
+_NSL_SUMS = [c for c in S.NSL_FEATURES if c not in S.NSL_CATEGORICAL]
+
+
+@query("s01_nsl_schema", rounded("SELECT label, protocol_type, service, flag, count(*) AS rows, CAST(sum(difficulty) AS BIGINT) AS difficulty, "
+                                 + ", ".join(f"CAST(sum({c}) AS DOUBLE) AS {c}" for c in _NSL_SUMS)
+                                 + f" FROM ({nsl_sql()}) GROUP BY label, protocol_type, service, flag", *_NSL_SUMS))
+def s01_nsl_schema(spark, sf):
+    """All 43 columns, written without a header and read back by the fixed schema through the split's name."""
+    root = S.scratch_path(spark, "s01n")
+    nsl_rows(spark, sf).drop("event_id").write.option("header", "false").csv(S.split_path(root, "train"))
+    df = S.load_split(spark, root, "train")
+    return finish(df.groupBy("label", "protocol_type", "service", "flag").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("difficulty").alias("difficulty"), *[F.sum(c).cast("double").alias(c) for c in _NSL_SUMS]))
+
+
 @query("s01_headerless_csv", rounded("""
 SELECT l_returnflag, count(*) AS rows, sum(l_quantity) AS quantity, sum(l_extendedprice) AS price
 FROM lineitem GROUP BY l_returnflag""", "quantity", "price"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlab.operators.label import add_category
+from flowlab.operators.label import add_category, attack_category
 from flowlab.session import checkpoint_dir
 
 # The 41 NSL-KDD features in file order, then label and difficulty.
@@ -154,28 +154,18 @@ def read_dual_label_parquet(spark: SparkSession, path: str, fine: str = "Label",
                             binary: str = "label", drop: tuple[str, ...] = ("attack_class",)) -> DataFrame:
     """Parquet holding both ``Label`` (fine) and ``label`` (0/1).
 
-    Read case-sensitively (otherwise the two names collide), rename, restore
-    the setting; ``attack_category`` is re-derived from the fine label.
+    Read by a session of its own in which names are case-sensitive (else the
+    two collide) and renamed there; ``attack_category`` is re-derived from the
+    fine label.  Nothing is copied, and the caller's setting is not touched.
     """
-    from flowlab.session import cut_lineage
-    prev = spark.conf.get("spark.sql.caseSensitive")
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    try:
-        raw = spark.read.parquet(path)
-        feats = [c for c in raw.columns if c not in (fine, binary, *drop)]
-        out = raw.select(*[F.col(f"`{c}`") for c in feats],
-                         F.trim(F.col(f"`{fine}`").cast("string")).alias("_fine"),
-                         F.col(f"`{binary}`").cast("int").alias("binary_label"))
-        # the scan itself resolves names case-sensitively only while the setting
-        # is on, so the renamed table is materialised (reliable checkpoint in the
-        # shared folder) before the setting is restored
-        out = cut_lineage(out)
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", prev)
-    out = out.withColumnRenamed("_fine", "label")
+    exact = spark.newSession()
+    exact.conf.set("spark.sql.caseSensitive", "true")
+    raw = exact.read.parquet(path)
+    feats = [c for c in raw.columns if c not in (fine, binary, *drop)]
+    out = raw.select(*[F.col(f"`{c}`") for c in feats], F.trim(F.col(f"`{fine}`").cast("string")).alias("label"),
+                     F.col(f"`{binary}`").cast("int").alias("binary_label"))
     # eager unknown-label check runs on the distinct labels only
     add_category(out.select("label").distinct(), "label")
-    from flowlab.operators.label import attack_category
     return out.withColumn("attack_category", attack_category(F.col("label")))
 
 

@@ -121,3 +121,45 @@ def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENT_NUMERIC = ["value", "user_id", "k"]
+
+
+#: The categories and labels that nsl_rows deals out by event id.
+NSL_VALUES = {"protocol_type": ["tcp", "udp", "icmp"], "service": ["http", "smtp", "ftp", "domain_u", "private"], "flag": ["SF", "S0", "REJ", "RSTR"]}
+NSL_ROW_LABELS = ["normal", "smurf", "nmap", "normal", "ftp_write", "rootkit", "normal"]
+
+
+def _nsl_expressions(pick, integer, double) -> dict[str, str]:
+    """Column → SQL expression over ``event_id``; the attack columns follow the label, so that models can learn."""
+    from flowlab.sources.files import NSL_BINARY, NSL_FEATURES, NSL_RATES
+    attack = "(CASE WHEN event_id % 7 IN (0, 3, 6) THEN 0 ELSE 1 END)"
+    out = {}
+    for i, c in enumerate(NSL_FEATURES):
+        if c in NSL_VALUES:
+            out[c] = pick(NSL_VALUES[c], f"event_id * {i + 3} + {attack}")
+        elif c in NSL_BINARY:
+            out[c] = integer(f"event_id % {i + 2} = 0")
+        elif c in NSL_RATES:
+            out[c] = double(f"(event_id * {2 * i + 1} + {attack} * 40) % 101")
+        elif c == "num_outbound_cmds":
+            out[c] = "0"
+        else:
+            out[c] = f"(event_id * {2 * i + 1}) % {10 + i} + {attack} * ((event_id * 13) % {5 + i})"
+    out["label"] = pick(NSL_ROW_LABELS, "event_id")
+    out["difficulty"] = "event_id % 22"
+    return out
+
+
+def nsl_sql() -> str:
+    """DuckDB SELECT of the rows that nsl_rows makes."""
+    cols = _nsl_expressions(lambda xs, k: "[" + ", ".join(f"'{x}'" for x in xs) + f"][({k}) % {len(xs)} + 1]",
+                            lambda cond: f"({cond})::INT", lambda e: f"({e}) / 100.0::DOUBLE")
+    return "SELECT event_id, " + ", ".join(f"{e} AS {c}" for c, e in cols.items()) + " FROM events"
+
+
+def nsl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rows of the 43-column connection schema, with ``event_id`` before them."""
+    from flowlab.sources.files import nsl_schema
+    cols = _nsl_expressions(lambda xs, k: "element_at(array(" + ", ".join(f"'{x}'" for x in xs) + f"), CAST(({k}) % {len(xs)} + 1 AS INT))",
+                            lambda cond: f"CAST({cond} AS INT)", lambda e: f"CAST({e} AS DOUBLE) / 100.0D")
+    kinds = {f.name: f.dataType.simpleString() for f in nsl_schema().fields}
+    return table(spark, sf_dir, "events").selectExpr("event_id", *[f"CAST({e} AS {kinds[c]}) AS {c}" for c, e in cols.items()])

@@ -93,3 +93,20 @@ def test_activations_and_softmax(spark):
     r = df.select(*C.activations(F.col("x")), C.softmax(F.col("v")).alias("p")).first()
     assert r.sigmoid == 0.5 and r.relu == 0.0 and r.gelu == 0.0
     assert sum(r.p) == pytest.approx(1.0) and r.p[2] > r.p[1] > r.p[0]
+
+
+def test_nan_and_strings_in_the_audit(spark):
+    rows = [(float("nan"), "a")] * 2 + [(1.0, "a")] * 3 + [(None, None)]
+    cq = {r.feature: r for r in Q.column_quality(spark.createDataFrame(rows, "x double, s string"), ["x", "s"]).collect()}
+    assert cq["x"].missing == 3 and cq["x"].dominant_share == 1.0 and not cq["x"].is_constant
+    assert cq["s"].missing == 1 and cq["s"].dominant_share == 1.0
+
+
+def test_sparse_one_hot(spark):
+    train = spark.range(3000).selectExpr("concat('v', lpad(id % 1500, 5, '0')) AS big", "id % 3 AS small")
+    vocab = P.vocabulary(train, ["small", "big"])
+    rows = sorted((r.position, r.column, r.value) for r in vocab.collect())
+    assert [p for p, *_ in rows] == list(range(1503)) and rows[:3] == [(0, "small", "0"), (1, "small", "1"), (2, "small", "2")]
+    assert [v for _, c, v in rows if c == "big"] == [f"v{i:05}" for i in range(1500)]
+    test = spark.createDataFrame([(1, "v00007", 2), (2, "new", None)], "k int, big string, small long")
+    assert {r.k: r.positions for r in P.one_hot_sparse(test, "k", ["small", "big"], vocab).collect()} == {1: [2, 10], 2: []}
