@@ -19,6 +19,7 @@ from flowlab.llm.near_dup import link_documents
 from flowlab.llm.queries import table
 from flowlab.llm.secrets import scan_secrets
 from flowlab.llm.tables import Tables
+from flowlab.llm.text import quoted
 from flowlab.llm.toxicity import fit, sample_labelled, score_toxicity
 
 SECRET_MARK = "[SECRET]"
@@ -26,7 +27,7 @@ SECRET_MARK = "[SECRET]"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(sample_labelled(docs, table(spark, sf_dir, "labels")))
-    return score_toxicity(docs, model).filter("predicted = 0").select(docs.columns)
+    return score_toxicity(docs, model).filter("predicted = 0").select(quoted(docs.columns))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +38,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mark_contaminated(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(docs.columns)
+    return mark_contaminated(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(quoted(docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scanned = scan_secrets(docs, mark=SECRET_MARK)
     changed = F.when(F.size("secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return scanned.withColumn("n_chars", changed).select(docs.columns)
+    return scanned.withColumn("n_chars", changed).select(quoted(docs.columns))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

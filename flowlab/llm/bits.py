@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.text import U, mix
+from flowlab.llm.text import U, mix, quoted
 
 
 class BitTable:
@@ -75,4 +75,4 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``ids`` (id: long); only rows that may be are shuffled."""
     table = docs.sparkSession.sparkContext.broadcast(BitTable(ids))
     maybe, clear = (docs.mapInArrow(_among(table, inside), docs.schema) for inside in (True, False))
-    return clear.union(maybe.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(docs.columns))
+    return clear.union(maybe.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(quoted(docs.columns)))

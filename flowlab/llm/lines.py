@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.text import fresh
+from flowlab.llm.text import fresh, quoted
 
 SPACE = r"\x20\x09-\x0D"
 SYMBOLS = r"#*$%&|<>"
@@ -77,4 +77,4 @@ def clean_lines(docs: DataFrame, min_words: int = 10, max_repeat: float = 0.2, g
     })
     out = out.withColumn("kept", ~col("base_failed") & (col("n_words_removed") <= max_lost * col("n_words")))
     counts = [c for c in RESULT if c.startswith(("n_", "word"))]
-    return out.select(*columns, *[col(c).cast("long").alias(c) if c in counts else col(c) for c in RESULT])
+    return out.select(*quoted(columns), *[col(c).cast("long").alias(c) if c in counts else col(c) for c in RESULT])

@@ -295,7 +295,7 @@ def _similar(percent):
 def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id: long, text)."""
     with Tables(docs.sparkSession) as tables:
-        return _linked(docs.select("doc_id", "text"), size, percent, tables)
+        return _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size, percent, tables)
 
 
 def _linked(docs: DataFrame, size: int, percent: int, tables: Tables) -> DataFrame:

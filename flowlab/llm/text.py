@@ -15,7 +15,7 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
 #: What a kernel gathers before it writes rows, where it gathers over slices.
-GROUP_BYTES = 1 << 23
+GROUP_BYTES = 1 << 22
 
 U = np.uint64
 _M1, _M2, _GOLD = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -150,6 +150,11 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def quoted(columns: list[str]) -> list[str]:
+    """Column names as Spark reads them whatever characters they hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
 def shingle_hashes(word_hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` words, by its first word; runs may cross texts."""
     n = len(word_hashes) - size + 1

@@ -150,6 +150,11 @@ class Similarity:
         if len(self.memo) > MEMO:
             self._forget()
         new = list(set(spans) - self.memo.keys())
+        for at in range(0, len(new), 10_000):
+            self._learn(new[at:at + 10_000])
+        return np.fromiter(map(self.memo.__getitem__, spans), dtype=np.int64, count=len(spans))
+
+    def _learn(self, new: list[str]) -> None:
         pieces, owner = [], []
         for k, span in enumerate(new):
             if span[0] in _STOP:
@@ -168,7 +173,7 @@ class Similarity:
         some = value.any(axis=1)
         need = self.used + int(some.sum())
         if need > len(self.rows):
-            grown = np.zeros((max(need, 2 * len(self.rows)), len(self.landmarks)), dtype=np.float32)
+            grown = np.zeros((max(need, len(self.rows) * 3 // 2), len(self.landmarks)), dtype=np.float32)
             grown[:self.used] = self.rows[:self.used]
             self.rows = grown
         row = np.zeros(len(new), dtype=np.int64)
@@ -176,7 +181,6 @@ class Similarity:
         self.rows[self.used:need] = value[some]
         self.used = need
         self.memo.update(zip(new, row.tolist(), strict=True))
-        return np.fromiter(map(self.memo.__getitem__, spans), dtype=np.int64, count=len(spans))
 
     def sentences(self, spans: list[str], first_of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, similarities) of every sentence that has a similar span."""
@@ -265,22 +269,28 @@ def choose_landmarks(documents: list[list[list[str]]], toxic: list[int], count:
 
 def train_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 50) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss by Newton steps on the points inside the margin; y is -1 or 1."""
-    x1 = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    ridge = penalty * np.append(np.ones(x.shape[1]), 0)
+    m = x.shape[1]
+    ridge = penalty * np.append(np.ones(m), 0)
     weight = weight / weight.sum()
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(m + 1)
 
     def loss(v):
-        return weight @ (np.maximum(0, 1 - y * (x1 @ v)) ** 2) + ridge @ (v * v)
+        return weight @ (np.maximum(0, 1 - y * (x @ v[:-1].astype(x.dtype) + v[-1])) ** 2) + ridge @ (v * v)
 
     for _ in range(rounds):
-        inside = y * (x1 @ w) < 1
-        a = x1[inside] * weight[inside, None]
-        new = np.linalg.lstsq(a.T @ x1[inside] + np.diag(ridge), a.T @ y[inside], rcond=None)[0]
+        inside = np.flatnonzero(y * (x @ w[:-1].astype(x.dtype) + w[-1]) < 1)
+        gram, right = np.diag(ridge), np.zeros(m + 1)
+        for at in range(0, len(inside), 8192):
+            rows = inside[at:at + 8192]
+            block = np.hstack([x[rows].astype(np.float64), np.ones((len(rows), 1))])
+            scaled = block * weight[rows, None]
+            gram = gram + scaled.T @ block
+            right += scaled.T @ y[rows]
+        new = np.linalg.lstsq(gram, right, rcond=None)[0]
         step = 1.0
         while step > 1e-3 and loss(w + step * (new - w)) > loss(w):
             step /= 2
-        if step <= 1e-3 or np.allclose(w, new, atol=1e-7):
+        if step <= 1e-3 or np.allclose(w, new, atol=1e-6):
             break
         w = w + step * (new - w)
     return w[:-1], float(w[-1])
@@ -301,10 +311,10 @@ def train_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds:
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, max_chars: int = 16_000_000) -> DataFrame:
     """text and toxic of labelled documents that are not held out: about ``max_chars`` characters of them, by the hash of
-    the text.  Texts longer than a hundredth of that are not sampled."""
+    the text.  Texts longer than a 400th of that are not sampled."""
     known = (docs.select("doc_id", F.length("text").alias("n"), F.pmod(F.xxhash64("text"), F.lit(1 << 20)).alias("draw"))
              .join(labels.filter("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
-             .filter((F.col("n") <= max_chars // 100) & ~held_out("doc_id")))
+             .filter((F.col("n") <= max_chars // 400) & ~held_out("doc_id")))
     total = known.agg(F.sum("n")).first()[0] or 0
     chosen = known.filter(F.col("draw") < min(1.0, max_chars / max(1, total)) * (1 << 20)).select("doc_id", "toxic").distinct()
     # Bounded by max_chars, as a text of the sample has a character at least.
@@ -323,21 +333,23 @@ def fit(sample: DataFrame, landmarks: int = 128) -> Model:
         return Model([], np.zeros(0), -1.0, np.array([60.0, 0, 0, 0, 0]))
     similarity = Similarity(chosen)
     sentences = [x for d in documents for x in d]
-    counts = np.array([len(d) for d in documents])
-    owner = np.repeat(np.arange(len(documents)), counts)
+    owner = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+    sizes = np.bincount(owner, weights=[len(x) for x in sentences], minlength=len(documents))
     first = np.cumsum([0] + [len(x) for x in sentences])[:-1]
     index, similar = similarity.sentences([s for x in sentences for s in x], first)
+    count = len(sentences)
+    del documents, sentences, first
+    similarity._forget()
     kernel = similarity.compare(chosen).astype(np.float64)
     value, vector = np.linalg.eigh((kernel + kernel.T) / 2)
     root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
     # Sentences without any similar span are all alike: two weighted rows stand for them.
     y = 2.0 * labels[owner] - 1
-    rest = np.ones(len(sentences), dtype=bool)
+    rest = np.ones(count, dtype=bool)
     rest[index] = False
-    x = np.vstack([similar @ root, np.zeros((2, len(chosen)))])
+    x = np.vstack([similar @ root.astype(np.float32), np.zeros((2, len(chosen)), dtype=np.float32)])
     weight, bias = train_machine(x, np.append(y[index], [-1, 1]), np.append(np.ones(len(index)), [(y[rest] < 0).sum(), (y[rest] > 0).sum()]))
     weight = root @ weight
-    sizes = np.bincount(owner, weights=[len(x) for x in sentences], minlength=len(documents))
     facts = _facts(owner[index], similar @ weight + bias, sizes, bias)
     return Model(chosen, weight, bias, train_logistic(facts, labels))
 

@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlab.llm.text import fresh, quoted
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RESULT = ["host", "path", "rule", "pattern", "verdict"]
@@ -94,12 +96,11 @@ def judge_urls(pages: DataFrame, rules: list[HostRule | PatternRule], default: s
             .filter(F.expr("regexp_like(target, regex)"))
             .groupBy("target")
             .agg(F.max(F.struct("tier", "long", (F.col("verdict") == "block").alias("stops"), "name", "verdict")).alias("best")))
-    keep = pages.columns
-    judged = pages.join(best.withColumnRenamed("best", "_best_rule").withColumnRenamed("target", "_target_of_rule"),
-                        target == F.col("_target_of_rule"), "left")
-    found = F.col("_best_rule")
+    rule, key = fresh(pages.columns, "best_rule"), fresh(pages.columns, "target")
+    judged = pages.join(best.select(F.col("best").alias(rule), F.col("target").alias(key)), target == F.col(key), "left")
+    found = F.col(rule)
     return judged.select(
-        *keep,
+        *quoted(pages.columns),
         F.when(found["tier"] == 1, found["name"]).alias("rule"),
         F.when(found["tier"] == 0, found["name"]).alias("pattern"),
         F.coalesce(found["verdict"], F.lit(default)).alias("verdict"))

@@ -20,7 +20,8 @@ def test_equals_brute_force(spark):
     vocab = ["a", "b", "the", "Été.", "x#", "\t", "\n", "\n", "日本", "&|", "\x0b", " "]
     texts = [None, "", " \n ", "one two three four five", "a b c d e a b c d e", "q " * 30000]
     texts += [" ".join(rng.choices(vocab, k=rng.randrange(120))) for _ in range(150)]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(3, texts[3], 1)], "doc_id long, text string, n_words int")
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)] + [(3, texts[3], 1, 2, 3)],
+                                 "doc_id long, text string, n_words int, w_ int, `odd.name x` int")
     rows = clean_lines(docs).collect()
     assert len(rows) == len(texts) + 1
     for r in rows:

@@ -58,7 +58,7 @@ def corpus(seed, n=160):
 @pytest.mark.parametrize("seed,size,percent", [(1, 4, 85), (2, 5, 80), (3, 2, 50)])
 def test_equals_brute_force(spark, seed, size, percent):
     docs = corpus(seed)
-    rows = link_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), size, percent).collect()
+    rows = link_documents(spark.createDataFrame(docs, "doc_id int, text string").repartition(5), size, percent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(docs, size, percent)
     assert len(rows) == len(docs)
 

@@ -20,7 +20,8 @@ def brute(url):
 
 
 def test_equals_brute_force(spark):
-    pages = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(URLS)] + [(0, URLS[0], "mine")], "page_id long, url string, verdict string")
+    pages = spark.createDataFrame([(i, u, "mine", 1, 2, 3) for i, u in enumerate(URLS)] + [(0, URLS[0], "mine", 1, 2, 3)],
+                                  "page_id long, url string, verdict string, target int, best_rule int, `odd.name x` int")
     rows = judge_urls(pages, RULES + PATTERNS).collect()
     assert len(rows) == len(URLS) + 1
     for r in rows:
