@@ -152,9 +152,9 @@ def threshold_policy(train_normal: DataFrame, test: DataFrame, quantiles: list[f
                      families: list[str], score: str = "score", y: str = "y",
                      family: str = "attack_family") -> DataFrame:
     """Per quantile: threshold, accuracy, macro-F1, normal/attack recall and family recalls."""
+    from flowlab.operators.ordered import exact_quantiles
     rows = None
-    for q in quantiles:
-        t = normal_quantile_threshold(train_normal, q, score)
+    for q, t in zip(quantiles, exact_quantiles(train_normal, [score], quantiles)[score], strict=True):
         pred = test.withColumn("_p", (F.col(score) >= F.lit(t)).cast("int"))
         mb = binary_metrics(pred, y, "_p").select("accuracy", "macro_f1", "normal_recall", "attack_recall")
         fr = family_recall(pred, families, family, "_p")

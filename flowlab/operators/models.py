@@ -219,18 +219,19 @@ def holdout_search(data: Data, make, params: list[dict], rare: list[str] | None
     return rows
 
 
-def tune_threshold_then_test(data: Data, make, beta: float = 2.0, seed: int = 1) -> DataFrame:
-    """Tune the decision threshold on a validation split, refit on all train rows,
-    score the test rows once at the default 0.5 and at the tuned threshold."""
+def tune_threshold_then_test(data: Data, make, betas: tuple[float, ...] = (2.0,), seed: int = 1) -> DataFrame:
+    """Tune the decision threshold on a validation split (once per beta), refit on all train
+    rows, score the test rows once: at the default 0.5 and at each tuned threshold."""
     sp = stratified_split(data.train, "label", data.key, 0.2, seed)
     fit_on, val = sp.where(F.col("role") == "train"), sp.where(F.col("role") == "validation")
     vpred, _ = fit_predict(make(fit_on), fit_on, val)
-    sweep = E.threshold_sweep(vpred.select("score", F.col("label").cast("int").alias("y")), beta,
-                              score="score", y="y")
-    t = float(E.best_candidate(sweep, "score").first()["threshold"])
+    policies = [("default", 0.5)]
+    for beta in betas:
+        sweep = E.threshold_sweep(vpred.select("score", F.col("label").cast("int").alias("y")), beta, score="score", y="y")
+        policies.append((f"validation_F{beta:g}", float(E.best_candidate(sweep, "score").first()["threshold"])))
     tpred, _ = fit_predict(make(data.train), data.train, data.test)
     rows = None
-    for name, thr in (("default", 0.5), (f"validation_F{beta:g}", t)):
+    for name, thr in policies:
         p = tpred.select(F.col("label").cast("int").alias("y"), (F.col("score") >= thr).cast("int").alias("p"))
         r = E.binary_metrics(p, "y", "p").select(F.lit(name).alias("policy"), F.lit(thr).alias("threshold"),
                                                   "macro_f1", "normal_recall", "attack_recall", "fp_per_10k_benign")

@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from flowlab.operators import anomaly as AN
 from flowlab.operators import evaluate as E
 from flowlab.operators import models as M
-from flowlab.operators.label import FAMILY_ORDER
+from flowlab.operators import prep as P
+from flowlab.operators.neighbours import lof_scores
+from flowlab.operators.label import FAMILY_ORDER, GROUP_ORDER, add_label_columns, feature_group_members
 from flowlab.operators.sample import label_budget, stratified_split
 from flowlab.plans import finish, query, rounded
 from flowlab.plans.sql import FLOWS, NUMERIC, SCORED, with_
 from flowlab.session import cut_lineage
-from flowlab.sources.tables import FLOW_NUMERIC, embeddings, flows, scored
+from flowlab.sources.files import NSL_CATEGORICAL, NSL_FEATURES
+from flowlab.sources.tables import FLOW_NUMERIC, embeddings, flows, nsl_rows, scored
 
 CLASSES10 = [str(i) for i in range(10)]
 BIN = ["normal", "attack"]
@@ -38,6 +41,32 @@ def embed_data(spark, sf, binary: bool = False) -> M.Data:
     return M.Data(df, BIN if binary else CLASSES10, "id")
 
 
+def nsl_data(spark, sf, binary: bool = False) -> M.Data:
+    """The 43-column rows, encoded by statistics of the train rows: binary, or the five families."""
+    rows = add_label_columns(nsl_rows(spark, sf), check=False)
+    rows = stratified_split(rows, "attack_family", "event_id", 0.2, 0, out="split", a="train", b="test")
+    numeric = [c for c in NSL_FEATURES if c not in NSL_CATEGORICAL]
+    fp = P.fit(rows.where(F.col("split") == "train"), NSL_CATEGORICAL, numeric)
+    code = F.col("binary_label") if binary else F.array_position(F.array(*[F.lit(f) for f in FAMILY_ORDER]), F.col("attack_family")) - 1
+    df = fp.apply_vector(rows.withColumn("label", code.cast("double")).withColumnRenamed("event_id", "id"), keep=["id", "label", "split"])
+    df = cut_lineage(M.with_weights(df, fitted=df.where(F.col("split") == "train")))
+    data = M.Data(df, BIN if binary else FAMILY_ORDER, "id")
+    data.names = fp.feature_names()
+    return data
+
+
+def _levels(spark, sf):
+    """Both label levels, each with its name."""
+    return ("binary", nsl_data(spark, sf, True)), ("family", nsl_data(spark, sf))
+
+
+def _union(parts):
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _rows(df):
     return finish(df)
 
@@ -97,7 +126,9 @@ def m05_extra_trees(spark, sf):
 @query("m06_boosting")
 def m06_boosting(spark, sf):
     d = embed_data(spark, sf, binary=True)
-    return _rows(M.zoo(d, [("GBT", "balanced_120", M.boosting(2, 120, 0.08, 5, True))]))
+    two = M.zoo(d, [("GBT", "balanced_120", M.boosting(2, 120, 0.08, 5, True))]).withColumn("level", F.lit("binary"))
+    d = nsl_data(spark, sf)
+    return _rows(two.unionByName(M.zoo(d, [("GBT_one_vs_rest", "balanced_10", M.boosting(5, 10, 0.2, 4, True))]).withColumn("level", F.lit("family"))))
 
 
 @query("m07_mlp")
@@ -127,7 +158,7 @@ def _policy(d, scored_df, normal_scored):
 @query("m09_kmeans_distance")
 def m09_kmeans_distance(spark, sf):
     d, normal = _normal_split(spark, sf)
-    sc = AN.kmeans_distance(normal, d.df, 16, 42)
+    sc = cut_lineage(AN.kmeans_distance(normal, d.df, 16, 42))
     return _rows(_policy(d, sc.where(F.col("split") == "test"),
                          sc.where((F.col("split") == "train") & (F.col("label") == 0))))
 
@@ -135,11 +166,21 @@ def m09_kmeans_distance(spark, sf):
 @query("m10_isolation_forest")
 def m10_isolation_forest(spark, sf):
     d, normal = _normal_split(spark, sf)
-    sc = AN.isolation_forest(normal, d.df, "id", 150, 10_000, 42)
+    sc = cut_lineage(AN.isolation_forest(normal, d.df, "id", 150, 10_000, 42))  # scored once, read by every quantile
     return _rows(_policy(d, sc.where(F.col("split") == "test"),
                          sc.where((F.col("split") == "train") & (F.col("label") == 0))))
 
 
+@query("m11_lof_policy")
+def m11_lof_policy(spark, sf):
+    """The normal-only threshold policy with local outlier factors as scores."""
+    d, normal = _normal_split(spark, sf)
+    arrays = lambda df: df.select("id", vector_to_array("features").alias("v"))
+    lof = cut_lineage(lof_scores(arrays(normal), arrays(d.df), 35, "id", "id", "v"))
+    sc = d.df.join(lof.select(F.col("query_id").alias("id"), F.col("lof").alias("score")), "id")
+    return _rows(_policy(d, sc.where(F.col("split") == "test"), sc.where((F.col("split") == "train") & (F.col("label") == 0))))
+
+
 @query("m12_reconstruction_error")
 def m12_reconstruction_error(spark, sf):
     d, _ = _normal_split(spark, sf)
@@ -150,9 +191,11 @@ def m12_reconstruction_error(spark, sf):
     sp = stratified_split(tr, "label", "id", 0.2, 3, out="role", a="fit", b="validation")
     fit_normal = sp.where((F.col("role") == "fit") & (F.col("label") == 0))
     val_normal = sp.where((F.col("role") == "validation") & (F.col("label") == 0))
-    err_val = AN.reconstruction_error(fit_normal, val_normal, 8)
-    t = AN.normal_quantile_threshold(err_val, 0.95)
-    te = AN.reconstruction_error(fit_normal, x.where(F.col("split") == "test"), 8)
+    both = val_normal.select("id", "features", "label", F.lit("validation").alias("part")).unionByName(
+        x.where(F.col("split") == "test").select("id", "features", "label", F.lit("test").alias("part")))
+    errors = cut_lineage(AN.reconstruction_error(fit_normal, both, 8))
+    t = AN.normal_quantile_threshold(errors.where(F.col("part") == "validation"), 0.95)
+    te = errors.where(F.col("part") == "test")
     pred = te.withColumn("prediction", (F.col("score") >= F.lit(t)).cast("double"))
     return _rows(M.evaluate_row(pred, BIN, method="PCA_reconstruction", variant="k8_q0.95")
                  .withColumn("threshold", F.lit(t)))
@@ -273,28 +316,37 @@ def m17_importance_consensus(spark, sf):
 
 @query("m19_threshold_tuning")
 def m19_threshold_tuning(spark, sf):
-    d = embed_data(spark, sf, binary=True)
-    return _rows(M.tune_threshold_then_test(d, lambda tr: M.logistic(tr, 1.0, True), beta=2.0))
+    """Default, F1 and F2 policies of several models, each tuned on validation rows and tested once."""
+    d = nsl_data(spark, sf, binary=True)
+    models = {"LogReg": lambda tr: M.logistic(tr, 1.0, True), "DecisionTree": lambda tr: M.decision_tree(True, 8, 3),
+              "RandomForest": lambda tr: M.random_forest(30, 8, 3, True)}
+    return _rows(_union([M.tune_threshold_then_test(d, make, (1.0, 2.0)).withColumn("model", F.lit(name)) for name, make in models.items()]))
 
 
 @query("m20_grid_search")
 def m20_grid_search(spark, sf):
-    d = embed_data(spark, sf)
-    est = M.random_forest(40, 10, 3, True)
-    cv = M.grid_search(d, est, {"maxDepth": [5, 10], "numTrees": [20, 40]}, folds=3)
-    best = cv.bestModel
-    pred = best.transform(d.test)
-    return _rows(M.evaluate_row(pred, d.classes, method="RandomForest", variant="cv3_macro_f1")
-                 .withColumn("cv_best_macro_f1", F.lit(float(max(cv.avgMetrics))))
-                 .withColumn("best_depth", F.lit(best.getMaxDepth()))
-                 .withColumn("best_trees", F.lit(best.getNumTrees)))
+    d = nsl_data(spark, sf, binary=True)
+    out = []
+    for name, est, grid in (("RandomForest", M.random_forest(40, 10, 3, True), {"maxDepth": [5, 10], "numTrees": [20, 40]}),
+                            ("GBT", M.boosting(2, 10, 0.1, 3, True), {"maxDepth": [2, 4]})):
+        cv = M.grid_search(d, est, grid, folds=3)
+        best = cv.bestModel
+        out.append(M.evaluate_row(best.transform(d.test), d.classes, method=name, variant="cv3_macro_f1")
+                   .withColumn("cv_best_macro_f1", F.lit(float(max(cv.avgMetrics)))).withColumn("candidates", F.lit(len(cv.avgMetrics)))
+                   .withColumn("best_depth", F.lit(best.getMaxDepth())).withColumn("best_trees", F.lit(best.getNumTrees)))
+    return _rows(_union(out))
 
 
 @query("m21_holdout_search")
 def m21_holdout_search(spark, sf):
-    d = embed_data(spark, sf)
-    params = [{"c": 0.1}, {"c": 1.0}, {"c": 10.0}]
-    rows = M.holdout_search(d, lambda tr, c: M.logistic(tr, c, True), params, rare=["8", "9"])
+    """Logistic and forest candidates by macro-F1, with the recall of the rare families."""
+    d = nsl_data(spark, sf)
+
+    def make(tr, model, **p):
+        return M.logistic(tr, p["c"], True) if model == "LogReg" else M.random_forest(p["trees"], p["depth"], 3, True)
+
+    params = [{"model": "LogReg", "c": c} for c in (0.1, 1.0, 10.0)] + [{"model": "RandomForest", "trees": 20, "depth": n} for n in (4, 10)]
+    rows = M.holdout_search(d, make, params, rare=["R2L", "U2R"])
     best = E.best_candidate(rows, "macro_f1")
     return _rows(rows.join(best.select("position").withColumn("is_best", F.lit(True)), "position", "left")
                  .na.fill(False, ["is_best"]))
@@ -302,27 +354,27 @@ def m21_holdout_search(spark, sf):
 
 @query("m22_model_zoo")
 def m22_model_zoo(spark, sf):
-    d = embed_data(spark, sf, binary=True)
-    tr = d.train
-    dummy = M.Dummy("most_frequent")
-    pred = dummy.fit(tr).transform(d.test)
-    base = M.evaluate_row(pred, d.classes, method="DummyClassifier", variant="most_frequent") \
-        .withColumn("train_seconds", F.lit(0.0))
-    specs = [("LogReg", "l2_C1_balanced", M.logistic(tr, 1.0, True)),
-             ("DecisionTree", "balanced_depth18", M.decision_tree(True)),
-             ("RandomForest", "balanced_depth18", M.random_forest(120, 18, 3, True)),
-             ("ExtraTrees", "balanced_depth18", M.random_forest(120, 18, 3, True, bootstrap=False))]
-    return _rows(base.unionByName(M.zoo(d, specs)))
+    """Dummy, logistic, tree, forest, extra trees and boosting at both label levels."""
+    out = []
+    for level, d in _levels(spark, sf):
+        tr = d.train
+        dummy = M.evaluate_row(M.Dummy("most_frequent").fit(tr).transform(d.test), d.classes, method="DummyClassifier", variant="most_frequent")
+        specs = [("LogReg", "l2_C1_balanced", M.logistic(tr, 1.0, True)), ("DecisionTree", "balanced_depth18", M.decision_tree(True)),
+                 ("RandomForest", "balanced_30", M.random_forest(30, 12, 3, True)), ("ExtraTrees", "balanced_30", M.random_forest(30, 12, 3, True, bootstrap=False)),
+                 ("GBT", "balanced_10", M.boosting(len(d.classes), 10, 0.2, 4, True))]
+        out += [x.withColumn("level", F.lit(level)) for x in (dummy.withColumn("train_seconds", F.lit(0.0)), M.zoo(d, specs))]
+    return _rows(_union(out))
 
 
 @query("m23_group_ablation")
 def m23_group_ablation(spark, sf):
-    d = embed_data(spark, sf, binary=True)
-    n, _ = _dims(d)
-    q = max(1, n // 4)
-    groups = {"all_features": list(range(n)), "dims_first_quarter": list(range(q)),
-              "dims_second_quarter": list(range(q, 2 * q)), "dims_second_half": list(range(2 * q, n))}
-    return _rows(M.group_ablation(d, groups, lambda tr: M.logistic(tr, 1.0, True)))
+    """Balanced logistic models on the eight named feature groups."""
+    d = nsl_data(spark, sf, binary=True)
+    names = spark.createDataFrame(list(enumerate(d.names)), "position int, name string")
+    members = {}
+    for r in feature_group_members(names, categorical=NSL_CATEGORICAL).orderBy("position").collect():  # a row per feature and group
+        members.setdefault(r.group, []).append(r.position)
+    return _rows(M.group_ablation(d, {g: members.get(g, []) for g in GROUP_ORDER}, lambda tr: M.logistic(tr, 1.0, True)))
 
 
 @query("m24_representations")
@@ -364,23 +416,30 @@ def m25_self_training(spark, sf):
 
 @query("m26_seed_stability")
 def m26_seed_stability(spark, sf):
-    d = embed_data(spark, sf)
-    runs = None
-    for seed in (0, 1, 2, 3, 4):
-        pred, _ = M.fit_predict(M.random_forest(60, 12, 3, True, seed=seed), d.train, d.test)
-        r = M.evaluate_row(pred, d.classes, model="RandomForest", scheme="multiclass", seed=seed)
-        runs = r if runs is None else runs.unionByName(r)
-    return _rows(M.seed_stability(runs, ["model", "scheme"], ["macro_f1", "accuracy"]))
+    """Four models, two label levels, five seeds."""
+    runs = []
+    for level, d in _levels(spark, sf):
+        n = len(d.names)
+        for seed in range(5):
+            for name, est in (("RandomForest", M.random_forest(10, 8, 3, True, seed=seed)), ("ExtraTrees", M.random_forest(10, 8, 3, True, seed=seed, bootstrap=False)),
+                              ("DecisionTree", M.decision_tree(True, 8, 3, seed=seed)), ("MLP", M.mlp(n, len(d.classes), (16,), seed=seed, max_iter=20))):
+                pred, _ = M.fit_predict(est, d.train, d.test)
+                runs.append(M.evaluate_row(pred, d.classes, model=name, scheme=level, seed=seed).select("model", "scheme", "seed", "macro_f1", "accuracy").first())
+    rows = spark.createDataFrame(runs, "model string, scheme string, seed int, macro_f1 double, accuracy double")  # a row per run
+    return _rows(M.seed_stability(rows, ["model", "scheme"], ["macro_f1", "accuracy"]))
 
 
 @query("m27_weighted_contrast")
 def m27_weighted_contrast(spark, sf):
-    d = embed_data(spark, sf)
+    d = nsl_data(spark, sf, binary=True)
     tr = d.train
-    specs = [("LogReg", "unweighted", M.logistic(tr, 1.0, False)), ("LogReg", "balanced", M.logistic(tr, 1.0, True)),
-             ("RandomForest", "unweighted", M.random_forest(80, 12, 3, False)),
-             ("RandomForest", "balanced", M.random_forest(80, 12, 3, True))]
-    return _rows(M.zoo(d, specs))
+    specs = [(name, variant, make(balanced)) for name, make in (
+        ("LogReg", lambda b: M.logistic(tr, 1.0, b)), ("RandomForest", lambda b: M.random_forest(30, 10, 3, b)),
+        ("GBT", lambda b: M.boosting(2, 10, 0.2, 4, b))) for variant, balanced in (("unweighted", False), ("balanced", True))]
+    n = len(d.names)
+    mlp = [M.evaluate_row(M.fit_predict(M.mlp(n, 2, (16,), max_iter=30), rows, d.test)[0], d.classes, method="MLP", variant=variant)
+           .withColumn("train_seconds", F.lit(None).cast("double")) for variant, rows in (("unweighted", tr), ("balanced", M.replicate_by_weight(tr)))]
+    return _rows(_union([M.zoo(d, specs), *mlp]))
 
 
 @query("m28_multi_test")

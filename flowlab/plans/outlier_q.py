@@ -140,6 +140,9 @@ def j02_semi_top_features(spark, sf):
                   .select("row_key", "feature", "abs_robust_z"))
 
 
-@query("a30_top_row_heatmap")
+@query("a30_top_row_heatmap", rounded(_LONG + f""", top AS (SELECT {', '.join(KEYS)} FROM rows_
+  ORDER BY outlier_feature_count DESC, max_abs_robust_z DESC, {', '.join(KEYS)} LIMIT 40)
+SELECT {', '.join('t.' + k for k in KEYS)}, ln(1 + coalesce(max(CASE WHEN h.feature = 'value' THEN h.abs_robust_z END), 0.0)) AS value
+FROM top t LEFT JOIN hits h ON {' AND '.join(f't.{k} = h.{k}' for k in KEYS)} GROUP BY {', '.join('t.' + k for k in KEYS)}""", "value"))  # the other two features have no outliers
 def a30_top_row_heatmap(spark, sf):
     return finish(O.top_row_heatmap(_scored_rows(spark, sf), KEYS, 40, 25))
