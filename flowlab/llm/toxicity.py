@@ -6,7 +6,7 @@ t``).  The string kernel compares two spans by the subsequences of ``ORDER``
 characters they share, each weighed by ``DECAY`` to the length it stretches
 over, so gapped and inserted characters lower the similarity only a little.
 A span is compared with a landmark if it holds ``SCREEN`` of the landmark's
-letters; else their similarity is 0.  A sentence's similarity to a landmark
+letters, and these are ``OWN`` of its own; else their similarity is 0.  A sentence's similarity to a landmark
 is that of its best span; with the landmarks' own kernel matrix this gives
 the Nyström features on which a linear support vector machine is trained.
 
@@ -36,10 +36,10 @@ from pyspark.sql import types as T
 
 from flowlab.llm.text import slices
 
-ORDER, DECAY, SCREEN = 3, 0.9, 0.8
+ORDER, DECAY, SCREEN, OWN = 3, 0.9, 0.8, 0.5
 #: Power of the normalised kernel: higher powers tell similar words apart, lower ones bear more inserted characters.
 POWER = 1.5
-#: Longest landmark, and longest span compared at once; longer spans are compared in windows that overlap by half.
+#: Longest landmark, and longest span compared at once; longer spans are compared in windows of a landmark's length that overlap by half.
 LANDMARK, SPAN = 16, 32
 MEMO = 400_000
 RESULT = ["score", "predicted"]
@@ -110,6 +110,7 @@ class Similarity:
 
     def _start(self) -> None:
         self.codes, sizes = _codes(self.landmarks, LANDMARK)
+        self.width = int(sizes.max(initial=1))
         self.bins = _bins(self.codes)
         self.masks = _masks(self.bins)
         self.least = np.maximum(ORDER, np.ceil(SCREEN * sizes - 1e-9)).astype(np.int64)
@@ -127,22 +128,31 @@ class Similarity:
         """Similarities (span, landmark) of short spans."""
         out = np.zeros((len(spans), len(self.landmarks)), dtype=np.float32)
         for at in range(0, len(spans), 10_000):
-            codes, _ = _codes(spans[at:at + 10_000], SPAN)
+            codes, sizes = _codes(spans[at:at + 10_000], SPAN)
+            order = np.argsort(sizes, kind="stable")  # spans of one length together: short ones take few steps
+            codes, sizes = codes[order], sizes[order]
             bins = _bins(codes)
             masks = _masks(bins)
             rows, cols = [], []
             for j in range(len(self.landmarks)):
                 some = np.flatnonzero(np.bitwise_count(masks & self.masks[j]) >= self.kinds[j])
-                some = some[np.minimum(bins[some], self.bins[j]).sum(axis=1, dtype=np.int64) >= self.least[j]]
+                shared = np.minimum(bins[some], self.bins[j]).sum(axis=1, dtype=np.int64)
+                some = some[(shared >= self.least[j]) & (shared >= OWN * sizes[some])]
                 rows.append(some)
                 cols.append(np.full(len(some), j))
             rows, cols = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*cols, np.zeros(0, np.int64)])
+            by_span = np.argsort(rows, kind="stable")
+            rows, cols = rows[by_span], cols[by_span]
             own = np.ones(len(codes), dtype=np.float32)
             touched = np.unique(rows)
-            own[touched] = np.sqrt(string_kernel(codes[touched], codes[touched]))
-            for k in range(0, len(rows), 20_000):
-                r, c = rows[k:k + 20_000], cols[k:k + 20_000]
-                out[at + r, c] = (string_kernel(codes[r], self.codes[c]) / np.maximum(own[r] * self.norm[c], 1e-30)) ** POWER
+            for k in range(0, len(touched), 2_000):
+                r = touched[k:k + 2_000]
+                s = codes[r, :sizes[r[-1]]]
+                own[r] = np.sqrt(string_kernel(s, s))
+            for k in range(0, len(rows), 2_000):
+                r, c = rows[k:k + 2_000], cols[k:k + 2_000]
+                like = string_kernel(codes[r, :sizes[r[-1]]], self.codes[c, :self.width])
+                out[at + order[r], c] = (like / np.maximum(own[r] * self.norm[c], 1e-30)) ** POWER
         return out
 
     def index(self, spans: list[str]) -> np.ndarray:
@@ -163,10 +173,13 @@ class Similarity:
             if len(joined := _APART.sub("", span)) != len(span):
                 parts.append(joined)
             for part in parts:
-                cuts = range(0, max(1, len(part) - SPAN // 2), SPAN // 2) if len(part) > SPAN else (0,)
-                for c in cuts:
-                    pieces.append(part[c:c + SPAN])
+                if len(part) <= SPAN:
+                    pieces.append(part)
                     owner.append(k)
+                else:
+                    cuts = range(0, len(part), LANDMARK // 2)
+                    pieces += [part[c:c + LANDMARK] for c in cuts]
+                    owner += [k] * len(cuts)
         value = np.zeros((len(new), len(self.landmarks)), dtype=np.float32)
         if pieces and self.landmarks:
             np.maximum.at(value, np.array(owner), self.compare(pieces))
@@ -309,12 +322,12 @@ def train_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds:
     return w
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, max_chars: int = 16_000_000) -> DataFrame:
+def sample_labelled(docs: DataFrame, labels: DataFrame, max_chars: int = 8_000_000) -> DataFrame:
     """text and toxic of labelled documents that are not held out: about ``max_chars`` characters of them, by the hash of
-    the text.  Texts longer than a 400th of that are not sampled."""
+    the text.  Texts longer than a 200th of that are not sampled."""
     known = (docs.select("doc_id", F.length("text").alias("n"), F.pmod(F.xxhash64("text"), F.lit(1 << 20)).alias("draw"))
              .join(labels.filter("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
-             .filter((F.col("n") <= max_chars // 400) & ~held_out("doc_id")))
+             .filter((F.col("n") <= max_chars // 200) & ~held_out("doc_id")))
     total = known.agg(F.sum("n")).first()[0] or 0
     chosen = known.filter(F.col("draw") < min(1.0, max_chars / max(1, total)) * (1 << 20)).select("doc_id", "toxic").distinct()
     # Bounded by max_chars, as a text of the sample has a character at least.
