@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlab.llm.bits import without
-from flowlab.llm.bpe import decode, encode, read_ranks
+from flowlab.llm.bpe import encode, read_ranks
 from flowlab.llm.decontaminate import mark_contaminated
 from flowlab.llm.near_dup import link_documents
 from flowlab.llm.queries import table
@@ -50,9 +50,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """ids and n_tokens, and whether the ids decode to the text."""
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    rows = decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return rows.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
+    return encode(docs, ranks, public_tokenizers.PATTERN, check=True).select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [

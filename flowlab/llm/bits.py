@@ -18,10 +18,10 @@ class BitTable:
     def __init__(self, ids: DataFrame):
         n = ids.count()
         self.log2 = min(26, max(16, (16 * n).bit_length()))
-        parts = ids.select("id").coalesce(1 + n // 1_000_000).mapInArrow(self._part(self.log2), "chunk int, part binary")
-        if n > 1_000_000:
-            parts = parts.repartition("chunk")
-        rows = parts.mapInArrow(self._either, "chunk int, part binary").collect()  # 8 MB at most
+        rows = ids.select("id").coalesce(1 + n // 1_000_000).mapInArrow(self._part(self.log2), "chunk int, part binary")
+        if n >= 1_000_000:
+            rows = rows.repartition("chunk").mapInArrow(self._either, "chunk int, part binary")
+        rows = rows.collect()  # 8 MB at most
         self.bits = np.zeros((1 << self.log2) // 8, dtype=np.uint8)
         for r in rows:
             self.bits[r.chunk * self.CHUNK:(r.chunk + 1) * self.CHUNK] = np.frombuffer(r.part, np.uint8)

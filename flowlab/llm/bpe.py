@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from flowlab.llm.text import U, expand, mix, slices
+from flowlab.llm.text import U, expand, mix, slices, text_bytes
 
 MEMO = 300_000
 RESULT = ["ids", "n_tokens"]
@@ -193,13 +193,19 @@ def _gather(data, first, size, ids, offsets):
     return data[expand(first[ids], sizes)], np.concatenate([[0], np.cumsum(sizes)])[offsets]
 
 
-def _encode(codec, columns):
+def _encode(codec, columns, check):
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 ids, offsets = codec.value.encode(part.column("text").to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists, pa.array(np.diff(offsets), pa.int64())], [*columns, *RESULT])
+                made = [lists, pa.array(np.diff(offsets), pa.int64())]
+                if check:
+                    text, begins = text_bytes(part.column("text"))
+                    back, stops = codec.value.decode(ids, offsets)
+                    same = [back[a:b].tobytes() == text[c:d].tobytes() for a, b, c, d in zip(stops[:-1], stops[1:], begins[:-1], begins[1:], strict=True)]
+                    made.append(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *made], [*columns, *RESULT, *["round_trip"][:check]])
     return run
 
 
@@ -234,11 +240,14 @@ def _share(df: DataFrame, ranks: dict[bytes, int], pattern: str):
     return df.sparkSession.sparkContext.broadcast(Codec(ranks, pattern))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """``docs`` (needs ``text``) with ids (array of int) and n_tokens; columns of these names are replaced."""
-    docs = docs.drop(*RESULT)
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
-    return docs.mapInArrow(_encode(_share(docs, ranks, pattern), docs.columns), schema)
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, check: bool = False) -> DataFrame:
+    """``docs`` (needs ``text``) with ids (array of int) and n_tokens; columns of these names are replaced.
+
+    With ``check``, the ids are decoded again and ``round_trip`` tells whether they give the text.
+    """
+    docs = docs.drop(*RESULT, *["round_trip"][:check])
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
+    return docs.mapInArrow(_encode(_share(docs, ranks, pattern), docs.columns, check), T.StructType([*docs.schema.fields, *made[:2 + check]]))
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

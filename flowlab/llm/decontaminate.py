@@ -167,8 +167,8 @@ def _count(index):
     return run
 
 
-def _mark(index, columns, own):
-    """Adds a block's hit words (a bit each) and items to what earlier blocks found."""
+def _mark(index, columns, own, last):
+    """Adds a block's hit words (a bit each) and items to what earlier blocks found; the last block writes RESULT."""
     def run(batches):
         ix = index.value
         for batch in batches:
@@ -183,29 +183,30 @@ def _mark(index, columns, own):
                 found: dict[int, set[str]] = {}
                 for d, w in zip(doc[begin].tolist(), window.tolist(), strict=True):
                     found.setdefault(d, set()).update(ix.items[w])
-                touched = set(np.unique(doc[hit]).tolist())
-                marks, items = part.column(own[1]).to_pylist(), part.column(own[2]).to_pylist()
-                for d in touched:
+                n = part.num_rows
+                marks, items = (part.column(c).to_pylist() for c in own) if own else ([None] * n, [None] * n)
+                for d in np.unique(doc[hit]).tolist():
                     bits = np.packbits(hit[words.first[d]:words.first[d + 1]])
                     marks[d] = (bits | np.frombuffer(marks[d], np.uint8) if marks[d] else bits).tobytes()
                     items[d] = sorted(set(items[d] or []) | found.get(d, set()))
-                arrays = [part.column(c) for c in columns]
-                arrays += [pa.array(words.counts, pa.int64()), pa.array(marks, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, [*columns, *own])
+                kept = [part.column(c) for c in columns]
+                if last:
+                    yield pa.RecordBatch.from_arrays([*kept, *_results(words.counts, marks, items)], [*columns, *RESULT])
+                else:
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(marks, pa.binary()), pa.array(items, pa.list_(pa.string()))], [*columns, *_between(columns)])
     return run
 
 
-def _digest(columns, own):
-    def run(batches):
-        for batch in batches:
-            items = [x or [] for x in batch.column(own[2]).to_pylist()]
-            hits = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in batch.column(own[1]).to_pylist()]
-            arrays = [batch.column(c) for c in columns]
-            arrays += [batch.column(own[0]), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
-                       pa.array(items, pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
-                       pa.array([x > 0 for x in hits])]
-            yield pa.RecordBatch.from_arrays(arrays, [*columns, *RESULT])
-    return run
+def _results(counts, marks, items) -> list[pa.Array]:
+    items = [x or [] for x in items]
+    hits = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in marks]
+    return [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())),
+            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([x > 0 for x in hits], pa.bool_())]
+
+
+def _between(columns: list[str]) -> list[str]:
+    """Names of what blocks hand on to each other."""
+    return [fresh(columns, x) for x in ("_hit", "_found")]
 
 
 #: Columns that mark_contaminated adds.
@@ -225,10 +226,10 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, c
         _pieces(window), "item_id string, words string").distinct()
     size = pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    own = [fresh(columns, x) for x in ("_words", "_hit", "_found")]
-    kinds = [T.LongType(), T.BinaryType(), T.ArrayType(T.StringType())]
-    made = T.StructType([*docs.schema.fields, *map(T.StructField, own, kinds)])
-    out = docs.withColumns({n: F.lit(None).cast(t) for n, t in zip(own, kinds, strict=True)})
+    between = T.StructType([*docs.schema.fields, *map(T.StructField, _between(columns), [T.BinaryType(), T.ArrayType(T.StringType())])])
+    result = T.StructType([*docs.schema.fields, *map(
+        T.StructField, RESULT, [T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.StringType(), T.BooleanType()])])
+    out = docs
     for block in range(blocks):
         rows = pieces.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).collect()
         index = Index([(r.item_id, r.words) for r in rows], window, containment)
@@ -236,7 +237,6 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, c
         counts = (docs.select("text").mapInArrow(_count(counting), "shingle long, n long")
                   .groupBy("shingle").agg(F.sum("n").alias("n")).collect() if len(index.keys) else [])
         index.order({r.shingle: r.n for r in counts})
-        out = out.mapInArrow(_mark(spark.sparkContext.broadcast(index), columns, own), made)
-    result = T.StructType([*docs.schema.fields, *map(
-        T.StructField, RESULT, [T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.StringType(), T.BooleanType()])])
-    return out.mapInArrow(_digest(columns, own), result)
+        last = block == blocks - 1
+        out = out.mapInArrow(_mark(spark.sparkContext.broadcast(index), columns, _between(columns) if block else [], last), result if last else between)
+    return out

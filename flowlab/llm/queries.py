@@ -15,7 +15,7 @@ from flowlab.llm import lm_score
 from flowlab.llm.lm_score import score_texts
 from flowlab.llm.near_dup import link_documents
 from flowlab.llm.passages import shared_passages
-from flowlab.llm.secrets import digest_secrets, scan_secrets
+from flowlab.llm.secrets import digest_secrets
 from flowlab.llm.toxicity import fit, held_out, sample_labelled, score_toxicity
 from flowlab.llm.url_rules import BAD_HOST_WORDS, PATTERNS, HostRule, judge_urls
 
@@ -148,7 +148,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_secrets")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_secrets(scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return digest_secrets(table(spark, sf_dir, "documents"))
 
 
 @query("op3_ngram_jaccard")

@@ -192,17 +192,21 @@ def scan_secrets(docs: DataFrame, words: Iterable[str] = WORDS, min_log10: float
     return docs.mapInArrow(_scan(docs.columns, tuple(words), min_log10, mark), schema)
 
 
-def _digest(batches):
-    for batch in batches:
-        found = [[(s["start"], s["end"], s["kind"]) for s in x] for x in batch.column("secrets").to_pylist()]
-        counts = [pa.array([sum(k == kind for *_, k in x) for x in found], pa.int64()) for kind in KINDS]
-        base = [hashlib.sha256(write_spans([s for s in x if s[2] != "guess"]).encode()).hexdigest() for x in found]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(base, pa.string()), pa.array([write_spans(x) for x in found], pa.string())],
-                                         ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"])
-
-
-def digest_secrets(scanned: DataFrame) -> DataFrame:
-    """doc_id, the number of spans of each kind, and the spans written out."""
-    schema = T.StructType([scanned.schema["doc_id"], *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS),
+def _digest(words, min_log10):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                found = [find_secrets(t or "", words, min_log10) for t in part.column("text").to_pylist()]
+                counts = [pa.array([sum(k == kind for *_, k in x) for x in found], pa.int64()) for kind in KINDS]
+                base = [hashlib.sha256(write_spans([s for s in x if s[2] != "guess"]).encode()).hexdigest() for x in found]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, pa.array(base, pa.string()), pa.array([write_spans(x) for x in found], pa.string())],
+                                                 ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+    return run
+
+
+def digest_secrets(docs: DataFrame, words: Iterable[str] = WORDS, min_log10: float = 8.0) -> DataFrame:
+    """doc_id, the number of spans of each kind, a hash of the base spans, and all spans written out."""
+    docs = docs.select("doc_id", "text")
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS),
                            T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
-    return scanned.select("doc_id", "secrets").mapInArrow(_digest, schema)
+    return docs.mapInArrow(_digest(tuple(words), min_log10), schema)

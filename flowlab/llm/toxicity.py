@@ -41,7 +41,7 @@ ORDER, DECAY, SCREEN, OWN = 3, 0.9, 0.8, 0.5
 POWER = 1.5
 #: Longest landmark, and longest span compared at once; longer spans are compared in windows of a landmark's length that overlap by half.
 LANDMARK, SPAN = 16, 32
-MEMO = 400_000
+MEMO = 150_000
 RESULT = ["score", "predicted"]
 
 _TOKEN = re.compile(r"[^\W_](?:[ .*_-][^\W_](?![^\W_])){2,}|[^\W_]+(?:[^\w\s][^\W_]+)*|[.!?\n]+")

@@ -52,12 +52,13 @@ def test_word_date_walk_and_repeat_are_found():
 
 def test_data_frame(spark):
     docs = spark.createDataFrame([(i, t, "q") for i, t in enumerate(TEXTS)] + [(0, TEXTS[2], "q")], "doc_id long, text string, secrets string")
-    rows = s.digest_secrets(s.scan_secrets(docs)).collect()
+    rows = s.digest_secrets(docs).collect()
+    spans = {r.doc_id: [(x.start, x.end, x.kind) for x in r.secrets] for r in s.scan_secrets(docs).collect()}
     assert len(rows) == len(TEXTS) + 1
     for r in rows:
         if r.doc_id:
-            spans = s.write_spans(base(TEXTS[r.doc_id]))
-            assert r.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+            assert r.spans == s.write_spans(spans[r.doc_id])
+            assert r.base_sha256 == hashlib.sha256(s.write_spans(base(TEXTS[r.doc_id])).encode()).hexdigest()
             assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for *_, k in base(TEXTS[r.doc_id])) for kind in s.KINDS[:3])
     assert s.scan_secrets(docs.filter("false")).count() == 0
 
