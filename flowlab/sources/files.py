@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlab.operators.label import add_category, attack_category
+from flowlab.operators.label import BINARY_COLS, CATEGORICAL_COLS, add_category, attack_category
 from flowlab.session import checkpoint_dir
 
 # The 41 NSL-KDD features in file order, then label and difficulty.
@@ -31,9 +31,8 @@ NSL_FEATURES = [
     "dst_host_serror_rate", "dst_host_srv_serror_rate", "dst_host_rerror_rate",
     "dst_host_srv_rerror_rate",
 ]
-NSL_CATEGORICAL = ["protocol_type", "service", "flag"]
-NSL_BINARY = ["land", "logged_in", "root_shell", "su_attempted", "is_host_login",
-              "is_guest_login"]
+NSL_CATEGORICAL = CATEGORICAL_COLS
+NSL_BINARY = BINARY_COLS
 NSL_RATES = [c for c in NSL_FEATURES if c.endswith("_rate")]
 
 # Candidate label column names, in priority order.
