@@ -41,7 +41,7 @@ ORDER, DECAY, SCREEN, OWN = 3, 0.9, 0.8, 0.5
 POWER = 1.5
 #: Longest landmark, and longest span compared at once; longer spans are compared in windows of a landmark's length that overlap by half.
 LANDMARK, SPAN = 16, 32
-MEMO = 150_000
+MEMO = 300_000
 RESULT = ["score", "predicted"]
 
 _TOKEN = re.compile(r"[^\W_](?:[ .*_-][^\W_](?![^\W_])){2,}|[^\W_]+(?:[^\w\s][^\W_]+)*|[.!?\n]+")
@@ -121,7 +121,7 @@ class Similarity:
 
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.landmarks)), dtype=np.float32)
+        self.rows = np.zeros((1024, len(self.landmarks)), dtype=np.float16)
         self.used = 1  # row 0: similar to none
 
     def compare(self, spans: list[str]) -> np.ndarray:
@@ -183,10 +183,10 @@ class Similarity:
         value = np.zeros((len(new), len(self.landmarks)), dtype=np.float32)
         if pieces and self.landmarks:
             np.maximum.at(value, np.array(owner), self.compare(pieces))
-        some = value.any(axis=1)
+        some = value.astype(np.float16).any(axis=1)
         need = self.used + int(some.sum())
         if need > len(self.rows):
-            grown = np.zeros((max(need, len(self.rows) * 3 // 2), len(self.landmarks)), dtype=np.float32)
+            grown = np.zeros((max(need, len(self.rows) * 3 // 2), len(self.landmarks)), dtype=np.float16)
             grown[:self.used] = self.rows[:self.used]
             self.rows = grown
         row = np.zeros(len(new), dtype=np.int64)
@@ -205,7 +205,7 @@ class Similarity:
         text = np.searchsorted(first_of_text, some, side="right") - 1
         sentence = np.cumsum(stop)[some] + text
         begin = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
-        return text[begin], np.maximum.reduceat(self.rows[index[some]], begin, axis=0)
+        return text[begin], np.maximum.reduceat(self.rows[index[some]].astype(np.float32), begin, axis=0)
 
 
 class Model:
