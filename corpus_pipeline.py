@@ -23,11 +23,13 @@ from flowlab.llm.text import quoted
 from flowlab.llm.toxicity import fit, sample_labelled, score_toxicity
 
 SECRET_MARK = "[SECRET]"
+#: What a worker remembers of spans and pre-tokens: the stages share their workers' memory.
+MEMO = 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(sample_labelled(docs, table(spark, sf_dir, "labels")))
-    return score_toxicity(docs, model).filter("predicted = 0").select(quoted(docs.columns))
+    return score_toxicity(docs, model, MEMO).filter("predicted = 0").select(quoted(docs.columns))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """ids and n_tokens, and whether the ids decode to the text."""
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return encode(docs, ranks, public_tokenizers.PATTERN, check=True).select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
+    return encode(docs, ranks, public_tokenizers.PATTERN, check=True, memo_size=MEMO).select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [

@@ -86,8 +86,8 @@ class PerfectHash:
 class Codec:
     """Encoder and decoder of one vocabulary; sent to the workers as a broadcast."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, pattern
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_size: int | None = None):
+        self.ranks, self.pattern, self.most = ranks, pattern, memo_size or MEMO
         keys = list(ranks)
         hashes = _key_hashes(keys)
         self.perfect = PerfectHash(hashes)
@@ -96,7 +96,7 @@ class Codec:
         self._start()
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("ranks", "pattern", "perfect", "slot_id")}
+        return {k: getattr(self, k) for k in ("ranks", "pattern", "most", "perfect", "slot_id")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -164,7 +164,7 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin (one entry more than texts)."""
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self._forget()
         pieces: list[str] = []
         ends = [0]
@@ -236,18 +236,19 @@ def _digest(codec, columns):
     return run
 
 
-def _share(df: DataFrame, ranks: dict[bytes, int], pattern: str):
-    return df.sparkSession.sparkContext.broadcast(Codec(ranks, pattern))
+def _share(df: DataFrame, ranks: dict[bytes, int], pattern: str, memo_size: int | None = None):
+    return df.sparkSession.sparkContext.broadcast(Codec(ranks, pattern, memo_size))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, check: bool = False, memo_size: int | None = None) -> DataFrame:
     """``docs`` (needs ``text``) with ids (array of int) and n_tokens; columns of these names are replaced.
 
-    With ``check``, the ids are decoded again and ``round_trip`` tells whether they give the text.
+    With ``check``, the ids are decoded again and ``round_trip`` tells whether they give the text.  ``memo_size``:
+    pre-tokens that a worker remembers, for less memory or less time; it changes no result.
     """
     docs = docs.drop(*RESULT, *["round_trip"][:check])
     made = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
-    return docs.mapInArrow(_encode(_share(docs, ranks, pattern), docs.columns, check), T.StructType([*docs.schema.fields, *made[:2 + check]]))
+    return docs.mapInArrow(_encode(_share(docs, ranks, pattern, memo_size), docs.columns, check), T.StructType([*docs.schema.fields, *made[:2 + check]]))
 
 
 def decode(rows: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

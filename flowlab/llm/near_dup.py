@@ -245,7 +245,8 @@ def _sign(size, percent):
             run_ = _runs(sigs)
             begin, counts = run_[:-1], np.diff(run_) - 1
             others = ids[expand(begin + 1, counts)]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(others, pa.int64()))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(others, pa.int64()),
+                                             mask=pa.array(counts == 0))
             yield pa.RecordBatch.from_arrays([pa.array(sigs[begin].astype(np.int64)), pa.array(ids[begin]), lists], ["sig", "h1", "others"])
     return run
 
@@ -306,8 +307,8 @@ def _linked(docs: DataFrame, size: int, percent: int, tables: Tables) -> DataFra
     rows = docs.mapInArrow(_sign(size, percent), "sig long, h1 long, others array<long>")
     by_sig = Window.partitionBy("sig")
     rows = rows.withColumns({"low": F.min("h1").over(by_sig), "high": F.max(F.coalesce(F.get("others", F.size("others") - 1), "h1")).over(by_sig)}).filter("low <> high")
-    members = (rows.select("sig", F.explode(F.concat(F.array("h1"), "others")).alias("h1")).distinct()
-               .join(same.select("h1", F.col("rep").alias("id"), "n", *_SHORT), "h1").select("sig", "id", "n", *_SHORT))
+    members = (rows.select("sig", F.explode(F.concat(F.array("h1"), F.coalesce("others", F.array().cast("array<long>")))).alias("h1")).distinct()
+               .join(same.select("h1", F.col("rep").alias("id")), "h1").select("sig", "id"))
     members = tables.store(members)
     degree = members.groupBy("id").agg(F.count("*").alias("degree"))
     ranked = members.select("sig", "id").join(degree, "id").select("sig", "id", F.struct("degree", (-F.col("id")).alias("minus")).alias("rank"))
@@ -344,7 +345,7 @@ def _linked(docs: DataFrame, size: int, percent: int, tables: Tables) -> DataFra
     def named() -> DataFrame:
         """Members of signatures that reach over components, with these."""
         found = components(links, tables)
-        out = members.join(found, members["id"] == found["node"], "left").select("sig", "id", "n", *_SHORT, F.coalesce("component", "id").alias("component"))
+        out = members.join(found, members["id"] == found["node"], "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
         mixed = out.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("sig")
         return tables.store(out.join(mixed, "sig", "left_semi"))
 
@@ -359,7 +360,8 @@ def _linked(docs: DataFrame, size: int, percent: int, tables: Tables) -> DataFra
 
     now = named()
     main = now.groupBy("sig", "component").count().groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    sides = now.join(main, "sig").withColumn("minor", F.col("component") != F.col("main"))
+    sides = (now.join(main, "sig").select("sig", "id", "component", (F.col("component") != F.col("main")).alias("minor"))
+             .join(same.select(F.col("rep").alias("id"), "n", *_SHORT), "id"))
     x, y = sides.filter("minor").alias("x"), sides.alias("y")
     differ = short[0]
     for s in short[1:]:

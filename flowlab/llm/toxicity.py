@@ -97,15 +97,15 @@ def string_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float
 class Similarity:
     """Similarity of spans to the landmarks; the spans seen last are remembered."""
 
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
+    def __init__(self, landmarks: list[str], memo_size: int | None = None):
+        self.landmarks, self.memo_size = landmarks, memo_size
         self._start()
 
     def __getstate__(self):
-        return {"landmarks": self.landmarks}
+        return {"landmarks": self.landmarks, "memo_size": self.memo_size}
 
     def __setstate__(self, state):
-        self.landmarks = state["landmarks"]
+        self.__dict__.update(state)
         self._start()
 
     def _start(self) -> None:
@@ -157,7 +157,7 @@ class Similarity:
 
     def index(self, spans: list[str]) -> np.ndarray:
         """Row of each span in ``rows``; 0 if it is similar to no landmark."""
-        if len(self.memo) > MEMO:
+        if len(self.memo) > (self.memo_size or MEMO):
             self._forget()
         new = list(set(spans) - self.memo.keys())
         for at in range(0, len(new), 10_000):
@@ -376,9 +376,13 @@ def _score(model, columns):
     return run
 
 
-def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (needs ``text``) with score (0 to 1) and predicted (0 or 1); columns of these names are replaced."""
+def score_toxicity(docs: DataFrame, model: Model, memo_size: int | None = None) -> DataFrame:
+    """``docs`` (needs ``text``) with score (0 to 1) and predicted (0 or 1); columns of these names are replaced.
+
+    ``memo_size``: spans that a worker remembers, for less memory or less time; it changes no score.
+    """
     docs = docs.drop(*RESULT)
+    model.similarity.memo_size = memo_size
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), docs.columns), schema)
 
