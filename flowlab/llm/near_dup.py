@@ -339,7 +339,7 @@ def _linked(docs: DataFrame, size: int, percent: int, tables: Tables) -> DataFra
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ * (100 + percent) <= (100 - percent) * (n + m))
 
     centre = ranked.groupBy("sig").agg((-F.max("rank")["minus"]).alias("other"))
-    tried = one_each(ranked.select("sig", "id").join(centre, "sig").filter("id <> other"))
+    tried = one_each(members.join(centre, "sig").filter("id <> other"))
     links = verify(tried)
 
     def named() -> DataFrame:
@@ -360,8 +360,9 @@ def _linked(docs: DataFrame, size: int, percent: int, tables: Tables) -> DataFra
 
     now = named()
     main = now.groupBy("sig", "component").count().groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    sides = (now.join(main, "sig").select("sig", "id", "component", (F.col("component") != F.col("main")).alias("minor"))
-             .join(same.select(F.col("rep").alias("id"), "n", *_SHORT), "id"))
+    # Sketches first, so that both sides of the join by signature read one shuffle.
+    sides = (now.join(same.select(F.col("rep").alias("id"), "n", *_SHORT), "id").join(main, "sig")
+             .withColumn("minor", F.col("component") != F.col("main")))
     x, y = sides.filter("minor").alias("x"), sides.alias("y")
     differ = short[0]
     for s in short[1:]:
