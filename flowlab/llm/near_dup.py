@@ -50,7 +50,7 @@ from flowlab.llm.text import NON_SPACE, U, Words, expand, groups, mix, shingle_h
 FINE_BELOW = 256
 _N2 = 4
 #: Bits of a long parity sketch, a power of two, and 64-bit words of a short one.
-SKETCH, SHORT = 2048, 4
+SKETCH, SHORT = 8192, 4
 _SHORT = [f"p{i}" for i in range(SHORT)]
 
 
