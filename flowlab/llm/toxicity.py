@@ -6,7 +6,8 @@ t``).  The string kernel compares two spans by the subsequences of ``ORDER``
 characters they share, each weighed by ``DECAY`` to the length it stretches
 over, so gapped and inserted characters lower the similarity only a little.
 A span is compared with a landmark if it holds ``SCREEN`` of the landmark's
-letters, and these are ``OWN`` of its own; else their similarity is 0.  A sentence's similarity to a landmark
+letters; else their similarity is 0.  Of a span with marks inside, the parts
+between them and all its letters joined are compared as well.  A sentence's similarity to a landmark
 is that of its best span; with the landmarks' own kernel matrix this gives
 the Nyström features on which a linear support vector machine is trained.
 
@@ -36,11 +37,12 @@ from pyspark.sql import types as T
 
 from flowlab.llm.text import slices
 
-ORDER, DECAY, SCREEN, OWN = 3, 0.9, 0.8, 0.5
+ORDER, DECAY, SCREEN = 3, 0.9, 0.8
 #: Power of the normalised kernel: higher powers tell similar words apart, lower ones bear more inserted characters.
 POWER = 1.5
-#: Longest landmark, and longest span compared at once; longer spans are compared in windows of a landmark's length that overlap by half.
+#: Longest landmark, and longest span compared at once; longer spans are compared in windows of twice a short, middle and long landmark's length that overlap by half.
 LANDMARK, SPAN = 16, 32
+WINDOWS = (8, 16, 32)
 MEMO = 300_000
 RESULT = ["score", "predicted"]
 
@@ -137,7 +139,7 @@ class Similarity:
             for j in range(len(self.landmarks)):
                 some = np.flatnonzero(np.bitwise_count(masks & self.masks[j]) >= self.kinds[j])
                 shared = np.minimum(bins[some], self.bins[j]).sum(axis=1, dtype=np.int64)
-                some = some[(shared >= self.least[j]) & (shared >= OWN * sizes[some])]
+                some = some[shared >= self.least[j]]
                 rows.append(some)
                 cols.append(np.full(len(some), j))
             rows, cols = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*cols, np.zeros(0, np.int64)])
@@ -171,15 +173,16 @@ class Similarity:
                 continue
             parts = [span]
             if len(joined := _APART.sub("", span)) != len(span):
-                parts.append(joined)
+                parts += [joined, *(x for x in _APART.split(span) if len(x) >= ORDER)]
             for part in parts:
                 if len(part) <= SPAN:
                     pieces.append(part)
                     owner.append(k)
                 else:
-                    cuts = range(0, len(part), LANDMARK // 2)
-                    pieces += [part[c:c + LANDMARK] for c in cuts]
-                    owner += [k] * len(cuts)
+                    for width in WINDOWS:
+                        cuts = range(0, len(part), width // 2)
+                        pieces += [part[c:c + width] for c in cuts]
+                        owner += [k] * len(cuts)
         value = np.zeros((len(new), len(self.landmarks)), dtype=np.float32)
         if pieces and self.landmarks:
             np.maximum.at(value, np.array(owner), self.compare(pieces))

@@ -71,6 +71,13 @@ def test_long_spans_are_compared_whole():
     assert index[0] != 0 and index[1] == 0
 
 
+def test_joined_and_dotted_spans_hide_nothing():
+    similarity = tx.Similarity(["idiot"])
+    spans = ["idiot", "really,idiot", "you.are.such.an.absolute.idiot.so.go.away", "reallyidiot", "qzwvbnmqzwvbnmidiotqzwvbnmqzwvbnmqzwvbnm"]
+    value = similarity.rows[similarity.index(spans)][:, 0] if similarity.index(spans).all() else np.zeros(5)
+    assert (value[:3] > 0.99).all() and (value[3:] > 0.05).all()
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     a, b = tx.Similarity(["nitwit"]), tx.Similarity(["nitwit"])
     words = [f"nitw{i}it" for i in range(50)]
