@@ -5,7 +5,8 @@ credential context (``pwd: ...``, ``passphrase is ...``, ``auth=...``) is cut
 into dictionary words, dates, repeats, keyboard walks and brute-force spans;
 dynamic programming over the value finds the segmentation that is cheapest
 to guess, and a value that needs at least 10 ** ``min_log10`` guesses is a
-span of kind ``guess`` unless it overlaps a base span.
+span of kind ``guess`` unless it lies wholly inside a base span.  Contexts are
+looked for inside values too; a value inside a guess span is part of that.
 
 Spans are in code points, end exclusive, and cover a pattern's whole match.
 Time and memory of the dynamic programme are linear in the value's length.
@@ -32,8 +33,8 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CONTEXT = re.compile(
-    r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[_ -]?key|credentials?|auth|bearer|login)"""
-    r"""["']?(?:\x20*(?::=|=>|[:=])|\x20+(?ai:is))\x20*["']?([^\x00-\x20"'<>]{4,})""")
+    r"""(?P<key>(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[_ -]?key|credentials?|auth|bearer|login))"""
+    r"""["']?(?:\x20*(?::=|=>|[:=])|\x20+(?ai:is))\x20*["']?(?P<value>[^\x00-\x20"'<>]{4,})""")
 
 #: Common parts of passwords, the most common first.
 WORDS = [
@@ -141,12 +142,15 @@ def find_secrets(text: str, words: Iterable[str] = WORDS, min_log10: float = 8.0
     spans += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     taken = sorted(spans)
     ranks = _ranks(tuple(words))
-    for m in _CONTEXT.finditer(text):
-        start, end = m.span(1)
+    at = 0
+    while m := _CONTEXT.search(text, at):
+        at = m.end("key")
+        start, end = m.span("value")
         while end > start and text[end - 1] in ".,;:!?)]}":
             end -= 1
-        if not any(a < end and start < b for a, b, _ in taken) and guess_cost(text[start:end], ranks) >= min_log10:
+        if not any(a <= start and end <= b for a, b, _ in taken) and guess_cost(text[start:end], ranks) >= min_log10:
             spans.append((start, end, "guess"))
+            taken.append(spans[-1])
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -34,6 +34,12 @@ def test_guess_spans():
     assert found("auth=aaaaaaaaaaaaaaaa") == [] and found("login: 12345678") == [] and found("pwd is qwertyuiop") == []
 
 
+def test_no_part_of_a_value_is_left():
+    for text, left in (("password: Tr0ub4!dor&3xQ#9z", "#"), ("login=bob&token=abcdef&pwd=Zk8$q!x9#Lw", "login=#"),
+                       ("login=bob, token=abcdef&pwd=Zk8$q!x9#Lw end", "login=bob, # end"), ("auth=login=password=x7$Kq9!zW", "auth=#")):
+        assert s.redact(text, s.find_secrets(text), "#") == left
+
+
 @pytest.mark.parametrize("value", ["password1", "qwerty12aaa", "abcabc19990101", "x7$Kq9"])
 def test_segmentation_is_whole_and_cheap(value):
     words = s._ranks(tuple(s.WORDS))
