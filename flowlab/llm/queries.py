@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flowlab.llm.bpe import read_ranks, round_trip
 from flowlab.llm.chat import chat_windows, digest_conversations
 from flowlab.llm.decontaminate import mark_contaminated
+from flowlab.llm.html_text import extract_text
 from flowlab.llm.lines import BOILERPLATE, NAVIGATION, PUNCTUATED, clean_lines
 from flowlab.llm import lm_score
 from flowlab.llm.lm_score import score_texts
@@ -171,3 +172,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_shared_passages")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op11_html_text", r"""
+WITH a AS (SELECT row_number() OVER () AS r, page_id, url,
+             regexp_replace(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '\s+', ' ', 'g') AS x FROM pages),
+b AS (SELECT r, page_id, url, regexp_replace(regexp_replace(x, '</?(p|h1)>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS x FROM a),
+c AS (SELECT r, page_id, url, replace(replace(regexp_replace(x, '&amp;?', chr(1), 'g'), '&quot;', '"'), chr(1), '&') AS x FROM b),
+l AS (SELECT r, page_id, url, list_filter(list_transform(string_split(x, chr(10)), lambda y: trim(regexp_replace(y, ' +', ' ', 'g'))), lambda y: y <> '') AS lines FROM c)
+SELECT page_id, url, coalesce(array_to_string(lines, chr(10)), '') AS text, length(coalesce(array_to_string(lines, chr(10)), ''))::BIGINT AS n_chars FROM l
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
