@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowlab.llm.bpe import read_ranks, round_trip
 from flowlab.llm.chat import chat_windows, digest_conversations
@@ -14,6 +15,7 @@ from flowlab.llm.html_text import extract_text
 from flowlab.llm.lines import BOILERPLATE, NAVIGATION, PUNCTUATED, clean_lines
 from flowlab.llm import lm_score
 from flowlab.llm.lm_score import score_texts
+from flowlab.llm.merkle import fold, merkle_paths, proof_digest, record_digest
 from flowlab.llm.near_dup import link_documents
 from flowlab.llm.passages import shared_passages
 from flowlab.llm.secrets import digest_secrets
@@ -184,3 +186,63 @@ SELECT page_id, url, coalesce(array_to_string(lines, chr(10)), '') AS text, leng
 """)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+#: CRC-32 of a text in SQL: its table, and the loop over the text's bytes (hex digits of UTF-8).
+_CRC_TABLE = """crc_table AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS entry
+    FROM (SELECT unnest(range(256)) AS n))"""
+
+
+def _crc32_sql(text: str) -> str:
+    octets = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::INT, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, entry[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+#: The fields of a leaf, in order.
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def _leaf_sql(fields: list[str]) -> str:
+    texts = [f"coalesce(strlen(({f})::VARCHAR) || ':' || ({f})::VARCHAR, '-')" for f in fields]
+    return f"sha256({' || '.join(texts)})"
+
+
+@query("op12_merkle", f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('+' || lang, '') AS g, {_leaf_sql(LEAF_FIELDS)} AS leaf,
+        CASE WHEN {_crc32_sql("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf_sql(["n_chars + 1" if f == "n_chars" else f for f in LEAF_FIELDS])} END AS tampered
+      FROM documents, crc_table),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, count(*) OVER (PARTITION BY g) AS m FROM d),
+node(level, g, i, m, h) AS (
+  SELECT 0, g, i, m, leaf FROM l
+  UNION ALL
+  SELECT level + 1, g, i // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE m > 1 GROUP BY level, g, i // 2, m),
+sub AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS m FROM node WHERE m = 1),
+top(level, i, m, h) AS (
+  SELECT 0, i, m, h FROM sub
+  UNION ALL
+  SELECT level + 1, i // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE m > 1 GROUP BY level, i // 2, m),
+tall AS (SELECT g, max(level) AS height FROM node GROUP BY g),
+climb(r, g, level, i, m, h, proof) AS (
+  SELECT r, g, 0, i, m, coalesce(tampered, leaf), '' FROM l
+  UNION ALL
+  SELECT c.r, c.g, c.level + 1, c.i // 2, (c.m + 1) // 2, sha256(CASE WHEN c.i % 2 = 1 THEN s.h || c.h ELSE c.h || coalesce(s.h, '') END), c.proof || coalesce(s.h, '')
+  FROM climb c LEFT JOIN node s ON s.level = c.level AND s.g = c.g AND s.i = xor(c.i, 1) WHERE c.m > 1),
+climb_top(r, level, i, m, h, proof) AS (
+  SELECT c.r, 0, sub.i, sub.m, c.h, c.proof FROM climb c JOIN sub ON sub.g = c.g WHERE c.m = 1
+  UNION ALL
+  SELECT c.r, c.level + 1, c.i // 2, (c.m + 1) // 2, sha256(CASE WHEN c.i % 2 = 1 THEN s.h || c.h ELSE c.h || coalesce(s.h, '') END), c.proof || coalesce(s.h, '')
+  FROM climb_top c LEFT JOIN top s ON s.level = c.level AND s.i = xor(c.i, 1) WHERE c.m > 1)
+SELECT l.doc_id, l.leaf, sub.h AS subroot, t.h AS root, sha256(p.proof) AS proof_sha256, p.h AS folded_root, p.h = t.h AS verified
+FROM l JOIN sub ON sub.g = l.g JOIN climb_top p ON p.r = l.r AND p.m = 1, (SELECT h FROM top WHERE m = 1) t
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = {f: F.col(f) for f in LEAF_FIELDS}
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(changed, record_digest(*(fields | {"n_chars": F.col("n_chars") + 1}).values()))
+    leaves = docs.select("doc_id", "lang", record_digest(*fields.values()).alias("original"), tampered.alias("tampered"))
+    paths = merkle_paths(leaves, F.col("original"), "lang", "doc_id")
+    folded = fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    return (paths.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
