@@ -12,6 +12,7 @@ from flowlab.llm.bpe import read_ranks, round_trip
 from flowlab.llm.chat import chat_windows, digest_conversations
 from flowlab.llm.decontaminate import mark_contaminated
 from flowlab.llm.html_text import extract_text
+from flowlab.llm.importance import resample
 from flowlab.llm.lines import BOILERPLATE, NAVIGATION, PUNCTUATED, clean_lines
 from flowlab.llm import lm_score
 from flowlab.llm.lm_score import score_texts
@@ -246,3 +247,25 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = fold(F.coalesce("tampered", "leaf"), F.col("path"))
     return (paths.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
             .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+@query("op13_importance", rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+fd AS (SELECT r, unnest(w) AS word FROM d),
+fb AS (SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+vocab AS (SELECT word, {_crc32_sql("word")} % 10000 AS bucket FROM (SELECT word FROM fd UNION SELECT word FROM fb), crc_table),
+s AS (SELECT bucket, count(*) AS s FROM fd JOIN vocab USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM fb JOIN vocab USING (word) GROUP BY bucket),
+a AS (SELECT (SELECT count(*) FROM fd) AS s_all, (SELECT count(*) FROM fb) AS t_all),
+gain AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (s_all + 10000))::DOUBLE / ((s + 1) * (t_all + 10000))::DOUBLE))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), a),
+w AS (SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM fd JOIN vocab USING (word) JOIN gain USING (bucket) GROUP BY r),
+h AS (SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+        ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (r)),
+g AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM h),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n FROM g WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM g LEFT JOIN k USING (r)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
