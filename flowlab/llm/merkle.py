@@ -72,7 +72,7 @@ def merkle_paths(rows: DataFrame, leaf: Column, group: str, order: str, levels:
     joined = _tree(tables, packed, levels)
     subroots = joined[-1].select("g", F.col("node").alias("subroot"))
     above = _tree(tables, subroots.select(F.lit("").alias("g"), F.col("g").alias("k"), F.col("subroot").alias("node")), levels)
-    root = above[-1].select(F.lit("").alias("g"), F.col("node").alias("root"))
+    root = above[-1].select("g", F.col("node").alias("root"))
     tops = _paths(above, root.withColumn("path", F.expr("CAST(array() AS array<struct<sibling:string,right:boolean>>)")), ["root"], levels)
     tops = tables.store(tops.select(F.col("k").alias("g"), F.col("node").alias("subroot"), "root", "path"), rows=None)
     out = _paths(joined, tops, ["subroot", "root"], levels)
