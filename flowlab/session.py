@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +62,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss), never localCheckpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read again: cuts lineage, survives lost executors."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/flowlab-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes what ``store`` wrote; frames that still read it fail from now on."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
