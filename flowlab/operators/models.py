@@ -12,8 +12,7 @@ import time
 from dataclasses import dataclass
 
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       MultilayerPerceptronClassifier, OneVsRest,
-                                       RandomForestClassifier)
+                                       MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import PCA, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 
 from flowlab.functions.columns import balanced_weights
 from flowlab.operators import evaluate as E
+from flowlab.operators.boosting import SoftmaxBooster
 from flowlab.operators.sample import row_hash, stratified_folds, stratified_split
 from flowlab.session import cut_lineage
 
@@ -89,15 +89,13 @@ def random_forest(trees: int = 120, depth: int = 18, min_leaf: int = 3, balanced
 
 
 def boosting(k: int, rounds: int = 120, step: float = 0.08, depth: int = 5, balanced: bool = True,
-             seed: int = 42):
+             seed: int = 42, leaves: int = 31):
+    """Two classes: MLlib's boosted trees of ``depth``; more: one softmax model of best-first trees with ``leaves``."""
+    if k > 2:
+        return SoftmaxBooster(k, rounds, step, leaves, weight="weight" if balanced else None)
     gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, stepSize=step,
                         maxDepth=depth, seed=seed)
-    if balanced:
-        gbt.setWeightCol("weight")
-    if k == 2:
-        return gbt
-    ovr = OneVsRest(classifier=gbt, featuresCol="features", labelCol="label")
-    return ovr.setWeightCol("weight") if balanced else ovr
+    return gbt.setWeightCol("weight") if balanced else gbt
 
 
 def mlp(n_features: int, k: int, hidden: tuple[int, ...] = (128, 64), seed: int = 42, max_iter: int = 100):

@@ -128,7 +128,7 @@ def m06_boosting(spark, sf):
     d = embed_data(spark, sf, binary=True)
     two = M.zoo(d, [("GBT", "balanced_120", M.boosting(2, 120, 0.08, 5, True))]).withColumn("level", F.lit("binary"))
     d = nsl_data(spark, sf)
-    return _rows(two.unionByName(M.zoo(d, [("GBT_one_vs_rest", "balanced_10", M.boosting(5, 10, 0.2, 4, True))]).withColumn("level", F.lit("family"))))
+    return _rows(two.unionByName(M.zoo(d, [("SoftmaxBoosting", "balanced_120", M.boosting(5, 120, 0.08))]).withColumn("level", F.lit("family"))))
 
 
 @query("m07_mlp")
