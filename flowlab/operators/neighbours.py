@@ -1,14 +1,22 @@
 """Exact k-nearest neighbours, a k-NN classifier and local outlier factor.
 
-The reference rows are dealt to cells, by the nearest of at most ``SAMPLE``
-of its own rows; a cell has a radius and is cut into blocks of about
-``block_rows`` rows, each one packed row.  A query's distance to its k-th
-nearest sampled row bounds its k-th neighbour's distance from above, so it
-visits just the cells that may hold a row as near (distance to the centre
-less the radius), ties included.  Queries that visit a cell travel packed,
-meet its blocks in an equi-join, and keep their k nearest rows of each block;
-a per-query top-k merges these.  No task holds more than a block and a batch
-of queries; the driver holds the sample and one row per cell.
+Of reference rows with one vector only the k of least id can be neighbours;
+the others are left out first (a partial top-k before the shuffle).  A
+reference of at most ``broadcast_bytes``, as counted, is sent to every task.
+
+A larger one is cut twice.  Rows are dealt to cells by the nearest of at most
+``SAMPLE`` of them, one a ``block_rows`` rows; a cell is cut into rings by the
+distance to its centre, and a ring with more rows than ``block_rows`` into
+parts.  So blocks grow in number, not in size, with the reference.  A query
+first meets the block at its own place, which gives a bound for its k-th
+neighbour; a centre's distance less a ring's radius bounds how near a block's
+rows can be, and the query visits just the blocks that may hold one as near
+as its bound, ties included.  Queries travel in batches, a row a batch and
+block, and blocks that many queries visit are copied, so that no task gets
+more than ``VISITS`` queries of a block.  ``probes`` makes the join
+approximate: a query visits the blocks of just that many rings, by their
+bound and the distance of their cell's centre.  The
+driver holds the sample and one row a block.
 """
 
 from __future__ import annotations
@@ -18,9 +26,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlab.session import store
+
 BLOCK_ROWS = 5_000
 SAMPLE = 1024
+#: Reference vectors up to this size are sent to every task.
+BROADCAST_BYTES = 32 << 20
+#: Queries of one task at one block, and queries in one row.
+VISITS, BATCH = 200_000, 500
 LOF_EPS = 1e-10
+_FOUND = "query_id long, neighbor_id long, distance double"
 
 
 def _distances(x: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -52,8 +67,9 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def knn(queries: DataFrame, reference: DataFrame, k: int, qid: str = "id", rid: str = "id",
-        vec: str = "embedding", exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, neighbor_id, rank, distance): the k nearest reference rows of every
+        vec: str = "embedding", exclude_self: bool = False, block_rows: int = BLOCK_ROWS,
+        probes: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(query_id, neighbor_id, distance, rank): the k nearest reference rows of every
     query row by Euclidean distance, ties broken by neighbour id.
 
     ``exclude_self`` drops the reference row whose id equals the query id
@@ -63,14 +79,47 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, qid: str = "id", rid:
     def ready(df, key):
         return df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("id is not null and v is not null")
 
-    q, ref = ready(queries, qid), ready(reference, rid)
-    sample = ref.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    none = "query_id long, neighbor_id long, distance double, rank int"
-    if not sample:
-        return queries.sparkSession.createDataFrame([], none)
-    sample_ids = np.array([r.id for r in sample], dtype=np.int64)
+    spark, take = queries.sparkSession, k + int(exclude_self)
+    same = Window.partitionBy("hash", "v").orderBy("id")
+    ref = (ready(reference, rid).withColumn("hash", F.xxhash64("v")).withColumn("nth", F.row_number().over(same))
+           .where(F.col("nth") <= take).select("id", "v"))
+    q = ready(queries, qid)
+    size = ref.agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("values")).first()
+    if not size.n:
+        return spark.createDataFrame([], _FOUND + ", rank int")
+    if 8 * size["values"] <= broadcast_bytes:
+        found = _meet_all(q, ref, take)
+    else:
+        found = _meet_blocks(q, ref, size.n, take, block_rows, probes)
+    if exclude_self:
+        found = found.where(F.col("query_id") != F.col("neighbor_id"))
+    w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _meet_all(q: DataFrame, ref: DataFrame, take: int) -> DataFrame:
+    """Every query against the whole of a small reference."""
+    rows = ref.collect()  # at most broadcast_bytes of vectors, as counted
+    context = q.sparkSession.sparkContext
+    shared = context.broadcast((np.array([r.id for r in rows], dtype=np.int64), np.array([r.v for r in rows], dtype=np.float64)))
+    step = max(1, 4_000_000 // len(rows))
+
+    def meet(it):
+        ids, m = shared.value
+        for pdf in it:
+            for at in range(0, len(pdf), step):
+                some = pdf.iloc[at:at + step]
+                a, b, d = _nearest(_matrix(some["v"]), ids, m, take)
+                yield pd.DataFrame({"query_id": some["id"].to_numpy()[a], "neighbor_id": b, "distance": d})
+
+    few = q.rdd.getNumPartitions() < context.defaultParallelism
+    return (q.repartition(context.defaultParallelism) if few else q).mapInPandas(meet, _FOUND)
+
+
+def _meet_blocks(q: DataFrame, ref: DataFrame, n: int, take: int, block_rows: int, probes: int | None) -> DataFrame:
+    """Every query against the blocks that may hold one of its neighbours."""
+    sample = ref.orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, max(1, n // block_rows))).collect()
     centres = np.array([r.v for r in sample], dtype=np.float64)
-    extra = 1 if exclude_self else 0
 
     def deal(it):
         for pdf in it:
@@ -79,48 +128,99 @@ def knn(queries: DataFrame, reference: DataFrame, k: int, qid: str = "id", rid:
                 cell = d.argmin(axis=1)
                 yield pd.DataFrame({"cell": cell, "far": d[np.arange(len(cell)), cell], "id": pdf["id"], "v": pdf["v"]})
 
-    dealt = ref.mapInPandas(deal, "cell int, far double, id long, v array<double>")
-    cells = {r.cell: (r.n, r.far) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
-    blocks = np.array([max(1, -(-cells.get(c, (0, 0))[0] // block_rows)) for c in range(len(centres))])
-    radius = np.array([cells.get(c, (0, -np.inf))[1] for c in range(len(centres))])
-    parts = F.array(*[F.lit(int(b)) for b in blocks])
-    packed = (dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.get(parts, F.col("cell"))).cast("int"))
-              .groupBy("cell", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-              .select("cell", "block", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat")))
+    dealt = store(ref.mapInPandas(deal, "cell int, far double, id long, v array<double>"))
+    marks = [i / 1000 for i in range(1, 1000)]
+    cells = {r.cell: r for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("far", marks, 10_000).alias("far")).collect()}
+    rings = {c: np.unique(np.array(r.far)[np.unique(np.linspace(0, 998, min(999, -(-r.n // block_rows)) + 1).astype(int)[1:-1])]) for c, r in cells.items()}
+
+    def cut(it):
+        for pdf in it:
+            ring = np.zeros(len(pdf), dtype=np.int64)
+            for c in pdf["cell"].unique():
+                at = np.flatnonzero(pdf["cell"] == c)
+                ring[at] = np.searchsorted(rings[c], pdf["far"].to_numpy()[at], side="left")
+            yield pdf.assign(ring=ring)
+
+    cut_ = dealt.mapInPandas(cut, "cell int, far double, id long, v array<double>, ring int")
+    counts = cut_.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi"))
+    counts = store(counts.withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int")))
+    packed = (cut_.join(F.broadcast(counts.select("cell", "ring", "parts")), ["cell", "ring"])  # a row a ring
+              .withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+              .groupBy("cell", "ring", "part").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+              .select("cell", "ring", "part", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat")))
+    packed = store(packed)
+    meta = counts.orderBy("cell", "ring").collect()  # a row a ring
+    of, ring, parts = (np.array([r[c] for r in meta]) for c in ("cell", "ring", "parts"))
+    low, high = (np.array([r[c] for r in meta]) for c in ("lo", "hi"))
+
+    def bounds(x):
+        """How near a row of each ring can be, at least."""
+        d = _distances(x, centres)[:, of]
+        return np.maximum(np.maximum(d - high, low - d), 0), d
+
+    def batches(pdf):
+        for at in range(0, len(pdf), BATCH):
+            yield pdf.iloc[at:at + BATCH]
+
+    def rows_of(fits, own, x, every_part):
+        for j in np.flatnonzero(fits.any(axis=0)):
+            some = np.flatnonzero(fits[:, j])
+            for part in range(parts[j] if every_part else 1):
+                yield {"cell": of[j], "ring": ring[j], "part": part, "own": own[some], "x": x[some].ravel()}
+
+    def home(it):
+        for pdf in it:
+            for some in batches(pdf):
+                x, own = _matrix(some["v"]), some["id"].to_numpy()
+                near, _ = bounds(x)
+                fits = np.zeros(near.shape, dtype=bool)
+                fits[np.arange(len(x)), near.argmin(axis=1)] = True
+                yield pd.DataFrame(list(rows_of(fits, own, x, False)))
+
+    def first_bound(own, x, ids, m):
+        if len(ids) >= take:
+            d = np.partition(_distances(x, m), take - 1, axis=1)[:, take - 1] + 2 * _slack(x, m)
+            yield pd.DataFrame({"id": own, "bound": d})
 
     def visit(it):
         for pdf in it:
-            for at in range(0, len(pdf), 2000):
-                some = pdf.iloc[at:at + 2000]
-                if not len(some):
-                    continue
+            for some in batches(pdf):
                 x, own = _matrix(some["v"]), some["id"].to_numpy()
-                d = _distances(x, centres)
-                slack = _slack(x, centres)
-                near = np.where(sample_ids[None, :] == own[:, None], np.inf, d) if exclude_self else d
-                bound = np.partition(near, k - 1, axis=1)[:, k - 1] if k <= len(sample_ids) else np.full(len(x), np.inf)
-                fits = d - radius[None, :] <= bound[:, None] + 4 * slack
-                for c in np.flatnonzero(fits.any(axis=0)):
-                    if c in cells:
-                        rows = np.flatnonzero(fits[:, c])
-                        n = int(blocks[c])
-                        yield pd.DataFrame({"cell": [int(c)] * n, "block": list(range(n)), "own": [own[rows]] * n, "x": [x[rows].ravel()] * n})
+                near, centre = bounds(x)
+                if probes:
+                    order = np.argsort(near + centre, axis=1, kind="stable")[:, :probes]
+                    fits = np.zeros(near.shape, dtype=bool)
+                    np.put_along_axis(fits, order, True, axis=1)
+                else:
+                    fits = near <= some["bound"].fillna(np.inf).to_numpy()[:, None] + 4 * _slack(x, centres)
+                yield pd.DataFrame(list(rows_of(fits, own, x, True)))
+
+    def nearest(own, x, ids, m):
+        a, b, d = _nearest(x, ids, m, take)
+        yield pd.DataFrame({"query_id": own[a], "neighbor_id": b, "distance": d})
+
+    trip = "cell int, ring int, part int, own array<long>, x array<double>"
+    if not probes:
+        bound = _visit(q.mapInPandas(home, trip), packed, first_bound, "id long, bound double").groupBy("id").agg(F.min("bound").alias("bound"))
+        q = q.join(bound, "id", "left")
+    return _visit(q.mapInPandas(visit, trip), packed, nearest, _FOUND)
+
+
+def _visit(trips: DataFrame, packed: DataFrame, kernel, schema: str) -> DataFrame:
+    """``kernel`` on every batch of queries and the block it visits; a block with many visits is copied."""
+    key = ["cell", "ring", "part"]
+    trips = store(trips)
+    copies = store(trips.groupBy(*key).agg(F.ceil(F.sum(F.size("own")) / VISITS).cast("int").alias("copies")))  # a row a block
+    spread = trips.join(F.broadcast(copies), key).withColumn("copy", F.pmod(F.xxhash64(F.element_at("own", 1)), "copies").cast("int")).drop("copies")
+    copied = packed.join(F.broadcast(copies), key).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
 
     def meet(it):
         for pdf in it:
             for own, x, ids, flat in zip(pdf["own"], pdf["x"], pdf["ids"], pdf["flat"], strict=True):
                 own, ids = np.asarray(own), np.asarray(ids)
-                x, m = np.asarray(x).reshape(len(own), -1), np.asarray(flat).reshape(len(ids), -1)
-                for at in range(0, len(own), 500):
-                    a, b, d = _nearest(x[at:at + 500], ids, m, k + extra)
-                    yield pd.DataFrame({"query_id": own[at:at + 500][a], "neighbor_id": b, "distance": d})
+                yield from kernel(own, np.asarray(x).reshape(len(own), -1), ids, np.asarray(flat).reshape(len(ids), -1))
 
-    met = (q.mapInPandas(visit, "cell int, block int, own array<long>, x array<double>").join(packed, ["cell", "block"])
-           .select("own", "x", "ids", "flat").mapInPandas(meet, "query_id long, neighbor_id long, distance double"))
-    if exclude_self:
-        met = met.where(F.col("query_id") != F.col("neighbor_id"))
-    w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return spread.join(copied, [*key, "copy"]).select("own", "x", "ids", "flat").mapInPandas(meet, schema)
 
 
 def knn_classify(train: DataFrame, queries: DataFrame, k: int = 5, qid: str = "id", rid: str = "id",

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from flowlab.operators import neighbours as N
 from flowlab.operators.neighbours import knn
 
 
@@ -35,8 +36,29 @@ def test_equals_brute_force(spark, exclude):
     x = np.vstack([rng.normal(size=(1500, 4)), np.repeat(rng.normal(size=(10, 4)), 60, axis=0)])
     ids = rng.permutation(len(x))
     q = x[:200]
-    rows = knn(frame(spark, ids[:200], q), frame(spark, ids, x).repartition(7), 7, exclude_self=exclude, block_rows=50)
-    assert got(rows) == brute(ids[:200], q, ids, x, 7, exclude)
+    for size in (0, 1 << 25):
+        rows = knn(frame(spark, ids[:200], q), frame(spark, ids, x).repartition(7), 7, exclude_self=exclude, block_rows=50, broadcast_bytes=size)
+        assert got(rows) == brute(ids[:200], q, ids, x, 7, exclude)
+
+
+def test_rows_at_one_distance_and_hot_blocks(spark, monkeypatch):
+    """One-hot vectors: every row of a cell is in one ring, which is cut into parts; visits are split over copies."""
+    monkeypatch.setattr(N, "VISITS", 20)
+    monkeypatch.setattr(N, "BATCH", 8)
+    x = np.vstack([np.eye(120), np.zeros((40, 120))])
+    ids = np.arange(len(x))
+    rows = knn(frame(spark, ids, x), frame(spark, ids, x), 3, block_rows=25, broadcast_bytes=0, exclude_self=True)
+    assert got(rows) == brute(ids, x, ids, x, 3, True)
+
+
+def test_recall_of_probes(spark):
+    """Five of some forty blocks: at least 0.95 of the neighbours in clustered rows."""
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(30, 8)) * 6)[rng.integers(0, 30, 2000)] + rng.normal(size=(2000, 8))
+    ids = np.arange(2000)
+    want = brute(ids[:300], x[:300], ids, x, 5)
+    found = got(knn(frame(spark, ids[:300], x[:300]), frame(spark, ids, x), 5, block_rows=50, broadcast_bytes=0, probes=5))
+    assert np.mean([len(set(found[i]) & set(want[i])) / 5 for i in want]) >= 0.95
 
 
 def test_fewer_rows_than_k_and_empty_reference(spark):
