@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from flowlab.functions.columns import balanced_weights
 from flowlab.operators import evaluate as E
 from flowlab.operators.boosting import SoftmaxBooster
+from flowlab.operators.forest import Forest
 from flowlab.operators.sample import row_hash, stratified_folds, stratified_split
 from flowlab.session import cut_lineage
 
@@ -77,17 +78,26 @@ def decision_tree(balanced: bool = True, depth: int = 18, min_leaf: int = 3, see
 
 
 def random_forest(trees: int = 120, depth: int = 18, min_leaf: int = 3, balanced: bool = True,
-                  seed: int = 42, bootstrap: bool = True):
-    """Random forest; ``bootstrap=False`` is the extra-trees approximation (no random cut points)."""
+                  seed: int = 42):
     # deep trees have many nodes per level: bigger node batches (fewer passes over the
     # data) and cached node ids instead of re-walking every tree for every row
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees,
                                 maxDepth=min(depth, 30), minInstancesPerNode=min_leaf,
-                                featureSubsetStrategy="sqrt", seed=seed, bootstrap=bootstrap,
+                                featureSubsetStrategy="sqrt", seed=seed,
                                 maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
     return rf.setWeightCol("weight") if balanced else rf
 
 
+def extra_trees(k: int, trees: int = 120, depth: int = 18, min_leaf: int = 3, balanced: bool = True, seed: int = 42) -> Forest:
+    """One random cut a node and drawn feature, on all rows."""
+    return Forest(k, trees, depth, min_leaf, "extra", weights="balanced" if balanced else None, seed=seed)
+
+
+def subsample_forest(k: int, trees: int = 120, depth: int = 18, min_leaf: int = 3, seed: int = 42) -> Forest:
+    """Bootstrap forest whose class weights are those of each tree's own sample."""
+    return Forest(k, trees, depth, min_leaf, "best", bootstrap=True, weights="balanced_subsample", seed=seed)
+
+
 def boosting(k: int, rounds: int = 120, step: float = 0.08, depth: int = 5, balanced: bool = True,
              seed: int = 42, leaves: int = 31):
     """Two classes: MLlib's boosted trees of ``depth``; more: one softmax model of best-first trees with ``leaves``."""

@@ -114,13 +114,14 @@ def m03_decision_tree(spark, sf):
 @query("m04_random_forest")
 def m04_random_forest(spark, sf):
     d = embed_data(spark, sf)
-    return _rows(M.zoo(d, [("RandomForest", "balanced_120", M.random_forest(120, 18, 3, True))]))
+    return _rows(M.zoo(d, [("RandomForest", "balanced_120", M.random_forest(120, 18, 3, True)),
+                           ("RandomForest", "balanced_subsample_120", M.subsample_forest(10, 120, 18, 3))]))
 
 
 @query("m05_extra_trees")
 def m05_extra_trees(spark, sf):
     d = embed_data(spark, sf)
-    return _rows(M.zoo(d, [("ExtraTrees", "no_bootstrap_120", M.random_forest(120, 18, 3, True, bootstrap=False))]))
+    return _rows(M.zoo(d, [("ExtraTrees", "balanced_120", M.extra_trees(10, 120, 18, 3))]))
 
 
 @query("m06_boosting")
@@ -360,7 +361,7 @@ def m22_model_zoo(spark, sf):
         tr = d.train
         dummy = M.evaluate_row(M.Dummy("most_frequent").fit(tr).transform(d.test), d.classes, method="DummyClassifier", variant="most_frequent")
         specs = [("LogReg", "l2_C1_balanced", M.logistic(tr, 1.0, True)), ("DecisionTree", "balanced_depth18", M.decision_tree(True)),
-                 ("RandomForest", "balanced_30", M.random_forest(30, 12, 3, True)), ("ExtraTrees", "balanced_30", M.random_forest(30, 12, 3, True, bootstrap=False)),
+                 ("RandomForest", "balanced_30", M.random_forest(30, 12, 3, True)), ("ExtraTrees", "balanced_30", M.extra_trees(len(d.classes), 30, 12, 3)),
                  ("GBT", "balanced_10", M.boosting(len(d.classes), 10, 0.2, 4, True))]
         out += [x.withColumn("level", F.lit(level)) for x in (dummy.withColumn("train_seconds", F.lit(0.0)), M.zoo(d, specs))]
     return _rows(_union(out))
@@ -421,7 +422,7 @@ def m26_seed_stability(spark, sf):
     for level, d in _levels(spark, sf):
         n = len(d.names)
         for seed in range(5):
-            for name, est in (("RandomForest", M.random_forest(10, 8, 3, True, seed=seed)), ("ExtraTrees", M.random_forest(10, 8, 3, True, seed=seed, bootstrap=False)),
+            for name, est in (("RandomForest", M.random_forest(10, 8, 3, True, seed=seed)), ("ExtraTrees", M.extra_trees(len(d.classes), 10, 8, 3, seed=seed)),
                               ("DecisionTree", M.decision_tree(True, 8, 3, seed=seed)), ("MLP", M.mlp(n, len(d.classes), (16,), seed=seed, max_iter=20))):
                 pred, _ = M.fit_predict(est, d.train, d.test)
                 runs.append(M.evaluate_row(pred, d.classes, model=name, scheme=level, seed=seed).select("model", "scheme", "seed", "macro_f1", "accuracy").first())
