@@ -24,6 +24,7 @@ from flowlab.functions.columns import balanced_weights
 from flowlab.operators import evaluate as E
 from flowlab.operators.boosting import SoftmaxBooster
 from flowlab.operators.forest import Forest
+from flowlab.operators.net import WeightedNet
 from flowlab.operators.sample import row_hash, stratified_folds, stratified_split
 from flowlab.session import cut_lineage
 
@@ -113,11 +114,9 @@ def mlp(n_features: int, k: int, hidden: tuple[int, ...] = (128, 64), seed: int
                                           layers=[n_features, *hidden, k], seed=seed, maxIter=max_iter)
 
 
-def replicate_by_weight(df: DataFrame, weight: str = "weight") -> DataFrame:
-    """For estimators without weightCol (MLP): each row repeated round(w / min w) times."""
-    mn = df.agg(F.min(weight)).first()[0] or 1.0
-    reps = F.greatest(F.lit(1), F.round(F.col(weight) / F.lit(mn)).cast("int"))
-    return df.withColumn("_rep", F.explode(F.sequence(F.lit(1), reps))).drop("_rep")
+def weighted_mlp(k: int, hidden: tuple[int, ...] = (128, 64), seed: int = 42, max_iter: int = 100) -> WeightedNet:
+    """MLlib's net has no weights: this one multiplies each row's loss by its class weight."""
+    return WeightedNet(k, hidden, max_iter, weight="weight", seed=seed)
 
 
 class Dummy:

@@ -139,8 +139,8 @@ def m07_mlp(spark, sf):
     plain = M.mlp(n, 10, (128, 64))
     pred, _ = M.fit_predict(plain, d.train, d.test)
     a = M.evaluate_row(pred, d.classes, method="MLP", variant="unweighted")
-    pred_w, _ = M.fit_predict(M.mlp(n, 10, (128, 64)), M.replicate_by_weight(d.train), d.test)
-    b = M.evaluate_row(pred_w, d.classes, method="MLP", variant="weighted_by_replication")
+    pred_w, _ = M.fit_predict(M.weighted_mlp(10, (128, 64)), d.train, d.test)
+    b = M.evaluate_row(pred_w, d.classes, method="MLP", variant="weighted")
     return _rows(a.unionByName(b))
 
 
@@ -438,9 +438,8 @@ def m27_weighted_contrast(spark, sf):
         ("LogReg", lambda b: M.logistic(tr, 1.0, b)), ("RandomForest", lambda b: M.random_forest(30, 10, 3, b)),
         ("GBT", lambda b: M.boosting(2, 10, 0.2, 4, b))) for variant, balanced in (("unweighted", False), ("balanced", True))]
     n = len(d.names)
-    mlp = [M.evaluate_row(M.fit_predict(M.mlp(n, 2, (16,), max_iter=30), rows, d.test)[0], d.classes, method="MLP", variant=variant)
-           .withColumn("train_seconds", F.lit(None).cast("double")) for variant, rows in (("unweighted", tr), ("balanced", M.replicate_by_weight(tr)))]
-    return _rows(_union([M.zoo(d, specs), *mlp]))
+    specs += [("MLP", "unweighted", M.mlp(n, 2, (128, 64))), ("MLP", "balanced", M.weighted_mlp(2, (128, 64)))]
+    return _rows(M.zoo(d, specs))
 
 
 @query("m28_multi_test")
