@@ -1,4 +1,4 @@
-"""Registered streaming queries (R01-R03): online models over a file stream of event chunks."""
+"""Registered streaming queries (R01-R03): online models over a stream of event chunks."""
 
 from __future__ import annotations
 
@@ -23,21 +23,15 @@ def _stream_setup(spark, sf):
     train = z.where(F.col("split") == "train")
     w = {int(r["binary_label"]): float(r["weight"])
          for r in balanced_weights(train, "binary_label", 2).collect()}  # two rows
-    root = scratch_path(spark, "stream-src")
-    n_chunks = ON.write_chunks(chunk_ids(train, "row_key", CHUNK_ROWS).drop("split", "attack_family"),
-                               "chunk_id", root)
-    schema = spark.read.parquet(f"{root}/chunk_*").schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .parquet(f"{root}/chunk_*"))
-    return z.where(F.col("split") == "test"), stream, w, n_chunks
+    chunks = ON.write_chunks(chunk_ids(train, "row_key", CHUNK_ROWS).drop("split", "attack_family"), "chunk_id", scratch_path(spark, "stream-src"))
+    return z.where(F.col("split") == "test"), chunks, w
 
 
 def _run(spark, sf, method, name):
-    test, stream, w, n_chunks = _stream_setup(spark, sf)
-    st = ON.run_online(stream.select(*EVENT_NUMERIC, "binary_label"), EVENT_NUMERIC, "binary_label",
-                       method, w, scratch_path(spark, name).rsplit("/", 1)[-1])
+    test, chunks, w = _stream_setup(spark, sf)
+    st = ON.run_online(chunks.stream(), EVENT_NUMERIC, "binary_label", method, w, scratch_path(spark, name).rsplit("/", 1)[-1], chunks=chunks)
     pred = ON.predict(test, st.w, EVENT_NUMERIC)
-    return pred, st, n_chunks
+    return pred, st, chunks.n
 
 
 def _summary(pred, st, n_chunks, model):

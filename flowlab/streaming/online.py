@@ -1,7 +1,9 @@
 """Online (chunked) linear models on Structured Streaming.
 
-Rows arrive as micro-batches of a streaming DataFrame; ``foreachBatch``
-turns each batch into distributed work:
+Rows arrive as micro-batches of a streaming DataFrame, or a stream of chunk
+numbers says which chunk of a stored table comes next (the table is dealt to
+its chunks in one write).  ``foreachBatch`` turns each batch into distributed
+work:
 
 * log-loss model: a few full-batch gradient steps per micro-batch, each one
   aggregation (``avg((p − y)·w_y·x)``) — the driver only sees d+1 numbers;
@@ -19,12 +21,14 @@ after failure) is skipped instead of being applied twice.
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from flowlab.session import checkpoint_dir
 
@@ -115,16 +119,19 @@ def pa_mix(batch: DataFrame, w: np.ndarray, features: list[str], y: str,
 
 def run_online(stream: DataFrame, features: list[str], y: str, method: str,
                class_weight: dict[int, float], name: str, lr: float = 0.5, steps: int = 10,
-               alpha: float = 1e-4, c: float = 1.0) -> ModelState:
-    """Drain ``stream`` (trigger availableNow) through an online model; returns the final state."""
+               alpha: float = 1e-4, c: float = 1.0, chunks: "Chunks | None" = None) -> ModelState:
+    """Drain ``stream`` through an online model; returns the final state.
+
+    With ``chunks``, the stream's batches stand for the chunks of that table in order, and it ends with the last one.
+    """
     spark = stream.sparkSession
     root = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
     state = ModelState(spark, f"{root}/state", len(features))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= state.last_batch:
+        if batch_id <= state.last_batch or (chunks and batch_id >= chunks.n):
             return  # replayed micro-batch: already applied
-        b = batch.persist()
+        b = (chunks.read(batch_id) if chunks else batch).persist()
         n = b.count()
         if n:
             if method == "log_loss":
@@ -140,9 +147,15 @@ def run_online(stream: DataFrame, features: list[str], y: str, method: str,
         state.save()
         b.unpersist()
 
-    q = (stream.writeStream.foreachBatch(handle).trigger(availableNow=True)
-         .option("checkpointLocation", f"{root}/stream").start())
-    q.awaitTermination()
+    sink = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/stream")
+    if chunks is None:
+        sink.trigger(availableNow=True).start().awaitTermination()
+        return state
+    if state.last_batch < chunks.n - 1:
+        q = sink.start()
+        while not q.awaitTermination(0.1) and state.last_batch < chunks.n - 1:
+            pass
+        q.stop()
     return state
 
 
@@ -152,18 +165,25 @@ def predict(df: DataFrame, w: np.ndarray, features: list[str], out: str = "predi
     return df.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).withColumn(out, (z >= 0).cast("int"))
 
 
-def write_chunks(df: DataFrame, chunk_col: str, root: str) -> int:
-    """Write each chunk as its own parquet folder, in chunk order (a replayable file stream).
+@dataclass(frozen=True)
+class Chunks:
+    """A table dealt to chunks 0 … n - 1: a folder a chunk."""
+    spark: SparkSession
+    root: str
+    column: str
+    schema: StructType
+    n: int
 
-    One partitioned write deals the rows to their chunks; then every chunk's
-    folder alone is read and written again in order, because a file stream
-    takes files by their time.  ``df`` is read once.
-    """
-    dealt = f"{root}_dealt"
-    df.repartition(chunk_col).write.partitionBy(chunk_col).parquet(dealt)
-    spark = df.sparkSession
-    schema = df.drop(chunk_col).schema
-    n = int(spark.read.parquet(dealt).agg(F.max(chunk_col)).first()[0]) + 1
-    for i in range(n):  # chunk ids are 0 … n − 1
-        spark.read.schema(schema).parquet(f"{dealt}/{chunk_col}={i}").coalesce(1).write.parquet(f"{root}/chunk_{i:08d}")
-    return n
+    def read(self, i: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{self.column}={i}")
+
+    def stream(self) -> DataFrame:
+        """A batch a chunk: the number of the chunk.  Offsets are these numbers, so a restart goes on where it stopped."""
+        return self.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+
+
+def write_chunks(df: DataFrame, chunk_col: str, root: str) -> Chunks:
+    """Deal ``df`` to its chunks in one write, whatever their number; ``df`` is read once."""
+    df.repartition(chunk_col).write.partitionBy(chunk_col).parquet(root)
+    most = df.sparkSession.read.parquet(root).agg(F.max(chunk_col)).first()[0]
+    return Chunks(df.sparkSession, root, chunk_col, df.drop(chunk_col).schema, 0 if most is None else int(most) + 1)

@@ -1,5 +1,8 @@
 """Sources, sinks and the online stream."""
 
+from dataclasses import replace
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,15 +59,25 @@ def test_online_stream_and_replay(spark):
     df = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("y"),
                                  ((F.col("id") % 2) * 2.0 - 1.0 + F.sin("id") * 0.1).alias("x"),
                                  (F.col("id") / 100).cast("int").alias("chunk"))
-    assert ON.write_chunks(df, "chunk", root) == 3
-    schema = spark.read.parquet(f"{root}/chunk_*").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/chunk_*")
-    st = ON.run_online(stream.select("x", "y"), ["x"], "y", "log_loss", {0: 1.0, 1: 1.0}, "t-online")
+    chunks = ON.write_chunks(df, "chunk", root)
+    assert chunks.n == 3 and [chunks.read(i).agg(F.min("k"), F.max("k")).first()[:] for i in range(3)] == [(0, 99), (100, 199), (200, 299)]
+
+    def run(method, name, chunks=chunks):
+        return ON.run_online(chunks.stream(), ["x"], "y", method, {0: 1.0, 1: 1.0}, name, chunks=chunks)
+
+    st = run("log_loss", "t-online")
     assert st.batches == 3 and st.rows == 300
     acc = ON.predict(df, st.w, ["x"]).agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0]
     assert acc > 0.9
     # a restart with the same checkpoint replays nothing and keeps the stored weights
-    again = ON.run_online(stream.select("x", "y"), ["x"], "y", "log_loss", {0: 1.0, 1: 1.0}, "t-online")
+    again = run("log_loss", "t-online")
     assert again.batches == 3 and list(again.w) == list(st.w)
-    pa = ON.run_online(stream.select("x", "y"), ["x"], "y", "passive_aggressive", {0: 1.0, 1: 1.0}, "t-pa")
+    # a run that ends after two chunks goes on with the third
+    part = run("log_loss", "t-part", replace(chunks, n=2))
+    assert part.batches == 2 and part.rows == 200 and list(part.w) != list(st.w)
+    rest = run("log_loss", "t-part")
+    assert rest.batches == 3 and np.allclose(rest.w, st.w)
+    pa = run("passive_aggressive", "t-pa")
     assert pa.batches == 3
+    files = chunks.spark.readStream.schema(chunks.schema).parquet(f"{root}/chunk=*")  # any other stream of rows is drained as it comes
+    assert ON.run_online(files.select("x", "y"), ["x"], "y", "log_loss", {0: 1.0, 1: 1.0}, "t-files").rows == 300
