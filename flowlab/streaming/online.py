@@ -120,16 +120,16 @@ def pa_mix(batch: DataFrame, w: np.ndarray, features: list[str], y: str,
 def run_online(stream: DataFrame, features: list[str], y: str, method: str,
                class_weight: dict[int, float], name: str, lr: float = 0.5, steps: int = 10,
                alpha: float = 1e-4, c: float = 1.0, chunks: "Chunks | None" = None) -> ModelState:
-    """Drain ``stream`` through an online model; returns the final state.
+    """Drain ``stream`` (trigger availableNow) through an online model; returns the final state.
 
-    With ``chunks``, the stream's batches stand for the chunks of that table in order, and it ends with the last one.
+    With ``chunks``, batch i of the stream stands for chunk i of that table.
     """
     spark = stream.sparkSession
     root = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
     state = ModelState(spark, f"{root}/state", len(features))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= state.last_batch or (chunks and batch_id >= chunks.n):
+        if batch_id <= state.last_batch:
             return  # replayed micro-batch: already applied
         b = (chunks.read(batch_id) if chunks else batch).persist()
         n = b.count()
@@ -147,15 +147,9 @@ def run_online(stream: DataFrame, features: list[str], y: str, method: str,
         state.save()
         b.unpersist()
 
-    sink = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/stream")
-    if chunks is None:
-        sink.trigger(availableNow=True).start().awaitTermination()
-        return state
-    if state.last_batch < chunks.n - 1:
-        q = sink.start()
-        while not q.awaitTermination(0.1) and state.last_batch < chunks.n - 1:
-            pass
-        q.stop()
+    q = (stream.writeStream.foreachBatch(handle).trigger(availableNow=True)
+         .option("checkpointLocation", f"{root}/stream").start())
+    q.awaitTermination()
     return state
 
 
@@ -178,12 +172,15 @@ class Chunks:
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/{self.column}={i}")
 
     def stream(self) -> DataFrame:
-        """A batch a chunk: the number of the chunk.  Offsets are these numbers, so a restart goes on where it stopped."""
-        return self.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+        """A batch a chunk: a file a batch, of n files of a number each, so batch i stands for chunk i whatever the files' order."""
+        return self.spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(f"{self.root}_numbers")
 
 
 def write_chunks(df: DataFrame, chunk_col: str, root: str) -> Chunks:
-    """Deal ``df`` to its chunks in one write, whatever their number; ``df`` is read once."""
+    """Deal ``df`` to its chunks in one write, whatever their number, and write their numbers in another; ``df`` is read once."""
+    spark = df.sparkSession
     df.repartition(chunk_col).write.partitionBy(chunk_col).parquet(root)
-    most = df.sparkSession.read.parquet(root).agg(F.max(chunk_col)).first()[0]
-    return Chunks(df.sparkSession, root, chunk_col, df.drop(chunk_col).schema, 0 if most is None else int(most) + 1)
+    most = spark.read.parquet(root).agg(F.max(chunk_col)).first()[0]
+    n = 0 if most is None else int(most) + 1
+    spark.range(0, n, 1, max(1, n)).select(F.col("id").cast("string")).write.text(f"{root}_numbers")
+    return Chunks(spark, root, chunk_col, df.drop(chunk_col).schema, n)

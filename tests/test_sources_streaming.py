@@ -1,9 +1,8 @@
 """Sources, sinks and the online stream."""
 
-from dataclasses import replace
-
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from flowlab.sources import files as S
@@ -54,7 +53,7 @@ def test_pipe_tables(spark):
     assert rows == {("binary", "rf", "0.50"), ("binary", "lr", "0.25")}
 
 
-def test_online_stream_and_replay(spark):
+def test_online_stream_and_replay(spark, monkeypatch):
     root = S.scratch_path(spark, "t-stream")
     df = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("y"),
                                  ((F.col("id") % 2) * 2.0 - 1.0 + F.sin("id") * 0.1).alias("x"),
@@ -72,11 +71,20 @@ def test_online_stream_and_replay(spark):
     # a restart with the same checkpoint replays nothing and keeps the stored weights
     again = run("log_loss", "t-online")
     assert again.batches == 3 and list(again.w) == list(st.w)
-    # a run that ends after two chunks goes on with the third
-    part = run("log_loss", "t-part", replace(chunks, n=2))
-    assert part.batches == 2 and part.rows == 200 and list(part.w) != list(st.w)
+    # a run that fails in the third chunk goes on with it
+    good = ON.logistic_step
+
+    def step(batch, *args):
+        if batch.agg(F.max("k")).first()[0] == 299:
+            raise RuntimeError("lost")
+        return good(batch, *args)
+
+    monkeypatch.setattr(ON, "logistic_step", step)
+    with pytest.raises(StreamingQueryException):
+        run("log_loss", "t-part")
+    monkeypatch.setattr(ON, "logistic_step", good)
     rest = run("log_loss", "t-part")
-    assert rest.batches == 3 and np.allclose(rest.w, st.w)
+    assert rest.batches == 3 and rest.rows == 300 and np.allclose(rest.w, st.w)
     pa = run("passive_aggressive", "t-pa")
     assert pa.batches == 3
     files = chunks.spark.readStream.schema(chunks.schema).parquet(f"{root}/chunk=*")  # any other stream of rows is drained as it comes
