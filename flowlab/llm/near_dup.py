@@ -20,10 +20,11 @@ afterwards.  A signature's members are first compared with the one of them
 that is in most signatures, one such comparison per document; links found so
 are contracted.  The same is done once more with such a member of another
 component, and then the pairs that share a signature across different
-components are compared.  Pairs whose sizes or parity sketches (which differ
-in no more bits than the sets in elements) rule a link out are dropped, by a
-short sketch inside the join and by a long one after it; the others are
-compared exactly, on the sets of 64-bit shingle hashes.  Long sketches and
+components are compared, signatures with equal members once.  Pairs whose
+sizes or parity sketches (which differ in no more bits than the sets in
+elements) rule a link out are dropped, inside the join by a short sketch and
+by one with as many bits as the sets have elements, and after it by a long
+one; the others are compared exactly, on the sets of 64-bit shingle hashes.  Long sketches and
 sets are made from the texts of the documents concerned, which a task tells
 by a bit table of bounded size, so texts are never shuffled.
 
@@ -34,6 +35,7 @@ linked; rows that repeat a doc_id are one document.
 
 from __future__ import annotations
 
+import math
 from itertools import pairwise
 
 import numpy as np
@@ -215,14 +217,30 @@ def short_sketches(keys: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def sized_sketches(keys: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The parity of the number of elements in each of as many classes as the set has elements, up to a power of two (256 at least), 64 a word.
+
+    The first half of the words, each xor-ed with its partner in the second half, is the sketch of half the classes.
+    """
+    out = []
+    for a, b in pairwise(first.tolist()):
+        words = max(4, 1 << max(0, (b - a - 1) // 64).bit_length())
+        odd = np.bincount(((keys[a:b] >> U(24)) & U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+    return out
+
+
 def _describe(size):
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 keys, first = shingle_sets(part.column("text"), size)
+                sized = sized_sketches(keys, first)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sized])])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(first), pa.int64()), *map(pa.array, set_hashes(keys, first)), *map(pa.array, short_sketches(keys, first))],
-                    ["doc_id", "n", "h1", "h2", *_SHORT])
+                    [part.column("doc_id"), pa.array(np.diff(first), pa.int64()), *map(pa.array, set_hashes(keys, first)), *map(pa.array, short_sketches(keys, first)),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sized)))],
+                    ["doc_id", "n", "h1", "h2", *_SHORT, "sized"])
     return run
 
 
@@ -301,8 +319,8 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
 
 def _linked(docs: DataFrame, size: int, percent: int, tables: Tables) -> DataFrame:
     spark = docs.sparkSession
-    described = tables.keep(tables.store(docs.mapInArrow(_describe(size), f"doc_id long, n long, h1 long, h2 long, {', '.join(f'{p} long' for p in _SHORT)}")))
-    same = tables.keep(tables.store(described.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), *(F.max(p).alias(p) for p in _SHORT))))
+    described = tables.keep(tables.store(docs.mapInArrow(_describe(size), f"doc_id long, n long, h1 long, h2 long, {', '.join(f'{p} long' for p in _SHORT)}, sized array<long>")))
+    same = tables.keep(tables.store(described.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), *(F.max(p).alias(p) for p in _SHORT), F.max("sized").alias("sized"))))
 
     rows = docs.mapInArrow(_sign(size, percent), "sig long, h1 long, others array<long>")
     by_sig = Window.partitionBy("sig")
@@ -359,16 +377,25 @@ def _linked(docs: DataFrame, size: int, percent: int, tables: Tables) -> DataFra
     links = links.union(verify(again))
 
     now = named()
-    main = now.groupBy("sig", "component").count().groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    # Sketches first, so that both sides of the join by signature read one shuffle.
-    sides = (now.join(same.select(F.col("rep").alias("id"), "n", *_SHORT), "id").join(main, "sig")
-             .withColumn("minor", F.col("component") != F.col("main")))
+    # Signatures with the same members tell the same: one of them stays.
+    told = [F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1))), F.count("*"), F.min("id")]
+    alike = now.groupBy("sig").agg(*[x.alias(f"t{i}") for i, x in enumerate(told)])
+    now = tables.store(now.join(alike.groupBy(*[f"t{i}" for i in range(len(told))]).agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi"))
+    sides = now.join(same.select(F.col("rep").alias("id"), "n", *_SHORT, "sized"), "id")
+    per = sides.groupBy("sig", "component").agg(F.count("*").alias("count"), F.min(F.size("sized")).alias("words"))
+    per = per.groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.min("words").alias("words"))
+    # Sketches first, so that both sides of the join by signature read one shuffle; all of one signature are folded to one length.
+    halved = F.expr("zip_with(slice(sized, 1, size(sized) DIV 2), slice(sized, size(sized) DIV 2 + 1, size(sized) DIV 2), (p, q) -> p ^ q)")
+    sides = sides.join(per, "sig").withColumn("minor", F.col("component") != F.col("main"))
+    for _ in range(1 + math.ceil(3 * math.log2(100 / percent))):  # sizes within a band differ by less than (100 / percent)^3 times, and lengths by less than twice that
+        sides = sides.withColumn("sized", F.when(F.size("sized") > F.col("words"), halved).otherwise(F.col("sized")))
     x, y = sides.filter("minor").alias("x"), sides.alias("y")
     differ = short[0]
     for s in short[1:]:
         differ = differ + s
+    odd = F.expr("aggregate(zip_with(x.sized, y.sized, (p, q) -> bit_count(p ^ q)), 0, (a, b) -> a + coalesce(b, 0))")
     apart = (F.col("x.component") != F.col("y.component")) & (~F.col("y.minor") | (F.col("x.id") < F.col("y.id")))
-    across = (x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & could(F.col("x.n"), F.col("y.n"), differ))
+    across = (x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & could(F.col("x.n"), F.col("y.n"), differ) & could(F.col("x.n"), F.col("y.n"), odd))
               .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
               .join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"))
     found = tables.keep(components(links.union(verify(tables.store(across))), tables))

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from flowlab.llm.graph import components
 from flowlab.llm.tables import Tables
-from flowlab.llm.near_dup import Bands, link_documents, set_hashes, short_sketches, shingle_sets, signatures
+from flowlab.llm.near_dup import Bands, link_documents, set_hashes, short_sketches, sized_sketches, shingle_sets, signatures
 
 
 def sets_of(docs, size):
@@ -124,3 +124,20 @@ def test_components(spark):
         got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7), tables).collect()}
         assert got == {x: find(x) for x in up}
         assert components(spark.createDataFrame([], "a long, b long"), tables).count() == 0
+
+
+def test_sized_sketches_differ_in_no_more_bits_than_the_sets():
+    rng = np.random.default_rng(11)
+    sets = [np.sort(rng.choice(2 ** 62, n, replace=False)).astype(np.uint64) for n in (0, 1, 256, 257, 1000, 1600)]
+    sets += [np.sort(np.concatenate([s[len(s) // 9:], rng.integers(0, 2 ** 62, 7).astype(np.uint64)])) for s in sets]
+    made = sized_sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    assert [len(m) for m in made[:6]] == [4, 4, 4, 8, 16, 32]
+    for s, x in zip(sets, made, strict=True):
+        for t, y in zip(sets, made, strict=True):
+            while len(x) > len(y):
+                x = x[:len(x) // 2] ^ x[len(x) // 2:]
+            while len(y) > len(x):
+                y = y[:len(y) // 2] ^ y[len(y) // 2:]
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(s, t))
+    apart = np.bitwise_count(made[4] ^ sized_sketches(rng.integers(0, 2 ** 62, 1000).astype(np.uint64), np.array([0, 1000]))[0]).sum()
+    assert apart > 400  # of unrelated sets, far more than similar ones may differ in
