@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Transformer
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.operators.ordered import attach_totals
 from flowlab.operators.quality import nan_to_null
-from flowlab.session import cut_lineage
+from flowlab.session import cut_lineage, store
 
 
 @dataclass
@@ -74,7 +75,7 @@ def fit(train: DataFrame, categorical: list[str], numeric: list[str],
         vals = (src.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct()
                 .orderBy("v").limit(max_vocab + 1).collect())
         if len(vals) > max_vocab:
-            raise ValueError(f"{c}: more than {max_vocab} categories make no dense block; use vocabulary and one_hot_sparse")
+            raise ValueError(f"{c}: more than {max_vocab} categories make no dense block; use fit_sparse")
         fp.vocab[c] = [r.v for r in vals]
     if impute_median and numeric:
         from flowlab.operators.ordered import exact_quantiles
@@ -102,7 +103,7 @@ def vocabulary(train: DataFrame, categorical: list[str]) -> DataFrame:
     order = F.create_map(*[F.lit(x) for i, c in enumerate(categorical) for x in (c, i)])
     values = (train.select(*[F.col(c).cast("string").alias(c) for c in categorical]).unpivot([], categorical, "column", "value")
               .where("value IS NOT NULL").distinct())
-    dealt = values.withColumn("_c", order["column"]).repartitionByRange("_c", "value").withColumn("_p", F.spark_partition_id())
+    dealt = values.withColumn("_c", order[F.col("column")]).repartitionByRange("_c", "value").withColumn("_p", F.spark_partition_id())
     dealt = cut_lineage(dealt)  # the ranges must not be drawn anew between the two uses
     sizes = dealt.groupBy("_p").count()
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
@@ -111,6 +112,60 @@ def vocabulary(train: DataFrame, categorical: list[str]) -> DataFrame:
     return dealt.join(F.broadcast(offsets), "_p").select("column", "value", (F.col("_o") + rank - 1).alias("position"))
 
 
+@dataclass
+class SparsePrep(Transformer):
+    """Fitted one-hot and z-score preparation for vocabularies of any size: ``transform`` adds a sparse vector ``features``.
+
+    The vocabulary is a stored table, joined a column at a time (the planner
+    broadcasts a small one and splits hot values of a large one); positions
+    become sparse blocks by MLlib's encoder.  Values outside the train
+    vocabulary and nulls have no one.  Numeric columns follow the blocks.
+    """
+    categorical: list[str]
+    numeric: list[str]
+    vocab: DataFrame
+    sizes: dict[str, int]
+    stats: dict[str, tuple[float, float]]
+
+    def __post_init__(self):
+        super().__init__()
+
+    def indexed(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``<column>_position``, the place of its value in the column's block; null where it has none."""
+        for c in self.categorical:
+            own = self.vocab.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("place").alias(f"{c}_position"))
+            df = df.join(own, F.col(c).cast("string") == F.col("_value"), "left").drop("_value")
+        return df
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        keep = df.columns
+        used = [c for c in self.categorical if self.sizes[c]]
+        out = self.indexed(df)
+        for c in used:
+            out = out.withColumn(f"{c}_position", F.coalesce(F.col(f"{c}_position"), F.lit(self.sizes[c])).cast("double"))
+        for c in self.numeric:
+            mean, std = self.stats[c]
+            out = out.withColumn(f"{c}_scaled", F.coalesce((F.col(c).cast("double") - F.lit(mean)) / F.lit(std or 1.0), F.lit(0.0)))
+        if used:
+            widest = df.sparkSession.createDataFrame([[float(self.sizes[c] - 1) for c in used]], [f"{c}_position" for c in used])
+            encoder = OneHotEncoder(inputCols=[f"{c}_position" for c in used], outputCols=[f"{c}_block" for c in used], handleInvalid="keep")
+            out = encoder.fit(widest).transform(out)  # the place after the last is the one that it drops
+        parts = [f"{c}_block" for c in used] + [f"{c}_scaled" for c in self.numeric]
+        return VectorAssembler(inputCols=parts, outputCol="features").transform(out).select(*keep, "features")
+
+
+def fit_sparse(train: DataFrame, categorical: list[str], numeric: list[str]) -> SparsePrep:
+    """Fit ``SparsePrep``: the vocabulary stays a table, the driver holds a size a column and two numbers a numeric one."""
+    vocab = vocabulary(train, categorical)
+    starts = vocab.groupBy("column").agg(F.min("position").alias("start"), F.count("*").alias("n"))
+    rows = {r.column: r for r in starts.collect()}  # a row a column
+    first = F.create_map(*[F.lit(x) for c, r in rows.items() for x in (c, r.start)]) if rows else F.lit(0)
+    placed = vocab.withColumn("place", F.col("position") - first[F.col("column")]) if rows else vocab.withColumn("place", F.lit(0))
+    plain = fit(train, [], numeric)
+    return SparsePrep(list(categorical), list(numeric), store(placed), {c: rows[c].n if c in rows else 0 for c in categorical},
+                      {c: (plain.mean[c], plain.std[c]) for c in numeric})
+
+
 def one_hot_sparse(df: DataFrame, key: str, categorical: list[str], vocab: DataFrame) -> DataFrame:
     """(key, positions): the sorted positions of a row's ones; values outside the vocabulary have none.
 

@@ -69,10 +69,10 @@ _IOT_SQL = _pick_sql(IOT_SPELLINGS) + """,
 c AS (SELECT trim(raw_label) AS label, regexp_replace(lower(trim(raw_label)), '[^\\p{L}\\p{N}]', '', 'g') AS k FROM d),
 m AS (SELECT label, CASE WHEN k IN ('benign','benigntraffic','normal') THEN 'Benign'
   WHEN starts_with(k, 'ddos') THEN 'DDoS' WHEN starts_with(k, 'dos') THEN 'DoS'
-  WHEN starts_with(k, 'recon') OR k IN ('vulnerabilityscan','vulnerability_scan','portsweep','pingsweep','osscan','hostdiscovery') THEN 'Recon'
+  WHEN starts_with(k, 'recon') OR k IN ('vulnerabilityscan','portsweep','pingsweep','osscan','hostdiscovery') THEN 'Recon'
   WHEN starts_with(k, 'mirai') THEN 'Mirai' WHEN contains(k, 'spoof') THEN 'Spoofing'
   WHEN contains(k, 'bruteforce') THEN 'Brute Force'
-  WHEN k IN ('sqlinjection','commandinjection','backdoormalware','uploadingattack','uploading_attack','xss','browserhijacking') THEN 'Web-based'
+  WHEN k IN ('sqlinjection','commandinjection','backdoormalware','uploadingattack','xss','browserhijacking') THEN 'Web-based'
   END AS attack_category FROM c)
 """
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from flowlab.operators import prep as P
@@ -11,7 +13,7 @@ from flowlab.plans import finish, query, rounded
 from flowlab.plans.sample_q import D03_SQL
 from flowlab.plans.sql import EVENT_FEATURES, FLOWS, NUMERIC, SCORED, with_
 from flowlab.sources.tables import (EVENT_NUMERIC, FLOW_CATEGORICAL, FLOW_NUMERIC, event_features,
-                                    flows, scored)
+                                    flows, scored, table)
 
 CAT = FLOW_CATEGORICAL
 
@@ -157,3 +159,23 @@ SELECT row_key, (score - min(score) OVER ()) / greatest(max(score) OVER () - min
     "score01"))
 def t10_minmax_scores(spark, sf):
     return finish(P.minmax_scores(scored(spark, sf)).select("row_key", "score01"))
+
+
+# Wide vocabularies: order, part and supplier keys of the lines are categories; orders divisible by 5 are test rows, so theirs are unseen.
+KEYS = ["l_orderkey", "l_partkey", "l_suppkey"]
+
+
+@query("t03_sparse_totals", """WITH l AS (SELECT *, l_orderkey % 5 = 0 AS test FROM lineitem),
+c AS (""" + "\nUNION ALL\n".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, test FROM l WHERE {c} IS NOT NULL" for c in KEYS) + """),
+v AS (SELECT DISTINCT "column", value FROM c WHERE NOT test)
+SELECT "column", count(DISTINCT v.value)::BIGINT AS categories, coalesce(sum(n_train), 0)::BIGINT AS train_ones, coalesce(sum(n_test), 0)::BIGINT AS test_ones
+FROM v LEFT JOIN (SELECT "column", value, sum((NOT test)::INT) AS n_train, sum(test::INT) AS n_test FROM c GROUP BY ALL) t USING ("column", value) GROUP BY 1""")
+def t03_sparse_totals(spark, sf):
+    """Ones of every column's sparse block, on train and test rows."""
+    rows = table(spark, sf, "lineitem").withColumn("split", F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train"))
+    prep = P.fit_sparse(rows.where("split = 'train'"), KEYS, ["l_quantity"])
+    sums = prep.transform(rows).groupBy("split").agg(Summarizer.sum(F.col("features")).alias("v"))
+    places = sums.select("split", F.posexplode(vector_to_array("v")).alias("position", "total"))
+    totals = places.groupBy("position").pivot("split", ["train", "test"]).agg(F.sum("total"))
+    return (prep.vocab.join(totals, "position").groupBy("column")
+            .agg(F.count("*").alias("categories"), F.sum("train").cast("long").alias("train_ones"), F.coalesce(F.sum("test"), F.lit(0)).cast("long").alias("test_ones")))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from flowlab.functions import columns as C
@@ -110,3 +111,26 @@ def test_sparse_one_hot(spark):
     assert [v for _, c, v in rows if c == "big"] == [f"v{i:05}" for i in range(1500)]
     test = spark.createDataFrame([(1, "v00007", 2), (2, "new", None)], "k int, big string, small long")
     assert {r.k: r.positions for r in P.one_hot_sparse(test, "k", ["small", "big"], vocab).collect()} == {1: [2, 10], 2: []}
+
+
+def test_sparse_prep_with_200_000_categories(spark):
+    """A logistic fit on sparse blocks; unseen values and nulls have no one; numeric columns follow."""
+    rows = spark.range(220_000).select("id", F.concat(F.lit("v"), "id").alias("big"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("small"),
+                                       (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("label"))
+    train, test = rows.where("id < 200000"), rows.where("id >= 200000").withColumn("small", F.when(F.col("id") % 3 > 0, F.col("small")))
+    prep = P.fit_sparse(train, ["big", "small"], ["x"])
+    assert prep.sizes == {"big": 200_000, "small": 2}
+    ends = prep.vocab.groupBy("column").agg(F.min("position"), F.max("position"))
+    assert {tuple(r) for r in ends.collect()} == {("big", 0, 199_999), ("small", 200_000, 200_001)}
+    made = prep.transform(test)
+    assert made.columns == [*test.columns, "features"]
+    for r in made.where("id < 200012").collect():
+        ones = [200_000 + int(r.small == "b")] if r.small else []
+        assert r.features.size == 200_003 and [i for i in r.features.indices if i < 200_002] == ones
+        assert r.features[200_002] == pytest.approx((r.x - 3) / 2, abs=1e-3)
+    one = prep.transform(train.where("id = 17")).first().features
+    place = sorted(f"v{i}" for i in range(200_000)).index("v17")
+    assert list(one.indices[:2]) == [place, 200_001]
+    model = LogisticRegression(maxIter=5, regParam=0.01).fit(prep.transform(train))
+    hit = model.transform(made.where("small is not null")).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert hit == 1.0
