@@ -325,6 +325,10 @@ def train_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds:
     return w
 
 
+#: Sentences that fit compares at a time.
+SENTENCES = 8192
+
+
 def sample_labelled(docs: DataFrame, labels: DataFrame, max_chars: int = 8_000_000) -> DataFrame:
     """text and toxic of labelled documents that are not held out: about ``max_chars`` characters of them, by the hash of
     the text.  Texts longer than a 200th of that are not sampled."""
@@ -351,10 +355,17 @@ def fit(sample: DataFrame, landmarks: int = 128) -> Model:
     sentences = [x for d in documents for x in d]
     owner = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
     sizes = np.bincount(owner, weights=[len(x) for x in sentences], minlength=len(documents))
-    first = np.cumsum([0] + [len(x) for x in sentences])[:-1]
-    index, similar = similarity.sentences([s for x in sentences for s in x], first)
     count = len(sentences)
-    del documents, sentences, first
+    parts = []
+    for at in range(0, count, SENTENCES):  # a row a span is held of so many sentences only
+        some = sentences[at:at + SENTENCES]
+        index, similar = similarity.sentences([s for x in some for s in x], np.cumsum([0] + [len(x) for x in some])[:-1])
+        parts.append((index + at, similar))
+    del documents, sentences, some
+    index = np.concatenate([i for i, _ in parts])
+    x = np.zeros((len(index) + 2, len(chosen)), dtype=np.float32)
+    np.concatenate([x for _, x in parts], out=x[:-2])
+    del parts, similar
     similarity._forget()
     kernel = similarity.compare(chosen).astype(np.float64)
     value, vector = np.linalg.eigh((kernel + kernel.T) / 2)
@@ -363,11 +374,13 @@ def fit(sample: DataFrame, landmarks: int = 128) -> Model:
     y = 2.0 * labels[owner] - 1
     rest = np.ones(count, dtype=bool)
     rest[index] = False
-    x = np.vstack([similar @ root.astype(np.float32), np.zeros((2, len(chosen)), dtype=np.float32)])
+    root32 = root.astype(np.float32)
+    for at in range(0, len(index), SENTENCES):
+        x[at:at + SENTENCES] = x[at:at + SENTENCES] @ root32
     weight, bias = train_machine(x, np.append(y[index], [-1, 1]), np.append(np.ones(len(index)), [(y[rest] < 0).sum(), (y[rest] > 0).sum()]))
-    weight = root @ weight
-    facts = _facts(owner[index], similar @ weight + bias, sizes, bias)
-    return Model(chosen, weight, bias, train_logistic(facts, labels))
+    margin = np.concatenate([x[at:at + SENTENCES] @ weight for at in range(0, len(x), SENTENCES)])[:-2] + bias
+    facts = _facts(owner[index], margin, sizes, bias)
+    return Model(chosen, root @ weight, bias, train_logistic(facts, labels))
 
 
 def _score(model, columns):
