@@ -89,3 +89,30 @@ def test_online_stream_and_replay(spark, monkeypatch):
     assert pa.batches == 3
     files = chunks.spark.readStream.schema(chunks.schema).parquet(f"{root}/chunk=*")  # any other stream of rows is drained as it comes
     assert ON.run_online(files.select("x", "y"), ["x"], "y", "log_loss", {0: 1.0, 1: 1.0}, "t-files").rows == 300
+
+
+def test_chunks_in_turn_equal_chunks_one_by_one(spark, monkeypatch):
+    n = ON.BATCH_CHUNKS + 6
+    df = spark.range(n * 10).select(F.when(F.col("id") % 37 != 0, F.sin("id")).alias("x"), F.cos("id").alias("z"), (F.col("id") % 3 == 0).cast("int").alias("y"),
+                                    (F.col("id") / 10).cast("long").alias("chunk")).where("chunk <> 5")
+    chunks = ON.write_chunks(df.unionByName(spark.createDataFrame([(0.5, 0.5, 1, 5)], df.schema)), "chunk", S.scratch_path(spark, "t-turns"))
+    assert spark.read.text(f"{chunks.root}_numbers").count() == 2  # batches, not chunks
+    weights, step, mix = {0: 0.7, 1: 1.5}, ON.logistic_step, ON.pa_mix
+    for method in ("log_loss", "passive_aggressive"):
+        calls = []
+        monkeypatch.setattr(ON, "logistic_step", lambda *a: calls.append(1) or step(*a))
+        monkeypatch.setattr(ON, "pa_mix", lambda *a: calls.append(1) or mix(*a))
+        got = ON.run_online(chunks.stream(), ["x", "z"], "y", method, weights, f"t-turn-{method}", steps=2, chunks=chunks)
+        assert len(calls) == 2 and (got.batches, got.rows) == (n, (n - 1) * 10 + 1)
+        want = np.zeros(3)
+        for i in range(n):
+            if method == "log_loss":
+                for _ in range(2):
+                    want = step(chunks.read(i), want, ["x", "z"], "y", weights, 0.5, 1e-4)
+            else:
+                want = mix(chunks.read(i), want, ["x", "z"], "y", weights)
+        assert np.allclose(got.w, want, rtol=1e-9, atol=1e-12)
+    monkeypatch.setattr(ON, "logistic_step", step)
+    monkeypatch.setattr(ON, "TURN_ROWS", 5)  # larger batches: chunk by chunk, by aggregation
+    slow = ON.run_online(chunks.stream(), ["x", "z"], "y", "log_loss", weights, "t-slow", steps=1, chunks=chunks)
+    assert (slow.batches, slow.rows) == (n, (n - 1) * 10 + 1)
