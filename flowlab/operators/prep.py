@@ -10,9 +10,11 @@ codegen — so transforming train, test or a stream never shuffles.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.ml import Transformer
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,9 +119,11 @@ class SparsePrep(Transformer):
     """Fitted one-hot and z-score preparation for vocabularies of any size: ``transform`` adds a sparse vector ``features``.
 
     The vocabulary is a stored table, joined a column at a time (the planner
-    broadcasts a small one and splits hot values of a large one); positions
-    become sparse blocks by MLlib's encoder.  Values outside the train
-    vocabulary and nulls have no one.  Numeric columns follow the blocks.
+    broadcasts a small one and splits hot values of a large one); a row's
+    positions become one sparse vector.  Its column has no attribute names:
+    MLlib's encoder and assembler make an object a category on the driver.
+    Values outside the train vocabulary and nulls have no one.  Numeric
+    columns follow the blocks.
     """
     categorical: list[str]
     numeric: list[str]
@@ -141,17 +145,18 @@ class SparsePrep(Transformer):
         keep = df.columns
         used = [c for c in self.categorical if self.sizes[c]]
         out = self.indexed(df)
-        for c in used:
-            out = out.withColumn(f"{c}_position", F.coalesce(F.col(f"{c}_position"), F.lit(self.sizes[c])).cast("double"))
-        for c in self.numeric:
-            mean, std = self.stats[c]
-            out = out.withColumn(f"{c}_scaled", F.coalesce((F.col(c).cast("double") - F.lit(mean)) / F.lit(std or 1.0), F.lit(0.0)))
-        if used:
-            widest = df.sparkSession.createDataFrame([[float(self.sizes[c] - 1) for c in used]], [f"{c}_position" for c in used])
-            encoder = OneHotEncoder(inputCols=[f"{c}_position" for c in used], outputCols=[f"{c}_block" for c in used], handleInvalid="keep")
-            out = encoder.fit(widest).transform(out)  # the place after the last is the one that it drops
-        parts = [f"{c}_block" for c in used] + [f"{c}_scaled" for c in self.numeric]
-        return VectorAssembler(inputCols=parts, outputCol="features").transform(out).select(*keep, "features")
+        starts = dict(zip(used, accumulate([0, *(self.sizes[c] for c in used)]), strict=False))
+        first = sum(self.sizes[c] for c in used)  # of the numeric columns
+        size = first + len(self.numeric)
+
+        def vector(ones, scaled):
+            cells = [(i, 1.0) for i in ones if i is not None] + [(first + i, x) for i, x in enumerate(scaled) if x != 0]
+            return Vectors.sparse(size, cells)
+
+        ones = F.array(*[F.col(f"{c}_position") + F.lit(starts[c]) for c in used]).cast("array<long>")
+        scaled = F.array(*[F.coalesce((F.col(c).cast("double") - F.lit(self.stats[c][0])) / F.lit(self.stats[c][1] or 1.0), F.lit(0.0))
+                           for c in self.numeric]).cast("array<double>")
+        return out.select(*keep, F.udf(vector, VectorUDT())(ones, scaled).alias("features"))
 
 
 def fit_sparse(train: DataFrame, categorical: list[str], numeric: list[str]) -> SparsePrep:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from flowlab.operators import prep as P
@@ -174,8 +172,8 @@ def t03_sparse_totals(spark, sf):
     """Ones of every column's sparse block, on train and test rows."""
     rows = table(spark, sf, "lineitem").withColumn("split", F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train"))
     prep = P.fit_sparse(rows.where("split = 'train'"), KEYS, ["l_quantity"])
-    sums = prep.transform(rows).groupBy("split").agg(Summarizer.sum(F.col("features")).alias("v"))
-    places = sums.select("split", F.posexplode(vector_to_array("v")).alias("position", "total"))
-    totals = places.groupBy("position").pivot("split", ["train", "test"]).agg(F.sum("total"))
-    return (prep.vocab.join(totals, "position").groupBy("column")
+    # by position, and not as a vector as long as the vocabulary: its cells are a row's ones and numbers
+    cells = prep.transform(rows).select("split", F.unwrap_udt("features").alias("v")).select("split", F.explode(F.arrays_zip("v.indices", "v.values")).alias("x"))
+    totals = cells.groupBy(F.col("x.indices").alias("position")).agg(*[F.sum(F.when(F.col("split") == s, F.col("x.values"))).alias(s) for s in ("train", "test")])
+    return (prep.vocab.join(totals, "position", "left").groupBy("column")
             .agg(F.count("*").alias("categories"), F.sum("train").cast("long").alias("train_ones"), F.coalesce(F.sum("test"), F.lit(0)).cast("long").alias("test_ones")))

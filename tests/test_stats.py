@@ -134,3 +134,12 @@ def test_sparse_prep_with_200_000_categories(spark):
     model = LogisticRegression(maxIter=5, regParam=0.01).fit(prep.transform(train))
     hit = model.transform(made.where("small is not null")).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     assert hit == 1.0
+
+
+def test_sparse_vectors_have_no_attribute_a_category(spark):
+    """Names of categories in a column's metadata are objects on the driver, one a category."""
+    rows = spark.range(500).select(F.concat(F.lit("v"), "id").alias("big"), F.lit(None).cast("string").alias("none"), (F.col("id") % 5).alias("x"))
+    made = P.fit_sparse(rows, ["none", "big"], ["x"]).transform(rows)
+    assert not made.schema["features"].metadata
+    r = made.where("x = 2 and big = 'v2'").first().features
+    assert r.size == 501 and list(r.indices) == [sorted(f"v{i}" for i in range(500)).index("v2")] and r[500] == 0
