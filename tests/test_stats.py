@@ -6,6 +6,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from flowlab.functions import columns as C
+from flowlab.operators import audit as AU
 from flowlab.operators import outlier as O
 from flowlab.operators import prep as P
 from flowlab.operators import quality as Q
@@ -143,3 +144,22 @@ def test_sparse_vectors_have_no_attribute_a_category(spark):
     assert not made.schema["features"].metadata
     r = made.where("x = 2 and big = 'v2'").first().features
     assert r.size == 501 and list(r.indices) == [sorted(f"v{i}" for i in range(500)).index("v2")] and r[500] == 0
+
+
+def test_encoded_stats_of_one_hot_columns_from_counts(spark, monkeypatch):
+    """As the general operators give them on the dense columns, which are not made."""
+    rows = spark.range(400).select(F.when(F.col("id") % 9 > 0, F.concat(F.lit("c"), F.least(F.col("id") % 10, F.lit(4)))).alias("cat"), F.lit("one").alias("flat"),
+                                   F.sin("id").alias("x"), F.when(F.col("id") % 11 > 0, (F.col("id") % 10 > 5).cast("int")).alias("binary_label"))
+    fp = P.fit(rows, ["cat", "flat"], ["x"])
+    names = fp.feature_names()
+    wide = fp.apply(rows, keep=["binary_label"])
+    want = {r.feature: r.target_corr for r in R.target_correlation(wide, names).collect()}
+    rate = {r.feature: r.outlier_rate_iqr for r in O.outlier_rates(wide, names).collect()}
+    seen = []
+    monkeypatch.setattr(AU.O, "outlier_rates", lambda df, features, good=O.outlier_rates: seen.append(features) or good(df, features))
+    got = {r.encoded_feature: r for r in AU.encoded_stats(rows, fp).collect()}
+    assert seen == [["x"]] and sorted(got) == sorted(names)
+    for f, r in got.items():
+        assert r.target_corr == pytest.approx(want[f], abs=1e-12) and r.abs_target_corr == abs(r.target_corr)
+        assert r.outlier_rate_iqr == pytest.approx(rate[f], abs=1e-12)
+        assert r.attribute == f.split("_")[0]
