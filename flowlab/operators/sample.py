@@ -106,16 +106,50 @@ def label_budget(df: DataFrame, by: str, key: str, fraction: float, seed: int =
 
 def stratified_split(df: DataFrame, by: str, key: str, fraction: float = 0.2, seed: int = 0,
                      out: str = "role", a: str = "train", b: str = "validation") -> DataFrame:
-    """Disjoint, exhaustive stratified split: half-even(N_c·fraction) rows of each class go to ``b``."""
+    """Disjoint, exhaustive stratified split: half-even(N_c·fraction) rows of each class go to ``b``.
+
+    Rows stay where they are: a row's side follows from its hash, its key and the last ones that its class's quota takes.
+    Rows with a null class or key are left out.
+    """
     if not 0 < fraction < 1:
         raise ValueError("fraction must be in (0, 1)")
     counts = _class_counts(df, by)
-    ranked = ranked_within(df, by, key, seed, buckets=_buckets_for(max(counts.values(), default=1)))
-    q = df.sparkSession.createDataFrame([(c, _half_even(k * fraction)) for c, k in counts.items()],
-                                        f"{by} {df.schema[by].dataType.simpleString()}, _q long")
-    return (ranked.join(F.broadcast(q), by)
-            .withColumn(out, F.when(F.col("rank_in_class") <= F.col("_q"), b).otherwise(a))
-            .drop("_q", "rank_in_class"))
+    ends = _quota_ends(df, by, key, seed, {c: _half_even(k * fraction) for c, k in counts.items()}, _buckets_for(max(counts.values(), default=1)))
+    x = df.withColumn("_h", row_hash(F.col(key), seed)).where(F.col("_h").isNotNull()).join(F.broadcast(ends), by)  # a row a class
+    at_end = (F.col("_h") == F.col("_end_h")) & (F.col(key) == F.col("_end_key"))
+    taken = F.coalesce((F.col("_h") < F.col("_end_h")) | (F.col("_h") == F.col("_end_h")) & (F.col(key) <= F.col("_end_key")), F.lit(False))
+    x = x.withColumn("_in", taken)
+    if ends.where("_some is not null").limit(1).collect():  # a quota ends among rows of one key: just these are numbered
+        shared = F.col("_some").isNotNull() & F.coalesce(at_end, F.lit(False))
+        numbered = x.where(shared).withColumn("_in", F.row_number().over(Window.partitionBy(by).orderBy("_h", key)) <= F.col("_some"))
+        x = x.where(~shared).unionByName(numbered)
+    return x.withColumn(out, F.when(F.col("_in"), b).otherwise(a)).drop("_h", "_end_h", "_end_key", "_some", "_in")
+
+
+def _quota_ends(df: DataFrame, by: str, key: str, seed: int, quotas: dict, nb: int) -> DataFrame:
+    """A row a class: hash and key of its quota's last row (null: it takes none), and ``_some``: how many rows of the last
+    key it takes where that is not all of them.
+
+    Only class and key are read; of them, just each class's bucket with the last row is sorted.
+    """
+    h = row_hash(F.col(key), seed)
+    x = df.select(by, F.col(key).alias("_key"), h.alias("_h"), (h * nb / F.lit(HASH_RANGE)).cast("int").alias("_b"))
+    per = x.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # null keys count first
+    kind, key_kind = (df.schema[c].dataType.simpleString() for c in (by, key))
+    q = df.sparkSession.createDataFrame([(c, int(v)) for c, v in quotas.items()], f"{by} {kind}, _q long")
+    off = per.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).join(F.broadcast(q), by)
+    off = off.where((F.col("_off") < F.col("_q")) & (F.col("_q") <= F.col("_off") + F.col("_cnt"))).drop("_cnt")
+    w = Window.partitionBy(by).orderBy("_h", "_key")
+    ranked = x.join(F.broadcast(off), [by, "_b"]).select(  # a row a class
+        by, "_h", "_key", "_q", (F.col("_off") + F.row_number().over(w)).alias("_n"), (F.col("_off") + F.rank().over(w)).alias("_first"),
+        F.coalesce(F.lead("_key").over(w) == F.col("_key"), F.lit(False)).alias("_more"))
+    last = {str(r[0]): r for r in ranked.where(F.col("_n") == F.col("_q")).collect()}  # as text: NaN is no key of a dict
+    rows = []
+    for c in quotas:
+        r = last.get(str(c))
+        rows.append((c, r["_h"], r["_key"], r["_n"] - r["_first"] + 1 if r["_more"] else None) if r else (c, None, None, None))
+    return df.sparkSession.createDataFrame(rows, f"{by} {kind}, _end_h long, _end_key {key_kind}, _some long")
 
 
 def stratified_folds(df: DataFrame, by: str, key: str, k: int = 3, seed: int = 0,

@@ -21,7 +21,7 @@ from flowlab.operators.label import FAMILY_ORDER, GROUP_ORDER, add_label_columns
 from flowlab.operators.sample import label_budget, stratified_split
 from flowlab.plans import finish, query, rounded
 from flowlab.plans.sql import FLOWS, NUMERIC, SCORED, with_
-from flowlab.session import cut_lineage
+from flowlab.session import cut_lineage, spread
 from flowlab.sources.files import NSL_CATEGORICAL, NSL_FEATURES
 from flowlab.sources.tables import FLOW_NUMERIC, embeddings, flows, nsl_rows, scored
 
@@ -31,7 +31,7 @@ BIN = ["normal", "attack"]
 
 def embed_data(spark, sf, binary: bool = False) -> M.Data:
     e = embeddings(spark, sf)
-    sp = stratified_split(e, "label", "vec_id", 0.2, 0, out="split", a="train", b="test")
+    sp = stratified_split(spread(e), "label", "vec_id", 0.2, 0, out="split", a="train", b="test")
     lab = (F.col("label") != 0).cast("double") if binary else F.col("label").cast("double")
     df = sp.select(F.col("vec_id").alias("id"), array_to_vector("embedding").alias("features"),
                    lab.alias("label"), "split")
@@ -43,7 +43,7 @@ def embed_data(spark, sf, binary: bool = False) -> M.Data:
 
 def nsl_data(spark, sf, binary: bool = False) -> M.Data:
     """The 43-column rows, encoded by statistics of the train rows: binary, or the five families."""
-    rows = add_label_columns(nsl_rows(spark, sf), check=False)
+    rows = spread(add_label_columns(nsl_rows(spark, sf), check=False))
     rows = stratified_split(rows, "attack_family", "event_id", 0.2, 0, out="split", a="train", b="test")
     numeric = [c for c in NSL_FEATURES if c not in NSL_CATEGORICAL]
     fp = P.fit(rows.where(F.col("split") == "train"), NSL_CATEGORICAL, numeric)
