@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowlab.operators import neighbours as N
 from flowlab.operators.neighbours import knn
@@ -65,3 +66,25 @@ def test_fewer_rows_than_k_and_empty_reference(spark):
     ref = frame(spark, [4, 2], np.array([[0.0], [1.0]]))
     assert got(knn(ref, ref, 5, exclude_self=True)) == {4: [2], 2: [4]}
     assert knn(ref, ref.where("id < 0"), 3).count() == 0
+
+
+def test_a_query_travels_once_to_a_group_of_blocks(spark, monkeypatch):
+    """Bounds rule out little in 16 random dimensions: a query still goes to its home and once to each group, as floats."""
+    stored = []
+    monkeypatch.setattr(N, "store", lambda df, store=N.store: stored.append(store(df)) or stored[-1])
+    x = np.random.default_rng(5).normal(size=(600, 16)).astype(np.float32)
+    ids = np.arange(600)
+    e = frame(spark, ids, x).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    assert got(knn(e, e, 4, block_rows=25, broadcast_bytes=0, exclude_self=True)) == brute(ids, x.astype(np.float64), ids, x.astype(np.float64), 4, True)
+    trips = [t for t in stored if {"own", "x"} <= set(t.columns)]
+    assert [t.agg(F.sum(F.size("own"))).first()[0] for t in trips] == [600, 600]
+    assert {t.schema["x"].dataType.simpleString() for t in trips} == {"array<float>"}
+
+
+def test_blocks_in_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(N, "GROUP_BYTES", 4_000)
+    monkeypatch.setattr(N, "VISITS", 100)
+    x = np.random.default_rng(6).normal(size=(500, 6))
+    ids = np.arange(500)
+    e = frame(spark, ids, x)
+    assert got(knn(e, e, 4, block_rows=20, broadcast_bytes=0, exclude_self=True)) == brute(ids, x, ids, x, 4, True)
