@@ -66,3 +66,17 @@ def test_anomaly_scores_rank_outlier(spark):
 def test_normal_quantile_threshold(spark):
     tr = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "score double")
     assert AN.normal_quantile_threshold(tr, 0.75) == pytest.approx(3.25)
+
+
+def test_grid_search_reads_stored_folds(blobs, monkeypatch):
+    """Folds and fits read the ranked rows without another shuffle, and see each train row in its fold."""
+    seen = {}
+
+    def fit(_, df):
+        seen["plan"] = df._jdf.queryExecution().executedPlan().toString()
+        seen["rows"] = sorted(map(tuple, df.select("id", "label", "fold", "weight").collect()))
+
+    monkeypatch.setattr(M.CrossValidator, "fit", fit)
+    M.grid_search(blobs, M.random_forest(3, 3, 1, True), {"maxDepth": [2, 3]})
+    assert "Exchange" not in seen["plan"]
+    assert seen["rows"] == sorted(map(tuple, M.stratified_folds(blobs.train, "label", "id", 3, 42).select("id", "label", "fold", "weight").collect()))
